@@ -41,8 +41,10 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
     out = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_lines", F.filter(F.split(text, "\n"), has_word))
-    starts = F.expr(f"IF(size(_words) >= {window}, sequence(1, size(_words) - {window - 1}), CAST(array() AS array<int>))")
-    out = out.withColumn("_windows", F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, window))))
+    # A window's hash is that of its words' hashes; each word is hashed once.
+    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    starts = F.slice("_hashes", 1, F.greatest(F.size("_words") - (window - 1), F.lit(0)))
+    out = out.withColumn("_windows", F.transform(starts, lambda h, i: F.xxhash64(h, *(F.get("_hashes", i + k) for k in range(1, window)))))
     repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
     # Only texts in which some window repeats pay for the sort that finds which.
     out = out.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -62,7 +64,7 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
     out = out.withColumn("_m", F.struct(*(c.cast("long").alias(k) for k, c in counts.items())))
-    return out.drop("_words", "_lines", "_windows", "_sorted", "_at")
+    return out.drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
 
 
 def failed_rules(m: Column, thresholds=THRESHOLDS) -> Column:
