@@ -1,6 +1,10 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import quality_rules
+from . import bpe, quality_rules, sharding
 
-QUERIES = {"op9_quality_rules": quality_rules.op9_quality_rules}
-SQL = {"op9_quality_rules": quality_rules.OP9_SQL}
+QUERIES = {
+    "op3_sharding": sharding.op3_sharding,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+}
+SQL = {"op3_sharding": sharding.OP3_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
