@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, quality_rules, sharding
+from . import bpe, quality_rules, secrets, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op6_secrets": secrets.op6_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
