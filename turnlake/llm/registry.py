@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, quality_rules, secrets, sharding
+from . import bpe, langid, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op3_sharding": sharding.op3_sharding,
     "op6_secrets": secrets.op6_secrets,
     "op8_bpe": bpe.op8_bpe,
