@@ -1,10 +1,11 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, langid, quality_rules, secrets, sharding
+from . import bpe, langid, quality_rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_sharding": sharding.op3_sharding,
+    "op4_simhash": simhash.op4_simhash,
     "op6_secrets": secrets.op6_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
