@@ -1,14 +1,15 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, langid, quality_rules, secrets, sharding, simhash, substrings
+from . import bpe, decontam, langid, quality_rules, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_substrings": substrings.op2_substrings,
     "op3_sharding": sharding.op3_sharding,
     "op4_simhash": simhash.op4_simhash,
+    "op5_decontam": decontam.op5_decontam,
     "op6_secrets": secrets.op6_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
-SQL = {"op2_substrings": substrings.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
+SQL = {"op5_decontam": decontam.OP5_SQL, "op2_substrings": substrings.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
