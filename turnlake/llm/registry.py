@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, decontam, langid, quality_rules, secrets, sharding, simhash, substrings
+from . import bpe, decontam, langid, quality_classifier, quality_rules, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 SQL = {"op5_decontam": decontam.OP5_SQL, "op2_substrings": substrings.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
