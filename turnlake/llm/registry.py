@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, decontam, langid, quality_classifier, quality_rules, secrets, sharding, simhash, substrings
+from . import bpe, decontam, langid, lm, quality_classifier, quality_rules, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_decontam": decontam.op5_decontam,
     "op6_secrets": secrets.op6_secrets,
+    "op7_lm": lm.op7_lm,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,

@@ -187,10 +187,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of docs whose doc_id is that of their component; rows without an id are kept."""
-    ids = near_duplicates(docs.select("doc_id", "text"), shingle, most_bits)
-    keep = ids.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """docs with one row of each component: that of least doc_id, of equals the first; rows without an id come after those with one.
+
+    docs is read twice and must give its rows in the same order, as a table does.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id"), "text"), shingle, most_bits)
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id"))["doc_id"].alias("_best"))
+    gone = found.join(best, "component_id").filter("doc_id <> _best").select(F.col("doc_id").alias("_row"))
+    return rows.join(written(gone, "copies"), "_row", "left_anti").drop("_row")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
