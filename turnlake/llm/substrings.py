@@ -120,6 +120,7 @@ class FingerprintIndex:
         self.folder = folder or new_folder(spark, "index")
         self.runs = list(runs)
         self._made = 0
+        self.candidates = 0
 
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema("key long, n long").parquet(path)
@@ -160,18 +161,21 @@ class FingerprintIndex:
         keys = self._read(self.runs[0]).filter("n > 1")
         place = F.shiftrightunsigned("key", 64 - bits)
         words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS int)))").alias("v")).toPandas()
+        self.candidates = (keys.agg(F.sum("n")).first()[0] or 0) * (self.window - self.gram + 1)
         out = np.zeros(1 << (bits - 6), np.int64)
         out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
         return out.view(np.uint64)
 
 
-#: kind 0: a candidate window (key, check, row, a); 1: windows a to b of a row repeat; 2: a text with candidates; 3: a text without.
-CANDIDATES = "kind int, key long, check int, row long, a int, b int, doc_id long, text string, n_words long, sha string"
+#: Candidate windows of a bucket of hashes, about; a task holds one bucket at a time.
+BUCKET = 1_000_000
+#: kind 0: packed candidate windows of a bucket; 1: windows a to b of a row repeat; 2: a text with candidates; 3: a text without.
+CANDIDATES = "kind int, bucket int, windows binary, row long, a int, b int, doc_id long, text string, n_words long, sha string"
 _NAMES = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
 
 
 def _batch(kind: int, n: int, **columns) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "key": pa.int64(), "check": pa.int32(), "row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "sha": pa.string()}
+    types = {"kind": pa.int32(), "bucket": pa.int32(), "windows": pa.binary(), "row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "sha": pa.string()}
     made = {"kind": pa.array(np.full(n, kind, np.int32))} | {k: pa.array(v, types[k]) for k, v in columns.items()}
     return pa.RecordBatch.from_arrays([made[k] if k in made else pa.nulls(n, types[k]) for k in _NAMES], names=_NAMES)
 
@@ -189,11 +193,36 @@ def _spans(rows: np.ndarray, at: np.ndarray):
     return rows[first], at[first], at[last]
 
 
+def packed(key: np.ndarray, check: np.ndarray, row: np.ndarray, at: np.ndarray) -> bytes:
+    """Windows sorted by key, in about 15 bytes each: differences of keys, and rows as places in a short list."""
+    import zstandard
+
+    rows, local = np.unique(row, return_inverse=True)
+    parts = [np.diff(key, prepend=np.uint64(0)), check, local.astype(np.uint32), at.astype(np.uint32)]
+    head = np.array([len(key), len(rows)], np.int64).tobytes() + rows.astype(np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(len(key), -1).T).tobytes() for p in parts))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    rows = np.frombuffer(raw, np.int64, m, 16)
+    at, out = 16 + 8 * m, []
+    for t in (np.uint64, np.uint32, np.uint32, np.uint32):
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).ravel())
+        at += n * size
+    return np.cumsum(out[0], dtype=np.uint64), out[1], rows[out[2]], out[3].astype(np.int64)
+
+
 def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The table CANDIDATES of docs (row, doc_id, text), written: what repeats within a task is settled there and goes on as one row a hash."""
+    """The table CANDIDATES of docs (row, doc_id, text), written: what repeats within a task is settled there and goes on as one window a hash."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(index.repeated_map())
     window, gram, bits = index.window, index.gram, MAP_BITS
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.candidates // BUCKET))
     bounded_batches(spark)
 
     def run(batches):
@@ -214,7 +243,11 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
             r, a, b = _spans(row[many], at[many])
             yield _batch(1, len(r), row=r, a=a, b=b)
             # A hash seen twice here goes on once, without a place, for the tasks that saw it once.
-            yield _batch(0, len(starts), key=key[starts].view(np.int64), check=check[starts].view(np.int32), row=np.where(n > 1, -1, row[starts]), a=at[starts])
+            key, check, row, at = key[starts], check[starts], np.where(n > 1, -1, row[starts]), at[starts]
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(cut[1:], len(key)).tolist()
+            yield _batch(0, len(cut), bucket=bucket[cut], windows=[packed(key[i:j], check[i:j], row[i:j], at[i:j]) for i, j in zip(cut.tolist(), ends, strict=True)])
 
         for batch in batches:
             some, none = [], []
@@ -249,29 +282,32 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
 
 
 def settled(candidates: DataFrame) -> DataFrame:
-    """row, a, b: the repeated windows of kind 0, found by merging the sorted hashes."""
-    by_hash = candidates.filter("kind = 0").select("key", "check", "row", "a").repartition("key").sortWithinPartitions("key", "check")
+    """row, a, b: the repeated windows of kind 0, found by merging the sorted windows of each bucket."""
+    by_bucket = candidates.filter("kind = 0").select("bucket", "windows").repartition("bucket").sortWithinPartitions("bucket")
+
+    def merged(blobs):
+        key, check, row, at = map(np.concatenate, zip(*map(unpacked, blobs), strict=True))
+        order = np.lexsort((check, key))
+        key, check, row, at = key[order], check[order], row[order], at[order]
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (check[1:] == check[:-1]), [False]])
+        # A row without a place stands for two or more, whose places are settled.
+        keep = (same[1:] | same[:-1]) & (row >= 0)
+        r, a, b = _spans(row[keep], at[keep])
+        return pa.RecordBatch.from_arrays([pa.array(r), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["row", "a", "b"])
 
     def run(batches):
-        last = None  # the last row so far, with whether its hash was seen before
+        now, blobs = None, []
         for batch in batches:
-            key, check, row, at = (batch.column(k).to_numpy() for k in ("key", "check", "row", "a"))
-            if not len(key):
-                continue
-            if last is not None:
-                key, check, row, at = (np.concatenate([[x], y]) for x, y in zip(last[:4], (key, check, row, at), strict=True))
-            same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
-            twice = np.concatenate([[last[4] if last is not None else False], same]) | np.concatenate([same, [False]])
-            # A row without a place stands for two or more.
-            keep = twice & (row >= 0)
-            keep[-1] = False
-            last = (key[-1], check[-1], row[-1], at[-1], bool(twice[-1]))
-            r, a, b = _spans(row[keep], at[keep].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["row", "a", "b"])
-        if last is not None and last[4] and last[2] >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([int(last[2])]), pa.array([int(last[3])], pa.int32()), pa.array([int(last[3])], pa.int32())], names=["row", "a", "b"])
-
-    return by_hash.mapInArrow(run, "row long, a int, b int")
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                if bucket != now and blobs:
+                    yield merged(blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(blob)
+        if blobs:
+            yield merged(blobs)
+
+    return by_bucket.mapInArrow(run, "row long, a int, b int")
 
 
 def remove_repeats(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
