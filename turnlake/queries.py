@@ -1,4 +1,419 @@
-"""The queries of the engine's own operators, and their DuckDB SQL."""
+"""The queries of the engine's own operators, and their DuckDB SQL where SQL can express them.
 
-QUERIES = {}
-SQL = {}
+The driver's tables stand in for recordings: a user's events are a recording's frames, a label's vectors are a recording's
+voices, and a conversation's turns are speaker turns.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import frames as FR
+from .functions import vectors as V
+from .operators import clustering as C
+from .operators import frames as O
+from .operators import similarity as S
+from .operators.assignment import assign_slots
+from .operators.features import Projection, filter_banks, project
+from .operators.variational import posteriors
+from .plans import diarize as D
+
+SIZE, STEP, FSTEP, FDUR, GAP, ONSET, OFFSET = 12, 6, 0.016875, 0.0619375, 0.05, 0.2, 0.1
+CHUNK_STEP = STEP * FSTEP
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = re.sub(r"\bat\b", '"at"', sql)
+        return f
+
+    return add
+
+
+def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.numbered(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("rec"), "vec_id", "embedding"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, frame, p, slot, cluster of each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    slot = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    cluster = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 3).otherwise(11)
+    return e.select(F.col("user_id").alias("rec"), number.cast("long").alias("frame"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"), slot.alias("slot"), cluster.alias("kind"))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("rec")).agg(F.count(F.lit(1)).alias("frames"))
+
+
+def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, chunk, at, slot, activity: windows over the frames."""
+    return O.in_windows(frames(spark, sf_dir), SIZE, STEP).select("rec", "frame", "chunk", "at", "slot", "kind", F.col("p").alias("activity"))
+
+
+def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed assignment: the slot's cluster turns with the chunk; every fifth is unmatched."""
+    h = (F.col("chunk") + F.col("slot") + F.col("rec")) % 5
+    return seg(spark, sf_dir).select("rec", "chunk", "slot").distinct().withColumn("cluster", F.when(h == 4, -2).when(h == 3, 11).otherwise(h).cast("int"))
+
+
+FRAMES_SQL = """fr AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, least(value / 100, 1.0) AS p,
+  CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS slot, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 11 END AS kind FROM events)"""
+SEG_SQL = FRAMES_SQL + f""",
+sz AS (SELECT user_id AS rec, count(*) AS frames FROM events GROUP BY 1),
+ch AS (SELECT rec, unnest(range(0, (frames - 1) // {STEP} + 1)) AS chunk FROM sz),
+sg AS (SELECT rec, frame, chunk, frame - chunk * {STEP} AS at, slot, kind, p AS activity FROM fr JOIN ch USING (rec) WHERE frame BETWEEN chunk * {STEP} AND chunk * {STEP} + {SIZE - 1})"""
+VEC_SQL = "v AS (SELECT CAST(label AS BIGINT) AS rec, vec_id, embedding::DOUBLE[] AS e, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS i FROM embeddings)"
+PAIR_SQL = VEC_SQL + ", pr AS (SELECT a.rec, a.i, b.i AS j, a.e AS a, b.e AS b FROM v a JOIN v b ON a.rec = b.rec AND a.i < b.i)"
+RUNS_SQL = SEG_SQL + f""",
+sw AS (SELECT *, CASE WHEN p >= {ONSET} THEN true WHEN p < {OFFSET} THEN false END AS s FROM fr),
+hy AS (SELECT rec, frame, p, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS on_ FROM sw),
+il AS (SELECT rec, frame, frame - row_number() OVER (PARTITION BY rec ORDER BY frame) AS k FROM hy WHERE on_),
+rn AS (SELECT rec, min(frame) AS first, max(frame) + 1 AS stop FROM il GROUP BY rec, k),
+mk AS (SELECT *, CASE WHEN first - max(stop) OVER (PARTITION BY rec ORDER BY first, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1 THEN 0 ELSE 1 END AS nw FROM rn),
+mg AS (SELECT rec, min(first) AS first, max(stop) AS stop FROM (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY first, stop) AS g FROM mk) GROUP BY rec, g)"""
+
+
+@query(f"WITH {VEC_SQL} SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM v")
+def vec_norms(spark, sf_dir):
+    return vecs(spark, sf_dir).select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"WITH {VEC_SQL}, n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v) SELECT vec_id, round(e[1] / n, 6) AS first, round(e[64] / n, 6) AS last, round(list_sum(list_transform(e, lambda x: x / n)), 6) AS total FROM n")
+def vec_normalize(spark, sf_dir):
+    n = vecs(spark, sf_dir).withColumn("n", V.norm(F.col("embedding")))
+    u = n.withColumn("u", V.normalized(F.transform("embedding", lambda x: x.cast("double")), F.col("n")))
+    return u.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"), F.round(V.compensated_sum(F.col("u")), 6).alias("total"))
+
+
+@query(f"WITH {VEC_SQL} SELECT vec_id, round(sqrt(list_dot_product(list_transform(e, lambda x: 0.0::DOUBLE), e)), 6) AS zero, round(list_dot_product(e, e), 6) AS plain FROM v")
+def compensated_sums(spark, sf_dir):
+    e = F.col("embedding")
+    return vecs(spark, sf_dir).select("vec_id", F.round(V.compensated_dot(F.transform(e, lambda x: x * 0), e), 6).alias("zero"), F.round(V.compensated_dot(e, e), 6).alias("plain"))
+
+
+@query(f"WITH {PAIR_SQL} SELECT rec, i, j, round(list_dot_product(a, b), 6) AS cosine FROM pr")
+def cosine_pairs(spark, sf_dir):
+    return S.pairs(vecs(spark, sf_dir)).select("rec", "i", "j", F.round(V.dot(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+@query(f"WITH {PAIR_SQL}, n AS (SELECT rec, count(*) AS n FROM v GROUP BY rec) SELECT rec, i, j, n * i - (i * (i + 1)) // 2 + j - i - 1 AS k, round(list_distance(a, b), 6) AS distance FROM pr JOIN n USING (rec)")
+def pdist_condensed(spark, sf_dir):
+    return S.condensed_distances(vecs(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {VEC_SQL}, s AS (SELECT q.vec_id AS query, v.vec_id, round(list_dot_product(q.e, v.e), 9) AS c FROM v JOIN v q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT query, vec_id, c, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query, vec_id, CAST(rank AS INTEGER) AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 5""")
+def cosine_topk_neighbors(spark, sf_dir):
+    v = vecs(spark, sf_dir)
+    return S.nearest(v.filter("vec_id % 100 = 0"), v, 5).select("query", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {VEC_SQL} SELECT a.vec_id, round(1 - greatest(-1, least(1, list_dot_product(a.e, b.e))), 6) AS distance, round(1 - list_dot_product(a.e, b.e), 6) AS by_norms FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def cosine_distance_clamped(spark, sf_dir):
+    v = vecs(spark, sf_dir)
+    both = v.select("vec_id", F.col("embedding").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    a, b = F.col("a"), F.col("b")
+    return both.select("vec_id", F.round(V.cosine_distance(a, b), 6).alias("distance"), F.round(V.cosine_distance_with_norms(V.dot(a, b), V.sum_squares(a), V.sum_squares(b)), 6).alias("by_norms"))
+
+
+@query(f"WITH {VEC_SQL}, n AS (SELECT vec_id, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM v) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * (1 / n))), 6) AS total FROM n")
+def l2_clamp(spark, sf_dir):
+    n = vecs(spark, sf_dir).withColumn("n", V.norm(F.col("embedding")))
+    return n.select("vec_id", F.round(F.aggregate(V.clamped_unit(F.col("embedding"), F.col("n")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(f"WITH {VEC_SQL} SELECT vec_id, round(list_max(e) + ln(list_sum(list_transform(e, lambda x: exp(x - list_max(e))))), 6) AS lse FROM v")
+def logsumexp_rows(spark, sf_dir):
+    d = vecs(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return d.select("vec_id", F.round(V.logsumexp(F.col("e")), 6).alias("lse"))
+
+
+@query(f"WITH {VEC_SQL} SELECT a.vec_id, round(list_sum(a.e) + 2.5 * list_sum(b.e), 5) AS total FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def axpy_sum(spark, sf_dir):
+    v = vecs(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("x")), "vec_id")
+    return both.select("vec_id", F.round(F.aggregate(V.axpy(F.col("e"), 2.5, F.col("x")), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+_SOFT = VEC_SQL + ", l AS (SELECT vec_id, list_transform(e[1:7], lambda x: x * 10) AS x FROM v), s AS (SELECT vec_id, x, list_transform(x, lambda y: exp(y) / list_sum(list_transform(x, lambda z: exp(z)))) AS p FROM l)"
+
+
+def _classes(spark, sf_dir):
+    logits = vecs(spark, sf_dir).select("vec_id", F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double") * 10).alias("x"))
+    return logits.select("vec_id", V.softmax(F.col("x")).alias("p"))
+
+
+@query(f"WITH {_SOFT} SELECT vec_id, round(p[2] + p[5] + p[6], 6) AS a, round(p[3] + p[5] + p[7], 6) AS b, round(p[4] + p[6] + p[7], 6) AS c, round(1 - p[1], 6) AS voice FROM s")
+def softmax_powerset(spark, sf_dir):
+    p = _classes(spark, sf_dir)
+    return p.select("vec_id", *(F.round(c, 6).alias(n) for c, n in zip(FR.speaker_marginals(F.col("p")), "abc", strict=True)), F.round(FR.voice_probability(F.col("p")), 6).alias("voice"))
+
+
+@query(f"WITH {_SOFT}, b AS (SELECT vec_id, list_position(x, list_max(x)) - 1 AS k FROM s) SELECT vec_id, CASE WHEN k IN (1, 4, 5) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a, CASE WHEN k IN (2, 4, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b, CASE WHEN k IN (3, 5, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM b")
+def powerset_hard(spark, sf_dir):
+    p = _classes(spark, sf_dir)
+    return p.select("vec_id", *(c.alias(n) for c, n in zip(FR.speaker_hard(F.col("p")), "abc", strict=True)))
+
+
+_AFF = PAIR_SQL + ", h AS (SELECT rec, i, j, greatest(0, list_dot_product(a, b)) AS w FROM pr), af AS (SELECT rec, i, j, w FROM h UNION ALL SELECT rec, j, i, w FROM h), dg AS (SELECT rec, i, sum(w) AS degree FROM af GROUP BY rec, i)"
+
+
+@query(f"WITH {_AFF} SELECT rec, i, round(degree, 6) AS degree FROM dg")
+def affinity_degrees(spark, sf_dir):
+    return S.degrees(S.affinities(vecs(spark, sf_dir))).withColumn("degree", F.round("degree", 6))
+
+
+@query(f"WITH {_AFF} SELECT af.rec, af.i, af.j, round(-w / (sqrt(d.degree) * sqrt(e.degree)), 6) + 0 AS l FROM af JOIN dg d ON d.rec = af.rec AND d.i = af.i JOIN dg e ON e.rec = af.rec AND e.i = af.j WHERE w > 0")
+def laplacian_entries(spark, sf_dir):
+    return S.laplacian(S.affinities(vecs(spark, sf_dir))).select("rec", "i", "j", (F.round("l", 6) + 0).alias("l"))
+
+
+@query(f"WITH {_AFF}, o AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY round(degree, 9)) AS k, lead(round(degree, 9)) OVER (PARTITION BY rec ORDER BY round(degree, 9)) - round(degree, 9) AS gap FROM dg), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY gap DESC, k DESC) AS r FROM o WHERE gap IS NOT NULL AND k <= 15) SELECT rec, CAST(k AS INTEGER) AS k FROM r WHERE r = 1")
+def eigengap_k(spark, sf_dir):
+    return S.eigengap(S.degrees(S.affinities(vecs(spark, sf_dir))).select("rec", F.round("degree", 9).alias("value")))
+
+
+def _linked(how: str, sql: str):
+    def run(spark, sf_dir):
+        v = vecs(spark, sf_dir)
+        return S.linkage(S.condensed_distances(v), v.select("rec", "i", (F.col("i") % 4).alias("label")), how).withColumn("distance", F.round("distance", 6))
+
+    run.__name__ = f"linkage_{how}"
+    return query(f"WITH {PAIR_SQL} SELECT rec, least(i % 4, j % 4) AS a, greatest(i % 4, j % 4) AS b, round({sql}(list_distance(a, b)), 6) AS distance FROM pr WHERE i % 4 <> j % 4 GROUP BY ALL")(run)
+
+
+linkage_single, linkage_complete, linkage_average = (_linked(*x) for x in (("single", "min"), ("complete", "max"), ("average", "avg")))
+
+
+@query(f"WITH {VEC_SQL}, x AS (SELECT rec, i % 3 AS cluster, (i % 7 + 1)::DOUBLE AS w, unnest(e) AS x, unnest(range(64)) AS d FROM v WHERE i % 3 < 2), c AS (SELECT rec, cluster, d, sum(w * x) / sum(w) AS x FROM x GROUP BY ALL) SELECT rec, CAST(cluster AS INTEGER) AS cluster, round(sum(x), 5) AS total, round(max(CASE WHEN d = 0 THEN x END), 6) AS first FROM c GROUP BY rec, cluster")
+def weighted_centroids(spark, sf_dir):
+    m = vecs(spark, sf_dir).select("rec", (F.col("i") % 3).alias("cluster"), F.when(F.col("i") % 3 < 2, 0.5).otherwise(1e-9).alias("pi"), (F.col("i") % 7 + 1).cast("double").alias("weight"), "embedding")
+    return S.weighted_centroids(m).select("rec", "cluster", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.col("centroid")[0], 6).alias("first"))
+
+
+@query(f"WITH {VEC_SQL}, c AS (SELECT rec, i AS cluster, e AS c FROM v WHERE i < 3) SELECT v.rec, i, cluster, round(1 + list_cosine_similarity(e, c), 6) AS soft FROM v JOIN c USING (rec)")
+def centroid_scores(spark, sf_dir):
+    v = vecs(spark, sf_dir)
+    return S.centroid_scores(v, v.filter("i < 3").select("rec", F.col("i").alias("cluster"), F.col("embedding").alias("centroid"))).withColumn("soft", F.round("soft", 6))
+
+
+@query(f"WITH {VEC_SQL}, c AS (SELECT rec, i AS cluster, e AS c FROM v WHERE i < 4), s AS (SELECT v.rec, v.i, cluster, row_number() OVER (PARTITION BY v.rec, v.i ORDER BY round(list_distance(e, c), 12), cluster) AS r FROM v JOIN c USING (rec)) SELECT rec, i, cluster FROM s WHERE r = 1")
+def kmeans_lloyd_step(spark, sf_dir):
+    v = vecs(spark, sf_dir)
+    return S.lloyd_step(v, v.filter("i < 4").select("rec", F.col("i").alias("cluster"), F.col("embedding").cast("array<double>").alias("centroid")))[0]
+
+
+@query(f"WITH {RUNS_SQL} SELECT rec, frame, on_ AS voiced FROM hy")
+def hysteresis_mask(spark, sf_dir):
+    return O.hysteresis(frames(spark, sf_dir), ONSET, OFFSET).select("rec", "frame", F.col("on").alias("voiced"))
+
+
+def _runs(spark, sf_dir):
+    return O.runs(O.hysteresis(frames(spark, sf_dir), ONSET, OFFSET))
+
+
+@query(f"WITH {RUNS_SQL} SELECT rec, first, stop FROM rn")
+def voice_runs(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+@query(f"WITH {RUNS_SQL} SELECT rec, first, stop FROM mg")
+def merged_spans(spark, sf_dir):
+    return O.merge_gaps(_runs(spark, sf_dir), 1)
+
+
+@query(f"WITH {RUNS_SQL} SELECT rec, CAST(floor((first * 160000 + 294) / 589) AS BIGINT) AS first, CAST(floor((stop * 160000 + 294) / 589) AS BIGINT) AS stop FROM mg WHERE stop > first AND stop - first >= 3")
+def min_duration_spans(spark, sf_dir):
+    out = O.long_enough(O.merge_gaps(_runs(spark, sf_dir), 1), 3)
+    return out.select("rec", FR.frame_to_sample(F.col("first")).alias("first"), FR.frame_to_sample(F.col("stop")).alias("stop"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM (SELECT DISTINCT conv_id, turn, role FROM conversations))
+SELECT conv_id, role, min(turn) AS first, max(turn) + 1 AS stop FROM r GROUP BY conv_id, role, k""")
+def role_runs(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role").distinct()
+    return O.runs(turns.withColumn("on", F.lit(True)), ("conv_id", "role"), "turn")
+
+
+@query(f"WITH {SEG_SQL}, t AS (SELECT rec, frames * 1000 AS total FROM sz), s AS (SELECT rec, unnest(list_distinct(list_concat(CASE WHEN total >= 16000 THEN range(0, total - 16000 + 1, 4000) ELSE [0] END, [greatest(0, total - 16000)]))) AS start FROM t) SELECT rec, start FROM s")
+def plan_windows(spark, sf_dir):
+    return O.plan_starts(sizes(spark, sf_dir).select("rec", (F.col("frames") * 1000).alias("total")), 16000, 4000)
+
+
+@query(f"WITH {SEG_SQL} SELECT rec, CAST(chunk AS INTEGER) AS chunk, CAST(at AS INTEGER) AS at, frame FROM sg")
+def window_frames(spark, sf_dir):
+    return seg(spark, sf_dir).select("rec", "chunk", "at", "frame")
+
+
+@query(f"WITH {SEG_SQL} SELECT rec, frame, round(avg(activity), 6) AS mean, count(*) AS overlaps FROM sg GROUP BY rec, frame")
+def stitched_mean(spark, sf_dir):
+    return O.stitched_mean(seg(spark, sf_dir), "activity").withColumn("mean", F.round("mean", 6))
+
+
+_CNT = f"""pc AS (SELECT rec, chunk, at, sum(CASE WHEN activity >= {ONSET} THEN 1 ELSE 0 END) AS active FROM sg GROUP BY rec, chunk, at),
+c0 AS (SELECT rec, chunk * {STEP} + at AS t, least(255, round_even(avg(active), 0)) AS cnt FROM pc GROUP BY 1, 2),
+gr AS (SELECT rec, unnest(range(0, frames)) AS t FROM sz), cn AS (SELECT rec, t, CAST(coalesce(cnt, 0) AS INTEGER) AS cnt FROM gr LEFT JOIN c0 USING (rec, t))"""
+
+
+def _counts(spark, sf_dir):
+    return O.fill_grid(O.active_count(seg(spark, sf_dir), ONSET, CHUNK_STEP, FSTEP), sizes(spark, sf_dir))
+
+
+@query(f"WITH {SEG_SQL}, {_CNT} SELECT rec, CAST(t AS INTEGER) AS t, cnt FROM cn")
+def count_frames(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query(f"WITH {SEG_SQL} SELECT rec, CAST(round_even(({SIZE * FSTEP}::DOUBLE + ((frames - 1) // {STEP}) * {CHUNK_STEP}::DOUBLE) / {FSTEP}::DOUBLE, 0) + 1 AS INTEGER) AS n FROM sz")
+def output_frame_counts(spark, sf_dir):
+    chunks = F.floor((F.col("frames") - 1) / STEP) + 1
+    return sizes(spark, sf_dir).select("rec", FR.output_frames(chunks, SIZE * FSTEP, CHUNK_STEP, FSTEP).alias("n"))
+
+
+@query(f"WITH {SEG_SQL} SELECT rec, frame, round(sum(activity * (0.54 - 0.46 * cos(2 * pi() * at / {SIZE - 1}))), 6) AS total FROM sg GROUP BY rec, frame")
+def hamming_overlap_add(spark, sf_dir):
+    return O.hamming_add(seg(spark, sf_dir), SIZE, "activity").withColumn("total", F.round("total", 6))
+
+
+@query(f"WITH {SEG_SQL}, al AS (SELECT rec, chunk, at, count(*) AS n, min(slot) AS slot, min(activity) AS activity FROM sg WHERE activity > 0 GROUP BY rec, chunk, at) SELECT rec, CAST(chunk AS INTEGER) AS chunk, slot, round(sum(activity), 6) AS clean FROM al WHERE n = 1 GROUP BY rec, chunk, slot HAVING sum(activity) >= {0.2 * SIZE}")
+def active_pairs(spark, sf_dir):
+    return D.active_pairs(seg(spark, sf_dir), SIZE).withColumn("clean", F.round("clean", 6))
+
+
+_SOFT_SLOT = "((rec * 31 + chunk * 17 + slot * 7 + cluster * 13) % 101) / 100.0"
+_SOFT_GRID = "sl AS (SELECT DISTINCT rec, chunk FROM sg), so AS (SELECT rec, chunk, slot, cluster, ((rec * 31 + chunk * 17 + slot * 7 + cluster * 13) % 101) / 100.0::DOUBLE AS soft FROM sl, (SELECT unnest(range(3)) AS slot), (SELECT unnest(range(4)) AS cluster))"
+
+
+def _soft(spark, sf_dir):
+    cells = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.lit(c).alias("cluster")) for s in range(3) for c in range(4))))
+    grid = seg(spark, sf_dir).select("rec", "chunk").distinct().select("rec", "chunk", cells.alias("x")).select("rec", "chunk", "x.*")
+    return grid.withColumn("soft", F.expr(_SOFT_SLOT).cast("double"))
+
+
+@query(f"WITH {SEG_SQL}, {_SOFT_GRID}, ac AS (SELECT rec, chunk, slot, sum(activity) AS a FROM sg GROUP BY ALL), lo AS (SELECT rec, min(soft) - 1 AS low FROM so GROUP BY rec) SELECT rec, CAST(chunk AS INTEGER) AS chunk, CAST(slot AS INTEGER) AS slot, CAST(cluster AS INTEGER) AS cluster, round(CASE WHEN coalesce(a, 0) = 0 THEN low ELSE soft END, 6) AS soft FROM so LEFT JOIN ac USING (rec, chunk, slot) JOIN lo USING (rec)")
+def inactive_mask(spark, sf_dir):
+    return D.mask_inactive(_soft(spark, sf_dir), seg(spark, sf_dir)).withColumn("soft", F.round("soft", 6))
+
+
+_GRID = SEG_SQL + f""", {_CNT},
+ha AS (SELECT DISTINCT rec, chunk, slot, (chunk + slot + rec) % 5 AS h FROM sg),
+hd AS (SELECT rec, chunk, slot, CASE h WHEN 4 THEN -2 WHEN 3 THEN 11 ELSE h END AS cluster FROM ha),
+cl AS (SELECT rec, chunk, at, cluster, max(activity) AS activity FROM sg JOIN hd USING (rec, chunk, slot) WHERE cluster >= 0 GROUP BY rec, chunk, at, cluster),
+ov AS (SELECT rec, chunk * {STEP} + at AS t, cluster, sum(activity) AS activation FROM cl GROUP BY ALL),
+mx AS (SELECT rec, greatest(max(cluster) + 1, any_value(c)) AS k FROM ov JOIN (SELECT rec, greatest(max(cnt), 1) AS c FROM cn GROUP BY rec) USING (rec) GROUP BY rec),
+de AS (SELECT rec, t, cnt, unnest(range(0, CAST(k AS BIGINT))) AS cluster FROM cn JOIN mx USING (rec) WHERE cnt > 0),
+tk AS (SELECT rec, t, cluster FROM (SELECT *, row_number() OVER (PARTITION BY rec, t ORDER BY coalesce(round(activation, 9), 0) DESC, cluster) AS r FROM de LEFT JOIN ov USING (rec, t, cluster)) WHERE r <= cnt),
+ii AS (SELECT *, t - row_number() OVER (PARTITION BY rec, cluster ORDER BY t) AS g FROM tk),
+ru AS (SELECT rec, cluster, min(t) AS f, max(t) + 1 AS s, any_value(frames) - 1 AS l FROM ii JOIN sz USING (rec) GROUP BY rec, cluster, g),
+sp AS (SELECT rec, cluster, 0.0::DOUBLE + f * {FSTEP}::DOUBLE + {FDUR / 2}::DOUBLE AS st, 0.0::DOUBLE + least(s, l) * {FSTEP}::DOUBLE + {FDUR / 2}::DOUBLE AS en FROM ru WHERE least(s, l) > f),
+s1 AS (SELECT *, CASE WHEN st - max(en) OVER (PARTITION BY rec, cluster ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {GAP} THEN 0 ELSE 1 END AS nw FROM sp),
+s2 AS (SELECT rec, cluster, min(st) AS st, max(en) AS en FROM (SELECT *, sum(nw) OVER (PARTITION BY rec, cluster ORDER BY st, en) AS g FROM s1) GROUP BY rec, cluster, g)"""
+
+
+@query(f"WITH {_GRID} SELECT rec, CAST(chunk AS INTEGER) AS chunk, CAST(at AS INTEGER) AS at, CAST(cluster AS INTEGER) AS cluster, activity FROM cl")
+def clustered_max(spark, sf_dir):
+    return O.clustered(seg(spark, sf_dir), hard(spark, sf_dir))
+
+
+def _activation(spark, sf_dir):
+    out = O.overlap_sum(O.clustered(seg(spark, sf_dir), hard(spark, sf_dir)), 0.0, CHUNK_STEP, 0.0, FDUR, FSTEP)
+    return out.withColumn("activation", F.round("activation", 9))
+
+
+@query(f"WITH {_GRID} SELECT rec, CAST(t AS INTEGER) AS t, CAST(cluster AS INTEGER) AS cluster, round(activation, 6) AS activation FROM ov")
+def overlap_sum(spark, sf_dir):
+    return _activation(spark, sf_dir).withColumn("activation", F.round("activation", 6))
+
+
+def _grid(spark, sf_dir):
+    return O.top_clusters(_activation(spark, sf_dir), _counts(spark, sf_dir))
+
+
+@query(f"WITH {_GRID} SELECT rec, CAST(t AS INTEGER) AS t, CAST(cluster AS INTEGER) AS cluster FROM tk")
+def topk_binarize(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+def _spans(spark, sf_dir):
+    return O.grid_to_spans(_grid(spark, sf_dir), sizes(spark, sf_dir), 0.0, FDUR, FSTEP, GAP)
+
+
+@query(f"WITH {_GRID} SELECT rec, CAST(cluster AS INTEGER) AS cluster, round(st, 6) AS start, round(en, 6) AS stop FROM s2")
+def spans(spark, sf_dir):
+    return _spans(spark, sf_dir).select("rec", "cluster", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop"))
+
+
+@query(f"WITH {_GRID} SELECT rec, 'SPEAKER ' || rec || ' 1 ' || printf('%.3f', st) || ' ' || printf('%.3f', en - st) || ' <NA> <NA> SPEAKER_' || lpad(CAST(dense_rank() OVER (PARTITION BY rec ORDER BY CAST(cluster AS VARCHAR)) - 1 AS VARCHAR), 2, '0') || ' <NA> <NA>' AS line FROM s2")
+def rttm_lines(spark, sf_dir):
+    return O.rttm_lines(_spans(spark, sf_dir)).select("rec", "line")
+
+
+@query()
+def topk_smoothed(spark, sf_dir):
+    return O.smoothed_top(_activation(spark, sf_dir), _counts(spark, sf_dir), 0.1)
+
+
+@query()
+def lsap_assign(spark, sf_dir):
+    return assign_slots(_soft(spark, sf_dir))
+
+
+@query()
+def agglomerative_labels(spark, sf_dir):
+    return C.cluster(vecs(spark, sf_dir), "agglomerative", threshold=0.15)
+
+
+@query()
+def ahc_labels(spark, sf_dir):
+    return C.cluster(vecs(spark, sf_dir), "ahc", threshold=1.05)
+
+
+@query()
+def spectral_labels(spark, sf_dir):
+    return C.cluster(vecs(spark, sf_dir), "spectral", target=4)
+
+
+def _weights() -> Projection:
+    return Projection.orthonormal(64, 32)
+
+
+@query()
+def plda_project(spark, sf_dir):
+    return project(vecs(spark, sf_dir).select("rec", "i", "vec_id", "embedding"), _weights()).select("rec", "i", "vec_id", "x")
+
+
+@query()
+def vbx_posterior(spark, sf_dir):
+    w = _weights()
+    return posteriors(project(vecs(spark, sf_dir).select("rec", "i", "embedding"), w), w.phi.tolist(), 1.05)
+
+
+@query()
+def online_assign(spark, sf_dir):
+    return C.online_assign(vecs(spark, sf_dir).withColumn("duration", (F.col("vec_id") % 5).cast("double") / 2), speaker_threshold=0.84, embedding_threshold=0.56)
+
+
+@query()
+def fbank_frames(spark, sf_dir):
+    """Vectors as sound: each one ten times over is a clip of 640 samples."""
+    clips = vecs(spark, sf_dir).select(F.col("vec_id").alias("clip_id"), F.flatten(F.array_repeat("embedding", 10)).alias("samples"))
+    return filter_banks(clips)
+
+
+@query()
+def diarize_e2e(spark, sf_dir):
+    s = seg(spark, sf_dir)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    n = 500
+    pairs = s.select("rec", "chunk", "slot").distinct().withColumn("vec_id", ((F.col("rec") * 37 + F.col("chunk") * 3 + F.col("slot")) % n).cast("long"))
+    emb = pairs.join(v, "vec_id").select("rec", "chunk", "slot", "embedding")
+    return D.diarize(s, emb, sizes(spark, sf_dir), SIZE, CHUNK_STEP, FSTEP, FDUR, _weights(), ONSET, GAP, None, threshold=1.05, rounds=3)
