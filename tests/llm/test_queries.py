@@ -1,0 +1,44 @@
+"""The queries against DuckDB on the smallest tables, and the pipeline against its own stages."""
+
+import pytest
+from conftest import SF
+
+from turnlake.llm import registry
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_matches_sql(spark, duck, same, name):
+    same(registry.QUERIES[name](spark, SF), registry.SQL[name], duck)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    from turnlake.llm import bpe, decontam, quality_classifier, secrets, simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = P.run(spark, SF).toPandas().sort_values("doc_id")
+    assert got["round_trip"].all() and 0 < len(got) < docs.count()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scorer = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = [k for k, t in text.items() if 1 - scorer.bad(t).max() >= 0.5]
+    prints = {k: simhash.fingerprint(text[k]) for k in kept}
+    left = set(kept)
+    group = {k: k for k in kept}
+    for _ in kept:
+        changed = False
+        for a in kept:
+            low = min(group[b] for b in kept if (prints[a] ^ prints[b]).bit_count() <= 4)
+            if low < group[a]:
+                group[a], changed = low, True
+        if not changed:
+            break
+    left = {k for k in kept if group[k] == k}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    left = {k for k in left if not any(t in text[k] for t in items)}
+    assert set(got["doc_id"]) == left
+    b = bpe.tokenizer(bpe.default_path())
+    for r in got.itertuples():
+        if not any(w in text[r.doc_id].lower() for w in ("akia", "password", "token")) and not any(c.isdigit() for c in text[r.doc_id]):
+            assert b.decode(list(r.token_ids)) == text[r.doc_id]
+    assert decontam.WINDOW and secrets.SCOPE

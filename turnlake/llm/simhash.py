@@ -191,11 +191,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS
 
     docs is read twice and must give its rows in the same order, as a table does.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id"), "text"), shingle, most_bits)
+    mark = "__place"
+    rows = docs.withColumn(mark, F.monotonically_increasing_id())
+    found = near_duplicates(rows.select(F.col(mark).alias("doc_id"), F.col("doc_id").alias("_id"), "text"), shingle, most_bits)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id"))["doc_id"].alias("_best"))
-    gone = found.join(best, "component_id").filter("doc_id <> _best").select(F.col("doc_id").alias("_row"))
-    return rows.join(written(gone, "copies"), "_row", "left_anti").drop("_row")
+    gone = found.join(best, "component_id").filter("doc_id <> _best").select(F.col("doc_id").alias(mark))
+    return rows.join(written(gone, "copies"), mark, "left_anti").drop(mark)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
