@@ -157,8 +157,10 @@ class FingerprintIndex:
 
     def repeated_map(self, bits: int = MAP_BITS) -> np.ndarray:
         """A bit for the high bits of each anchor that occurs twice or more: 2 ** bits bits, whatever the input's size."""
-        self.compact()
-        keys = self._read(self.runs[0]).filter("n > 1")
+        every = self._read(self.runs[0])
+        for p in self.runs[1:]:
+            every = every.unionByName(self._read(p))
+        keys = written(every.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated")
         place = F.shiftrightunsigned("key", 64 - bits)
         words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS int)))").alias("v")).toPandas()
         self.candidates = (keys.agg(F.sum("n")).first()[0] or 0) * (self.window - self.gram + 1)
@@ -169,13 +171,13 @@ class FingerprintIndex:
 
 #: Candidate windows of a bucket of hashes, about; a task holds one bucket at a time.
 BUCKET = 1_000_000
-#: kind 0: packed candidate windows of a bucket; 1: windows a to b of a row repeat; 2: a text with candidates; 3: a text without.
-CANDIDATES = "kind int, bucket int, windows binary, row long, a int, b int, doc_id long, text string, n_words long, sha string"
+#: kind 0: packed candidate windows of a bucket; 1: windows a to b of a row repeat; 2: a text with candidates, compressed; 3: a text without.
+CANDIDATES = "kind int, bucket int, windows binary, row long, a int, b int, doc_id long, text binary, n_words long, sha string"
 _NAMES = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
 
 
 def _batch(kind: int, n: int, **columns) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "bucket": pa.int32(), "windows": pa.binary(), "row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "sha": pa.string()}
+    types = {"kind": pa.int32(), "bucket": pa.int32(), "windows": pa.binary(), "row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "doc_id": pa.int64(), "text": pa.binary(), "n_words": pa.int64(), "sha": pa.string()}
     made = {"kind": pa.array(np.full(n, kind, np.int32))} | {k: pa.array(v, types[k]) for k, v in columns.items()}
     return pa.RecordBatch.from_arrays([made[k] if k in made else pa.nulls(n, types[k]) for k in _NAMES], names=_NAMES)
 
@@ -226,6 +228,9 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     bounded_batches(spark)
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         keys, checks, rows, places, size = [], [], [], [], 0
 
         def flush():
@@ -260,7 +265,7 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
                 if not len(at):
                     none.append((row, doc_id, len(g.words), _digest(g.words)))
                     continue
-                some.append((row, doc_id, text))
+                some.append((row, doc_id, pack.compress(text.encode())))
                 key, check = g.windows(at)
                 keys.append(key)
                 checks.append(check)
@@ -323,10 +328,13 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     texts = every.filter("kind = 2").select("row", "doc_id", "text").join(spans, "row", "left")
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words = text.encode().split()
+                words = unpack.decompress(text).split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for s in spans or ():
                     edge[s["a"]] += 1
