@@ -15,6 +15,7 @@ from .functions import frames as FR
 from .functions import vectors as V
 from .operators import clustering as C
 from .operators import frames as O
+from .operators import segmentation as G
 from .operators import similarity as S
 from .operators.assignment import assign_slots
 from .operators.features import Projection, filter_banks, project
@@ -417,3 +418,44 @@ def diarize_e2e(spark, sf_dir):
     pairs = s.select("rec", "chunk", "slot").distinct().withColumn("vec_id", ((F.col("rec") * 37 + F.col("chunk") * 3 + F.col("slot")) % n).cast("long"))
     emb = pairs.join(v, "vec_id").select("rec", "chunk", "slot", "embedding")
     return D.diarize(s, emb, sizes(spark, sf_dir), SIZE, CHUNK_STEP, FSTEP, FDUR, _weights(), ONSET, GAP, None, threshold=1.05, rounds=3)
+
+
+#: Scores of windows: a label's vectors, seven values a frame and nine frames a window, every four frames.
+_SCORES = VEC_SQL + """, wn AS (SELECT rec, i AS w, CAST(floor((i * 4 * 160000 + 294) / 589) AS BIGINT) AS start, e FROM v),
+fr AS (SELECT rec, w, start, unnest(range(9)) AS frame, e FROM wn), lg AS (SELECT rec, w, start, frame, list_transform(e[frame * 7 + 1:frame * 7 + 7], lambda x: x * 12) AS l FROM fr),
+pb AS (SELECT rec, w, start, frame, list_transform(l, lambda y: exp(y) / list_sum(list_transform(l, lambda z: exp(z)))) AS p FROM lg),
+tt AS (SELECT rec, CAST(floor(((max(w) * 4 + 9) * 160000 + 294) / 589) AS BIGINT) AS total FROM wn GROUP BY rec)"""
+
+
+def _windows(spark, sf_dir):
+    e = F.transform("embedding", lambda x: x.cast("double") * 12)
+    logits = F.array(*(F.slice(e, 7 * k + 1, 7) for k in range(9)))
+    return vecs(spark, sf_dir).select("rec", FR.frame_to_sample(F.col("i") * 4).cast("long").alias("start"), logits.alias("logits"))
+
+
+def _totals(spark, sf_dir):
+    return vecs(spark, sf_dir).groupBy("rec").agg(FR.frame_to_sample(F.max("i") * 4 + 9).cast("long").alias("total"))
+
+
+@query(f"""WITH {_SCORES}, sl AS (SELECT rec, start, frame, s AS slot, round(CASE s WHEN 0 THEN p[2] + p[5] + p[6] WHEN 1 THEN p[3] + p[5] + p[7] ELSE p[4] + p[6] + p[7] END, 9) AS q FROM pb, (SELECT unnest(range(3)) AS s)),
+hy AS (SELECT rec, start, slot, frame, coalesce(last_value(CASE WHEN q >= 0.5 THEN true WHEN q < 0.357 THEN false END IGNORE NULLS) OVER (PARTITION BY rec, start, slot ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS o FROM sl),
+il AS (SELECT *, frame - row_number() OVER (PARTITION BY rec, start, slot ORDER BY frame) AS k FROM hy WHERE o),
+rn AS (SELECT rec, start, slot, min(frame) AS f, max(frame) + 1 AS s FROM il GROUP BY rec, start, slot, k)
+SELECT rec, start, CAST(slot AS INTEGER) AS slot, least(start + CAST(floor((f * 160000 + 294) / 589) AS BIGINT), total) AS first, least(start + CAST(floor((s * 160000 + 294) / 589) AS BIGINT), total) AS stop FROM rn JOIN tt USING (rec)
+WHERE least(start + floor((s * 160000 + 294) / 589), total) - least(start + floor((f * 160000 + 294) / 589), total) > 0""")
+def speaker_activities(spark, sf_dir):
+    scores = G.frame_scores(G.checked(_windows(spark, sf_dir), 9)).withColumn("slots", F.transform("slots", lambda x: F.round(x, 9)))
+    return G.speaker_activities(scores, _totals(spark, sf_dir))
+
+
+@query(f"""WITH {_SCORES}, pl AS (SELECT rec, CAST(floor(start * 589 / 160000) AS BIGINT) + frame AS frame, round(1 - p[1], 9) AS q FROM pb), mn AS (SELECT rec, frame, round(avg(q), 9) AS q FROM pl GROUP BY rec, frame),
+gr AS (SELECT rec, unnest(range(0, CAST(ceil(total * 589 / 160000) AS BIGINT))) AS frame FROM tt), de AS (SELECT rec, frame, coalesce(q, 0) AS q FROM gr LEFT JOIN mn USING (rec, frame)),
+hy AS (SELECT rec, frame, coalesce(last_value(CASE WHEN q >= 0.8 THEN true WHEN q < 0.7 THEN false END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS o FROM de),
+il AS (SELECT *, frame - row_number() OVER (PARTITION BY rec ORDER BY frame) AS k FROM hy WHERE o),
+rn AS (SELECT rec, least(CAST(floor((min(frame) * 160000 + 294) / 589) AS BIGINT), any_value(total)) AS first, least(CAST(floor(((max(frame) + 1) * 160000 + 294) / 589) AS BIGINT), any_value(total)) AS stop FROM il JOIN tt USING (rec) GROUP BY rec, k),
+mk AS (SELECT *, CASE WHEN first - max(stop) OVER (PARTITION BY rec ORDER BY first, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300 THEN 0 ELSE 1 END AS nw FROM rn),
+mg AS (SELECT rec, min(first) AS first, max(stop) AS stop FROM (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY first, stop) AS g FROM mk) GROUP BY rec, g)
+SELECT rec, first, stop FROM mg WHERE stop > first AND stop - first >= 500""")
+def voice_spans(spark, sf_dir):
+    scores = G.frame_scores(G.checked(_windows(spark, sf_dir), 9)).withColumn("voice", F.round("voice", 9))
+    return G.voice_spans(scores, _totals(spark, sf_dir), 0.8, 0.7, 300, 500)
