@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
-SQL = {"op5_decontam": decontam.OP5_SQL, "op2_substrings": substrings.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
+SQL = {"op6_secrets": secrets.OP6_SQL, "op5_decontam": decontam.OP5_SQL, "op2_substrings": substrings.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op9_quality_rules": quality_rules.OP9_SQL}

@@ -134,5 +134,29 @@ def op6_secrets(spark, sf_dir: str) -> DataFrame:
     name = F.array(*(F.lit(k[0]) for k in KINDS))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(3)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k][0]}")
+
+    counts = [count(k) for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _sql_kind(kind: int) -> str:
+    name, pattern, _, role, strong = KINDS[kind]
+    p = "'" + pattern.replace("'", "''") + "'"
+    ok = {"assign": f"length(regexp_extract(m, {p}, 2)) >= {ASSIGN_LEAST}", "blob": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[G-Zg-z+/]')"}.get(name, "true")
+    return f"""SELECT r, {kind} AS kind, '{role}' AS role, {strong} AS strong, e - length(m) AS s, e, {ok} AS ok FROM (SELECT r, m, i, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e
+  FROM (SELECT r, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (SELECT r, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS gs FROM d WHERE regexp_matches(t, {p}))))"""
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(_sql_kind(k) for k in range(len(KINDS)))}),
+b AS (SELECT r, kind, role, strong, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM a WHERE ok),
+w AS (SELECT x.r, x.kind, x.s, x.e, x.role, list_distinct(list(y.role)) AS near FROM b x JOIN b y ON x.r = y.r AND x.role <> y.role AND y.s - x.e <= {SCOPE} AND x.s - y.e <= {SCOPE} WHERE NOT x.strong GROUP BY ALL),
+k AS (SELECT r, kind, s, e FROM b WHERE strong UNION ALL SELECT r, kind, s, e FROM w WHERE CASE role WHEN 'identifier' THEN list_contains(near, 'secret') WHEN 'secret' THEN len(near) > 0 ELSE len(near) = 2 END),
+n AS (SELECT r, kind, s, e, (['{"', '".join(x[0] for x in KINDS)}'])[kind + 1] || ':' || s || ':' || e AS x FROM k),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY s, kind) AS spans FROM n GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
