@@ -87,20 +87,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast
     parts = []
     # One length, unless the benchmark has items shorter than a window; at most `window` lengths.
     for n in sorted(r["n"] for r in items.select("n").distinct().collect()) or [window]:
-        # Outer, so that no filter on the array's size is inferred and pushed below the columns that it is made of.
-        each = rows.withColumn("_windows", _windows(n)).select("_row", "doc_id", "_tokens", F.posexplode_outer("_windows").alias("doc_at", "hash"))
+        # Outer, so that no filter on the array's size is inferred and pushed below the columns that it is made of. Only ids,
+        # places and hashes are repeated for each window: a text's tokens would grow with the square of its length.
+        each = rows.select("_row", "doc_id", _windows(n).alias("_windows")).select("_row", "doc_id", F.posexplode_outer("_windows").alias("doc_at", "hash"))
         of = items.filter(F.col("n") == n)
-        if few:
-            # Slots are taken after the join, from the few windows that meet an item.
-            met = each.join(F.broadcast(of), "hash").withColumn("slots", _slots(F.col("doc_at"), F.lit(n)))
-        else:
-            met = each.withColumn("slots", _slots(F.col("doc_at"), F.lit(n))).drop("_tokens").join(of, "hash")
-        parts.append(met.select("_row", "doc_id", "item_id", "item_windows", "at", "doc_at", "item_slots", "slots"))
+        met = each.join(F.broadcast(of) if few else of, "hash")
+        parts.append(met.select("_row", "doc_id", "item_id", "item_windows", "n", "at", "doc_at", "item_slots"))
     met = reduce(DataFrame.unionByName, parts)
     met = written(met, "leaks")
     line = ["_row", "item_id", "offset"]
     met = met.withColumn("offset", F.col("doc_at") - F.col("at"))
-    pairs = met.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).select(*line, F.col("p.item_slots").alias("v"), F.col("p.slots").alias("u")).distinct()
+    # Slot values come from the texts that met an item in a window with slots: each of these texts is joined once.
+    asked = met.filter(F.size("item_slots") > 0).groupBy("_row").agg(F.collect_list(F.struct("item_id", "offset", "doc_at", "n", "item_slots")).alias("_asked"))
+    told = F.transform("_asked", lambda x: F.struct(x["item_id"].alias("item_id"), x["offset"].alias("offset"), F.arrays_zip(x["item_slots"].alias("v"), _slots(x["doc_at"], x["n"]).alias("u")).alias("p")))
+    pairs = rows.select("_row", "_tokens").join(asked, "_row").select("_row", told.alias("_told")).select("_row", F.explode_outer("_told").alias("x"))
+    pairs = pairs.select("_row", "x.item_id", "x.offset", F.explode("x.p").alias("p")).select(*line, F.col("p.v").alias("v"), F.col("p.u").alias("u")).distinct()
+    pairs = written(pairs, "slots") if not met.filter(F.size("item_slots") > 0).isEmpty() else pairs.limit(0)
     one_way = pairs.groupBy(*line, "v").agg(F.count(F.lit(1)).alias("k"), F.max("u").alias("u"))
     other_way = pairs.groupBy(*line, "u").agg(F.count(F.lit(1)).alias("k"))
     slots = one_way.groupBy(*line).agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum(F.when(F.col("v") != F.col("u"), 1).otherwise(0)).alias("n_changed"))
