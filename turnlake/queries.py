@@ -118,7 +118,7 @@ def cosine_topk_neighbors(spark, sf_dir):
     return S.nearest(v.filter("vec_id % 100 = 0"), v, 5).select("query", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"WITH {VEC_SQL} SELECT a.vec_id, round(1 - greatest(-1, least(1, list_dot_product(a.e, b.e))), 6) AS distance, round(1 - list_dot_product(a.e, b.e), 6) AS by_norms FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+@query(f"WITH {VEC_SQL} SELECT a.vec_id, round(1 - greatest(-1, least(1, list_dot_product(a.e, b.e))), 6) AS distance, round(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS by_norms FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
 def cosine_distance_clamped(spark, sf_dir):
     v = vecs(spark, sf_dir)
     both = v.select("vec_id", F.col("embedding").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
