@@ -38,8 +38,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    out = bpe.bpe_decode(bpe.bpe_encode(docs), text="_decoded")
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("_decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = bpe.bpe_encode(docs, round_trip="round_trip")
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [
