@@ -51,7 +51,8 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the bytes of Arrow batches, unless the session has set a bound itself."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("bB")) > 1 << 30:
+    found = spark.conf.get(key, str(2**31 - 1)).rstrip("bB")
+    if found.isdigit() and int(found) > 1 << 30:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
