@@ -22,7 +22,7 @@ WINDOW, GRAM = 35, 12
 #: Bits of the map of repeated anchors that every task holds (16 MB). A fuller map makes more windows candidates and loses none.
 MAP_BITS = 27
 #: Hashes that a task holds before it sums them up and sends them on.
-FLUSH = 2_000_000
+FLUSH = 700_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
