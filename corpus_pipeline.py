@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, quality_classifier, secrets, simhash
+from turnlake.llm import bpe, decontam, jaccard, quality_classifier, secrets
 from turnlake.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps one document of each group of near duplicates: texts that share 80 % of their 5-word shingles."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,158 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles.
+
+A text is the set of its SHINGLE-word sequences; equal sets are one from the start. The others meet in lists keyed by bands
+of least hashes: two sets of similarity s share one of BANDS bands of ROWS hashes with a chance of 1 - (1 - s ** ROWS) ** BANDS,
+which misses 5 of a million pairs at 0.8 and fewer above. Sets that meet are compared exactly, so no pair below the bound
+is linked, and a list yields the edges that join its sets (at most one less than they are), not its pairs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, written
+from .graph import components
+from .simhash import shingle_hashes
+
+SHINGLE, LEAST_PERCENT = 5, 80
+BANDS, ROWS = 40, 6
+#: Hashes of a set that are multiplied at a time.
+CHUNK = 256
+_rng = np.random.default_rng(42)
+FLIP = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+TIMES = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), CHUNK):
+        np.minimum(out, ((short[at : at + CHUNK] ^ FLIP) * TIMES).min(axis=1), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """From rows of least hashes: a key for each band of each row; equal bands at other places have other keys."""
+    values = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * ODD, values.shape[:2])
+    for k in range(ROWS):
+        key = (key ^ values[:, :, k]) * ODD
+        key = key ^ (key >> np.uint64(29))
+    return key
+
+
+def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """mark, id, same (equal for equal sets) and bands of each row (mark, id, text); a text without words has no band."""
+    bounded_batches(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            same, least, some = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_set(text, shingle)
+                same.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                some.append(len(hashes) > 0)
+                if len(hashes):
+                    least.append(least_hashes(hashes))
+            keys = band_keys(np.stack(least)) if least else np.empty((0, BANDS), np.uint64)
+            ends = np.concatenate([[0], np.cumsum(np.array(some, np.int64) * BANDS)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(keys).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("id"), pa.array(same, pa.binary()), bands], names=["mark", "id", "same", "bands"])
+
+    return rows.select("mark", "id", "text").mapInArrow(run, f"mark long, id {dict(rows.dtypes)['id']}, same binary, bands array<long>")
+
+
+def linked(sets: list[np.ndarray], least_percent: int = LEAST_PERCENT) -> tuple[list[int], list[int]]:
+    """Edges, as places in sets, that join what is linked: each set is compared once with those not yet reached."""
+    a, b = [], []
+    sizes = np.array([len(s) for s in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(codes, np.cumsum(sizes)[:-1])
+    left, held, flat = np.arange(len(sets)), np.arange(len(sets)), codes
+    chosen = np.zeros(len(values), bool)
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            if 2 * len(left) <= len(held):
+                held, flat = left, np.concatenate([of[k] for k in left])
+            x = todo.pop()
+            chosen[of[x]] = True
+            starts = np.concatenate([[0], np.cumsum(sizes[held])[:-1]])
+            shared = np.add.reduceat(chosen[flat], starts, dtype=np.int64)
+            chosen[of[x]] = False
+            near = np.intersect1d(held[100 * shared >= least_percent * (sizes[x] + sizes[held] - shared)], left, assume_unique=True)
+            if len(near):
+                left = np.setdiff1d(left, near, assume_unique=True)
+                a += [int(x)] * len(near)
+                b += near.tolist()
+                todo += near.tolist()
+    return a, b
+
+
+def set_edges(prints: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
+    """Edges (a, b) of marks that connect all those whose sets are similar; prints (mark, bands) has one mark of each set, texts (mark, text) their texts.
+
+    Lists that hold the same marks are read once. One list is held by one task, with 8 bytes a shingle.
+    """
+    lists = prints.select("mark", F.explode("bands").alias("key"))
+    sums = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("mark")).alias("x"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("y"))
+    once = sums.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    lists = written(lists.join(once, "key"), "lists")
+
+    def sets(batches):
+        for batch in batches:
+            made = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(made, pa.binary())], names=["mark", "hashes"])
+
+    met = texts.join(lists.select("mark").distinct(), "mark", "left_semi").select("mark", "text")
+    met = written(met.mapInArrow(sets, "mark long, hashes binary"), "sets")
+
+    def found(marks, hashes):
+        a, b = linked([np.frombuffer(h, np.uint64) for h in hashes], least_percent)
+        return pa.RecordBatch.from_arrays([pa.array([marks[k] for k in a], pa.int64()), pa.array([marks[k] for k in b], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        now, marks, hashes = None, [], []
+        for batch in batches:
+            for key, mark, h in zip(batch.column("key").to_pylist(), batch.column("mark").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                if key != now and marks:
+                    yield found(marks, hashes)
+                    marks, hashes = [], []
+                now = key
+                marks.append(mark)
+                hashes.append(h)
+        if marks:
+            yield found(marks, hashes)
+
+    by_list = lists.join(met, "mark").select("key", "mark", "hashes").repartition("key").sortWithinPartitions("key")
+    return written(by_list.mapInArrow(run, "a long, b long"), "jaccard")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
+    """docs with one row of each component of rows that links of similarity least_percent and more join: that of least doc_id, of equals the first.
+
+    Rows without an id come after those with one. Null texts and texts without words are alike, and like no other. An
+    empty table gives an empty result. The rows are written once with their marks, so docs is read once.
+    """
+    mark = "__place"
+    rows = written(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(mark).alias("mark"), F.col("doc_id").alias("id"), "text")
+    prints = written(sketches(texts, shingle), "sketches")
+    firsts = written(prints.groupBy("same").agg(F.min("mark").alias("first")), "representatives")
+    parts = components(set_edges(prints.join(firsts, prints["mark"] == firsts["first"], "left_semi"), texts, shingle, least_percent))
+    placed = firsts.join(parts, firsts["first"] == parts["node"], "left").select("same", F.coalesce("component", "first").alias("component"))
+    found = prints.select("mark", "id", "same").join(placed, "same")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark"))["mark"].alias("_best"))
+    gone = found.join(best, "component").filter("mark <> _best").select(F.col("mark").alias(mark))
+    return rows.join(written(gone, "copies"), mark, "left_anti").drop(mark)
