@@ -116,6 +116,23 @@ def test_weak_spans_need_their_complements(spark):
     assert red[2] == "<secret> and <secret>" and red[0] == texts[0]
 
 
+def test_parts_in_the_middle_of_a_long_span(spark, duck):
+    """A span of many scope cells meets the parts inside it, as in the SQL."""
+    fill = lambda n: "-" * n
+    blob, key = "Zx9" * 14, "AKIA" + "Q7" * 10
+    texts = [f"https://h.x/{fill(900)}{key}{fill(400)}{blob}{fill(1000)}", f"see s3://b/{fill(2500)}.{blob}.{fill(2500)} end", f"https://h.x/{fill(3000)}", f"{blob} {fill(1000)} https://h.x/{fill(4000)}{blob}{fill(900)}"]
+    d = docs(spark, texts).select("doc_id", "text")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan_secrets(d).collect()}
+    own = duck.cursor()
+    own.execute("create temp table documents as select * from (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(texts)) + ") as v(doc_id, text)")
+    names = [k[0] for k in secrets.KINDS]
+    want = {r[0]: r[5] for r in own.execute(secrets.OP6_SQL).fetchall()}
+    assert {k: ",".join(f"{names[a]}:{b}:{c}" for a, b, c in got[k]) for k in want} == want
+    assert [k for k, *_ in got[0]] == [5, 1, 4] and [k for k, *_ in got[1]] == [4] and got[2] == []
+    red = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(d).collect()}
+    assert red[0] == "<secret>" and blob not in red[1]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["the", "ing", "aa", "'s", "zq", "é", "ß", "😀", " ", "\n", "12", "!!", "<|endoftext|>", "　", "thndsh", "X"]), max_size=30))
 def test_encoding_is_the_librarys(parts):

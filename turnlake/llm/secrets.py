@@ -81,10 +81,10 @@ def linked_spans(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     role = F.element_at(F.array(*(F.lit(roles[k[3]]) for k in KINDS)), F.col("kind") + 1)
     strong = F.element_at(F.array(*(F.lit(k[4]) for k in KINDS)), F.col("kind") + 1)
     weak = each.filter(~strong).select("_row", "kind", "start", "end", role.alias("role"))
-    # A part stands in its own scope cell and the two beside it; a cell is SCOPE characters, which bounds what meets in it.
+    # A part stands in all the scope cells that it covers and in one more at either end, a weak span in all that it covers: as many as its length needs.
     first, last = F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)
-    parts = each.select(F.col("_row"), F.explode(F.array_distinct(F.array(*(f + d for f in (first, last) for d in (-1, 0, 1))))).alias("cell"), F.col("start").alias("_s"), F.col("end").alias("_e"), role.alias("_role"))
-    weak = weak.withColumn("cell", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))))
+    parts = each.select(F.col("_row"), F.explode(F.sequence(first - 1, last + 1)).alias("cell"), F.col("start").alias("_s"), F.col("end").alias("_e"), role.alias("_role"))
+    weak = weak.withColumn("cell", F.explode(F.sequence(first, last)))
     near = (F.col("_s") - F.col("end") <= scope) & (F.col("start") - F.col("_e") <= scope) & (F.col("role") != F.col("_role"))
     seen = weak.join(parts, ["_row", "cell"]).filter(near).groupBy("_row", "kind", "start", "end", "role").agg(F.bit_or("_role").alias("near"))
     # An identifier needs a secret; a secret needs an identifier or an endpoint; an endpoint needs both of the others.
