@@ -355,3 +355,40 @@ def test_one_of_each_group_stays(spark):
     twice = d.unionByName(d.filter("doc_id = 1"))
     got = simhash.keep_one(twice.select("doc_id", "text")).collect()
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got) == [-1, 0, 3]
+
+
+@pytest.fixture
+def shifting(spark, tmp_path):
+    """Reads a table whose rows get other places each time that something is written: its files are dealt to tasks anew."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before, old = spark.conf.get(key), (simhash.written, decontam.written)
+
+    def wrapped(df, name):
+        out = old[0](df, name)
+        spark.conf.set(key, "16384b" if spark.conf.get(key) != "16384b" else before)
+        return out
+
+    def read(rows):
+        for k, row in enumerate(rows):
+            spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+        simhash.written = decontam.written = wrapped
+        return spark.read.parquet(str(tmp_path / "docs"))
+
+    yield read
+    simhash.written, decontam.written = old
+    spark.conf.set(key, before)
+
+
+def test_copies_of_a_table_whose_splits_change(spark, shifting):
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, base if k % 2 else " ".join(f"v{k}x{i}" for i in range(20 + 30 * k))) for k in range(8)]
+    got = sorted(r["doc_id"] for r in simhash.keep_one(shifting(rows)).collect())
+    assert got == [0, 1, 2, 4, 6]
+
+
+def test_leaks_of_a_table_whose_splits_change(spark, shifting):
+    items = spark.createDataFrame([(1, "A train leaves at 5 pm and travels 120 km before John meets Mary, how far does John travel in 5 hours?")], "item_id long, text string")
+    text = "so. A train leaves at 7 pm and travels 300 km before Bob meets Alice, how far does Bob travel in 7 hours? ok"
+    rows = [(k, text if k % 2 else "other words 1 2 3 " * (5 + 40 * k)) for k in range(8)]
+    got = sorted((r["doc_id"], r["kind"], r["n_slots"] > 0) for r in decontam.leaks(shifting(rows), items).collect())
+    assert got == [(k, "reparameterised", True) for k in (1, 3, 5, 7)]

@@ -79,11 +79,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast
     kind is exact if all slot values that line up are equal, else reparameterised. Windows line up if they are equally far
     from each other in both texts; those whose slots contradict each other there don't count. Null and empty texts have no
     window; items without a word and items with a null id are ignored, repeated items count once; repeated rows are judged
-    alike; empty tables give an empty result. Columns other than doc_id, item_id and text are ignored.
+    alike; empty tables give an empty result. Columns other than doc_id, item_id and text are ignored. The texts are written
+    once with their places, so docs is read once.
     """
     items = written(item_windows(benchmark, window), "benchmark")
     few = items.count() <= broadcast_windows
-    rows = _templates(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", "doc_id")
+    rows = _templates(written(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "texts"), "_row", "doc_id")
     parts = []
     # One length, unless the benchmark has items shorter than a window; at most `window` lengths.
     for n in sorted(r["n"] for r in items.select("n").distinct().collect()) or [window]:

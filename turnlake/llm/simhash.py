@@ -189,10 +189,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
     """docs with one row of each component: that of least doc_id, of equals the first; rows without an id come after those with one.
 
-    docs is read twice and must give its rows in the same order, as a table does.
+    The rows are written once with their marks, so docs is read once.
     """
     mark = "__place"
-    rows = docs.withColumn(mark, F.monotonically_increasing_id())
+    rows = written(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows.select(F.col(mark).alias("doc_id"), F.col("doc_id").alias("_id"), "text"), shingle, most_bits)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id"))["doc_id"].alias("_best"))
     gone = found.join(best, "component_id").filter("doc_id <> _best").select(F.col("doc_id").alias(mark))
