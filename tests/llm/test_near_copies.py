@@ -1,11 +1,14 @@
 """Near copies against the Jaccard similarity of all pairs."""
 
+import itertools
 import random
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from turnlake.llm import jaccard
+from turnlake.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -52,27 +55,76 @@ def test_the_stage_finds_planted_near_copies(spark):
     assert corpus_pipeline.deduplicate(spark, docs.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_linked_joins_what_all_pairs_join(seed):
-    import numpy as np
-
-    rng = random.Random(seed)
-    base = [set(rng.sample(range(10_000), rng.randint(5, 40))) for _ in range(4)]
-    sets = []
-    for _ in range(60):
-        s = set(rng.choice(base))
-        for _ in range(rng.randint(0, 4)):
-            s.discard(rng.choice(sorted(s)))
-            s.add(rng.randint(0, 10_000))
-        sets.append(s)
-    a, b = jaccard.linked([np.array(sorted(s), np.uint64) for s in sets])
-    group = lambda edges: _groups(len(sets), edges)
-    assert group(zip(a, b, strict=True)) == group((i, j) for i in range(60) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8)
-
-
-def _groups(n, edges):
-    group = list(range(n))
-    for i, j in edges:
-        old, new = max(group[i], group[j]), min(group[i], group[j])
-        group = [new if g == old else g for g in group]
+def components_plain(pairs):
+    group = {}
+    for a, b in pairs:
+        old, new = max(group.setdefault(a, a), group.setdefault(b, b)), min(group[a], group[b])
+        group = {k: new if g == old else g for k, g in group.items()}
     return group
+
+
+def test_position_sets():
+    """Any four of eight positions hold a triple, any three a pair."""
+    for shared in (2, 3, 4):
+        sets = simhash.position_sets(shared)
+        assert all(any(set(s) <= set(p) for s in sets) for p in itertools.combinations(range(8), shared))
+    assert len(simhash.position_sets(4)) == 20
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_pairs_of_lists(spark, block):
+    """Pairs of different parts that meet in a list and reach the count, whether a list is one block or many."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(120):
+        lists = [int(x) for x in {rng.integers(0, 5), 100 + rng.integers(0, 60), 200 if k < 40 else 1000 + k}]
+        part = int(k // 8 * 8) if k % 3 == 0 else k
+        tally = rng.integers(0, 3, near_copies.TALLY).astype(np.uint8).tobytes()
+        rows.append((k, part, k % 3 != 0, int(rng.integers(90, 130)), tally, lists))
+    reps = spark.createDataFrame(rows, "mark long, part long, alone boolean, size long, tally binary, lists array<long>")
+    got = {(r["a"], r["b"]) for r in near_copies.far_pairs(reps, 80, block).collect()}
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        shared = sum(p == q for p, q in zip(x[4], y[4], strict=True))
+        if set(x[5]) & set(y[5]) and x[1] != y[1] and shared >= near_copies.LEAST_SHARED and 100 * min(x[3], y[3]) >= 80 * max(x[3], y[3]):
+            want.add((x[0], y[0]))
+    assert got == want and len(want) > 100
+
+
+def test_recall_of_lists_and_tally():
+    """Pairs of similarity 0.8: they meet in a list and reach the count with a chance of 0.995 at least."""
+    rng = np.random.default_rng(3)
+    met, n = 0, 600
+    for _ in range(n):
+        size = int(rng.integers(9, 300)) // 9 * 9
+        h = rng.integers(0, 1 << 62, size + size // 9, dtype=np.uint64)
+        x, y = (near_copies.positional_bytes(near_copies.signed_sums(v)[None]) for v in (h[:size], h[size // 9 :]))
+        at = near_copies.BANDS * near_copies.ROWS
+        met += bool((near_copies.list_keys(x) == near_copies.list_keys(y)).any() and (x[:, at:] == y[:, at:]).sum() >= near_copies.LEAST_SHARED)
+    assert met >= 0.99 * n
+
+
+def test_recall_on_documents(spark):
+    """Groups of sf0.01 against the similarities of all pairs."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {k: near_copies.shingle_set(t) for k, t in texts.items()}
+    where = {}
+    for k, s in sets.items():
+        for h in s.tolist():
+            where.setdefault(h, []).append(k)
+    shared = Counter(p for ks in where.values() for p in itertools.combinations(sorted(ks), 2))
+    links = [p for p, n in shared.items() if 10 * n >= 8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    group = components_plain(links)
+    want = {k for k in texts if group.get(k, k) == k}
+    assert {r["doc_id"] for r in near_copies.keep_one(docs).collect()} == want and len(want) < len(texts)
+
+
+def test_odd_rows(spark):
+    rows = [(0, None, "k", 1), (1, "", "k", 1), (2, " \n", "k", 1), (3, "a b", "k", 1), (3, "a b", "k", 1), (None, "A b", "k", 1), (None, "only one", "k", 1), (9, "w " * 30000, "k", 1), (8, "W " * 40000, "k", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, part int")
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 0), (False, 3), (False, 8), (True, None)]
+    with pytest.raises(ValueError):
+        near_copies.keep_one(docs, least_percent=70)

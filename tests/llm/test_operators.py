@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, graph, langid, lm, quality_classifier, quality_rules, secrets, sharding, simhash, substrings
+from turnlake.llm import bpe, decontam, graph, langid, lm, near_copies, quality_classifier, quality_rules, secrets, sharding, simhash, substrings
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t ", "x", "¿ñ é　😀 <|endoftext|>", "the the the the the the the the the the the", "a b c d e f g " * 3000]
@@ -35,7 +35,7 @@ OPERATORS = {
     "rules": lambda d: quality_rules.quality_rules(d),
     "shards": lambda d: sharding.shard_rows(d, sharding.shard_tree(8), sharding.grown(sharding.shard_tree(8), 8)),
     "near": lambda d: simhash.near_duplicates(d.select("doc_id", "text")),
-    "keep_one": lambda d: simhash.keep_one(d.select("doc_id", "text")),
+    "keep_one": lambda d: near_copies.keep_one(d.select("doc_id", "text")),
     "secrets": lambda d: secrets.scan_secrets(d),
     "redact": lambda d: secrets.redact_secrets(d.select("doc_id", "text")),
     "encode": lambda d: bpe.bpe_encode(d),
@@ -353,7 +353,7 @@ def test_one_of_each_group_stays(spark):
     base = " ".join(f"word{k}" for k in range(200))
     d = docs(spark, [base, base, base + " x", "quite another text about other things entirely", base])
     twice = d.unionByName(d.filter("doc_id = 1"))
-    got = simhash.keep_one(twice.select("doc_id", "text")).collect()
+    got = near_copies.keep_one(twice.select("doc_id", "text")).collect()
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got) == [-1, 0, 3]
 
 
@@ -361,7 +361,7 @@ def test_one_of_each_group_stays(spark):
 def shifting(spark, tmp_path):
     """Reads a table whose rows get other places each time that something is written: its files are dealt to tasks anew."""
     key = "spark.sql.files.maxPartitionBytes"
-    before, old = spark.conf.get(key), (simhash.written, decontam.written)
+    before, old = spark.conf.get(key), (near_copies.written, decontam.written)
 
     def wrapped(df, name):
         out = old[0](df, name)
@@ -371,18 +371,18 @@ def shifting(spark, tmp_path):
     def read(rows):
         for k, row in enumerate(rows):
             spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
-        simhash.written = decontam.written = wrapped
+        near_copies.written = decontam.written = wrapped
         return spark.read.parquet(str(tmp_path / "docs"))
 
     yield read
-    simhash.written, decontam.written = old
+    near_copies.written, decontam.written = old
     spark.conf.set(key, before)
 
 
 def test_copies_of_a_table_whose_splits_change(spark, shifting):
     base = " ".join(f"word{k}" for k in range(60))
     rows = [(k, base if k % 2 else " ".join(f"v{k}x{i}" for i in range(20 + 30 * k))) for k in range(8)]
-    got = sorted(r["doc_id"] for r in simhash.keep_one(shifting(rows)).collect())
+    got = sorted(r["doc_id"] for r in near_copies.keep_one(shifting(rows)).collect())
     assert got == [0, 1, 2, 4, 6]
 
 

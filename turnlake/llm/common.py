@@ -13,6 +13,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 #: Most bytes of one Arrow batch that goes to a Python worker, so that long texts don't add up.
 BATCH_BYTES = 32 << 20
+#: A key is hot if more than one in so many rows have it; so there are fewer hot keys than this.
+HOT_PARTS, HOT_LEAST = 1000, 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, local sessions get a temporary one, others an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,7 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: cuts lineage, and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more."""
+    for t in tables:
+        drop_folder(t.sparkSession, t._folder)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -48,8 +60,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_hot(rows: DataFrame, of: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with `of`, which has each key once and, in the column `count`, the rows that have it; `total` is their sum.
+
+    Hot keys (fewer than HOT_PARTS, whatever the size) are broadcast, so that their rows stay where they are; the others
+    are joined by a shuffle.
+    """
+    hot = (F.col(count) > total / HOT_PARTS) & (F.col(count) > HOT_LEAST)
+    few, rest = F.broadcast(of.filter(hot).drop(count)), of.filter(~hot).drop(count)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(of.filter(hot).select(key)), key, "left_anti").join(rest, key))
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of Arrow batches, unless the session has set a bound itself."""
+    """Bounds the bytes of the session's Arrow batches, unless it has set a bound itself (Spark has no bound for one query only)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     found = spark.conf.get(key, str(2**31 - 1)).rstrip("bB")
     if found.isdigit() and int(found) > 1 << 30:

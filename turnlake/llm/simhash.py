@@ -1,10 +1,11 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint has 8 positional bytes. Two that differ in at most 4 bits differ in at most 4 bytes, so at least 4 of their
-positional bytes are shared: that is the count that a pair must reach. Posting lists of single positional bytes would hold
-1/256 of all rows each, and their pairs would grow with the square of the input, so the lists are keyed by the sets of as
-many positional bytes as a pair is bound to share (70 sets of 4). A pair that meets in a list has reached the count, and is
-verified by the bits that differ. Only distinct fingerprints are indexed, and a list yields the edges that join its
+positional bytes are shared: the guaranteed count. Posting lists of single positional bytes would hold 1/256 of all rows
+each, and their pairs would grow with the square of the input, so a list is keyed by three positional bytes, and the lists are
+so chosen that any four of the eight positions hold a list's three: 20 lists a fingerprint. Within a list the shared
+positional bytes of pairs are tallied, those of four and more are retained (about 2 % of pairs that meet by chance), and
+these are verified by the bits that differ. Only distinct fingerprints are indexed, and a list yields the edges that join its
 fingerprints (at most one less than they are), not its pairs.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, written
+from .common import bounded_batches, documents, forget, join_hot, written
 from .graph import components
 
 SHINGLE, SEED, BITS, MOST_BITS = 4, 42, 64, 4
@@ -81,7 +82,9 @@ def scan_edges(fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]
             for x in todo.pop():
                 apart = x ^ left
                 shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-                near = (shared >= 8 - most_bits) & (np.bitwise_count(apart) <= most_bits)
+                # The tally retains few pairs; only those are verified.
+                near = shared >= 8 - most_bits
+                near[near] = np.bitwise_count(apart[near]) <= most_bits
                 if near.any():
                     found, left = left[near], left[~near]
                     a.append(np.full(len(found), x, np.uint64))
@@ -99,19 +102,57 @@ def flips(most: int) -> np.ndarray:
     return np.array([np.bitwise_or.reduce([np.uint64(0), *map(one, bits)]) for n in range(most + 1) for bits in itertools.combinations(range(BITS), n)], np.uint64)
 
 
-def runs_of_keys(batches):
-    """From batches sorted by key: (keys, values, starts of runs) of whole runs; a run that goes on is held back."""
-    keys, values = np.empty(0, np.int64), np.empty(0, np.uint64)
+def position_sets(shared: int, positions: int = 8) -> list[tuple[int, ...]]:
+    """Sets of positions, one smaller than `shared`, such that any `shared` of the positions hold one of them.
+
+    For shared = 4 these are triples: three classes of positions, and all triples inside a class or with two of one class
+    and one of the next. Four positions always hold one of those. For other counts all sets are taken.
+    """
+    if shared != 4:
+        return list(itertools.combinations(range(positions), max(1, shared - 1)))
+    home = [p * 3 // positions for p in range(positions)]
+
+    def taken(t: tuple[int, ...]) -> bool:
+        n = [sum(home[p] == c for p in t) for c in range(3)]
+        return 3 in n or any(n[c] == 2 and n[(c + 1) % 3] == 1 for c in range(3))
+
+    return list(filter(taken, itertools.combinations(range(positions), 3)))
+
+
+def runs_of_keys(batches, read, most: int):
+    """From batches sorted by key: (keys, values, hot) of whole runs, where read gives a batch's values.
+
+    The run that a batch ends with is held back; one of over `most` rows is passed on in pieces that are marked hot, so that
+    no run is held whole, however long it is.
+    """
+    keys, values, hot = np.empty(0, np.int64), None, None
     for batch in batches:
-        keys = np.concatenate([keys, batch.column("key").to_numpy()])
-        values = np.concatenate([values, batch.column("fp").to_numpy().view(np.uint64)])
-        if not len(keys) or keys[0] == keys[-1]:
+        key, value = batch.column("key").to_numpy(), read(batch)
+        if not len(key):
             continue
-        cut = int(np.searchsorted(keys, keys[-1]))
-        yield values[:cut], np.flatnonzero(np.concatenate([[True], keys[1:cut] != keys[: cut - 1]]))
-        keys, values = keys[cut:], values[cut:]
+        if values is not None and len(keys):
+            key, value = np.concatenate([keys, key]), np.concatenate([values, value])
+        if hot is not None and key[0] == hot:
+            more = int(np.searchsorted(key, hot, "right"))
+            yield key[:more], value[:more], True
+            key, value = key[more:], value[more:]
+            if not len(key):
+                keys, values = key, value
+                continue
+        hot = None
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield key[:cut], value[:cut], False
+        keys, values = key[cut:], value[cut:]
+        if len(keys) > most:
+            yield keys, values, True
+            hot, keys, values = keys[0], keys[:0], values[:0]
     if len(keys):
-        yield values, np.array([0])
+        yield keys, values, False
+
+
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
 def _edge_batch(a, b, hot) -> pa.RecordBatch:
@@ -125,22 +166,28 @@ def _edge_batch(a, b, hot) -> pa.RecordBatch:
 def fingerprint_edges(fps: DataFrame, most_bits: int = MOST_BITS, scan_most: int = SCAN_MOST) -> DataFrame:
     """From distinct fingerprints (fp): edges (a, b) that connect all those linked by steps of most_bits bits at most (an even number, 6 at most).
 
-    Lists come sorted to their tasks. One of up to scan_most fingerprints is scanned in place. The fingerprints of a longer
-    one go to a second exact join: two that differ in 2k bits at most share a value within k bits of both, and all that
-    share such a value are linked, so each of these values yields a star, however many share it.
+    Lists come sorted to their tasks. One of up to scan_most fingerprints is scanned in place; a longer one is never held,
+    and its fingerprints go to a second exact join: two that differ in 2k bits at most share a value within k bits of both,
+    and all that share such a value are linked, so each of these values yields a star, however many share it. No
+    fingerprints give no edges.
     """
-    sets = list(itertools.combinations(range(8), 8 - most_bits))
+    sets = position_sets(8 - most_bits)
     masks = [sum(255 << 8 * k for k in ks) for ks in sets]
     key = lambda k, m: F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)))
     lists = fps.select("fp", F.explode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("key"))
+    read = lambda batch: batch.column("fp").to_numpy().view(np.uint64)
 
     def scan(batches):
-        for values, starts in runs_of_keys(batches):
+        for keys, values, hot in runs_of_keys(batches, read, scan_most):
+            if hot:
+                yield _edge_batch(values, values, True)
+                continue
+            starts = starts_of(keys)
             sizes = np.diff(np.append(starts, len(values)))
             two = starts[sizes == 2]
             apart = values[two] ^ values[two + 1]
-            shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = two[(shared >= 8 - most_bits) & (np.bitwise_count(apart) <= most_bits)]
+            retained = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - most_bits
+            near = two[retained][np.bitwise_count(apart[retained]) <= most_bits]
             a, b = [values[near]], [values[near + 1]]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 if n > scan_most:
@@ -158,8 +205,14 @@ def fingerprint_edges(fps: DataFrame, most_bits: int = MOST_BITS, scan_most: int
                 yield pa.RecordBatch.from_arrays([pa.array((fp ^ near).view(np.int64)), pa.array(np.full(len(near), fp).view(np.int64))], names=["key", "fp"])
 
     def stars(batches):
-        for values, starts in runs_of_keys(batches):
-            first = np.repeat(values[starts], np.diff(np.append(starts, len(values))))
+        hub_key, hub = None, np.uint64(0)
+        for keys, values, _ in runs_of_keys(batches, read, scan_most):
+            starts = starts_of(keys)
+            first = values[starts]
+            if keys[0] == hub_key:
+                first[0] = hub
+            hub_key, hub = keys[-1], first[-1]
+            first = np.repeat(first, np.diff(np.append(starts, len(values))))
             yield _edge_batch(first[first != values], values[first != values], False)
 
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
@@ -178,25 +231,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     or component_id are replaced.
     """
     docs = written(fingerprints(docs.drop("component_id"), shingle), "fingerprints")
-    reps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "representatives")
-    parts = components(fingerprint_edges(reps.select("fp"), most_bits))
-    placed = reps.join(parts, reps["fp"] == parts["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = placed.join(least, "component").select("fp", "component_id")
-    return docs.join(of, "fp")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """docs with one row of each component: that of least doc_id, of equals the first; rows without an id come after those with one.
-
-    The rows are written once with their marks, so docs is read once.
-    """
-    mark = "__place"
-    rows = written(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col(mark).alias("doc_id"), F.col("doc_id").alias("_id"), "text"), shingle, most_bits)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id"))["doc_id"].alias("_best"))
-    gone = found.join(best, "component_id").filter("doc_id <> _best").select(F.col("doc_id").alias(mark))
-    return rows.join(written(gone, "copies"), mark, "left_anti").drop(mark)
+    reps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_rows")), "representatives")
+    edges = fingerprint_edges(reps.select("fp"), most_bits)
+    parts = components(edges)
+    placed = written(reps.join(parts, reps["fp"] == parts["node"], "left").select("fp", "first_id", "_rows", F.coalesce("component", "fp").alias("component")), "placed")
+    sums = placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
+    distinct, total = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    of = written(join_hot(placed.drop("first_id"), sums, "component", "_nodes", distinct).select("fp", "_rows", "component_id"), "components")
+    forget(reps, placed)
+    return join_hot(docs, of, "fp", "_rows", total)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
