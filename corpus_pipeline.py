@@ -9,35 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, jaccard, quality_classifier, secrets
+from turnlake.llm import bpe, decontam, near_copies, quality_classifier, secrets
 from turnlake.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are likely junk or toxic."""
+    """Rejects documents that are likely junk or toxic, and those of null text. Repeated rows are judged alike; an empty table gives an empty one."""
     scorer = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.classify(docs, scorer).filter("kept").select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: texts that share 80 % of their 5-word shingles."""
-    return jaccard.keep_one(docs).select(*COLUMNS)
+    """Keeps one document of each group of near duplicates: texts that share 80 % of their 5-word shingles.
+
+    The one of least doc_id stays, rows without an id last. Null and blank texts are one group. An empty table gives an empty one.
+    """
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which items of the benchmark leak."""
+    """Drops documents in which items of the benchmark leak. Null and empty texts stay, and so do all rows if the benchmark is empty."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in place of secrets; n_chars follows the text."""
+    """Puts a mark in place of secrets; n_chars follows the text, and is null for a null text, which stays. All rows are kept."""
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text. Null and empty texts have no ids; all rows are kept."""
     out = bpe.bpe_encode(docs, round_trip="round_trip")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
