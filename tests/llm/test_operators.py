@@ -72,6 +72,100 @@ def test_leaks_of_odd_rows(spark):
     assert decontam.leaks(d.limit(0), items).count() == 0 and decontam.leaks(d, items.limit(0)).count() == 0
 
 
+def kinds(spark, items, texts):
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["kind"], r["n_changed"]) for r in decontam.leaks(docs(spark, texts), b).collect()}
+
+
+def test_leaks_of_decimals(spark):
+    item = "The tank holds 3.5 litres of water and then the farmer pours in 35 litres more, so how full is the tank of 3.5 litres?"
+    other = item.replace("35", "70").replace("3.5", "4.5")
+    swapped = item.replace("35", "#").replace("3.5", "35").replace("#", "3.5")
+    thousands = item.replace("3.5", "1,200,000").replace("35", "1.2")
+    got = kinds(spark, [item], [item, other, swapped, thousands])
+    assert got == {(0, 0): ("exact", 0), (1, 0): ("reparameterised", 2), (2, 0): ("reparameterised", 2), (3, 0): ("reparameterised", 2)}
+
+
+def test_leaks_of_items_that_are_mostly_numbers(spark):
+    items = ["What is 17 + 25", "1 2 3 4 5 6 7 8 9 10 11 12 and 13"]
+    got = kinds(spark, items, ["so, What is 17 + 25?", "what is 18 + 25", "1 2 3 4 5 6 7 8 9 10 11 12 and 13", "5 2 3 5 5 6 7 8 9 5 11 12 and 14"])
+    assert got == {(0, 0): ("exact", 0), (2, 1): ("exact", 0)}
+
+
+def test_a_verbatim_run_of_a_long_item_leaks(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    run = lambda n: "other text here " + " ".join(words[20 : 20 + n]) + " and more text"
+    got = kinds(spark, [" ".join(words)], [run(20), run(13), run(12)])
+    assert set(got) == {(0, 0), (1, 0)}
+
+
+def test_one_contradiction_costs_its_windows_only(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80)]
+    words[5] = words[70] = "44"
+    copy = list(words)
+    copy[70] = "45"
+    assert set(kinds(spark, [" ".join(words)], [" ".join(copy)])) == {(0, 0)}
+
+
+def test_a_token_does_not_depend_on_the_text_before(spark):
+    item = "Which of these animals has the longest neck of all"
+    assert set(kinds(spark, [item], [item, "and so " + item, "we ask. " + item, item.lower(), item.upper()])) == {(k, 0) for k in range(5)}
+
+
+def test_recall_on_reparameterised_copies(spark):
+    rng = random.Random(4)
+    names = ["Anna", "Boris", "Chen", "Dora", "Emil", "Farid", "Greta", "Hugo"]
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 7)))
+    items, copies = [], []
+    for _ in range(60):
+        body = [word() for _ in range(40)]
+        for at in rng.sample(range(40), 6):
+            body[at] = rng.choice(["{a}", "{b}", "{n}"])
+        values = rng.sample(range(10, 99), 4)
+        who = rng.sample(names, 2)
+        items.append(" ".join(body).format(a=values[0], b=values[1], n=who[0]))
+        copies.append(" ".join(body).format(a=values[2], b=values[3], n=who[1]))
+    got = kinds(spark, items, copies)
+    assert {k for k in got if k[0] == k[1]} == {(k, k) for k in range(60)} and len(got) == 60
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(5, item, 1), (5, "clean text", 2), (None, item, 3), (None, None, 4), (5, "clean text", 2)], "doc_id long, text string, _row int")
+    got = decontam.without_leaks(d, b)
+    assert got.columns == d.columns and sorted(r["_row"] for r in got.collect()) == [2, 2, 4]
+
+
+def test_a_word_of_any_length():
+    from tokenizers import Tokenizer
+
+    ref, b, rng = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path()), random.Random(1)
+    for pool in (range(0x4E00, 0x9FFF), range(ord("a"), ord("k")), [ord("a")]):
+        w = "".join(chr(rng.choice(pool)) for _ in range(300_000))
+        ids = np.frombuffer(b.encode(w), "<u4").tolist()
+        assert ids == ref.encode(w, add_special_tokens=False).ids and b.decode(ids) == w
+    for n in range(1, 300):
+        w = "".join(rng.choices("aehinost", k=n)).encode()
+        assert b.merge_long(w) == ref.encode(w.decode(), add_special_tokens=False).ids
+
+
+def test_letters_newer_than_the_librarys_tables():
+    from tokenizers import Tokenizer
+
+    ref, b, rng = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path()), random.Random(1)
+    pool = [chr(int(x, 16)) for part in bpe.NEWER for x in part.split("-")] + ["'s", "'re", " ", "a", "1", "é", "!", "日", "\n"]
+    for _ in range(3000):
+        t = "".join(rng.choices(pool, k=rng.randint(1, 8)))
+        assert np.frombuffer(b.encode(t), "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
+def test_rules_keep_the_callers_columns(spark):
+    d = spark.createDataFrame([(1, "a b c", 7, "x")], "doc_id long, text string, _at int, _Words string")
+    got = quality_rules.quality_rules(d).first().asDict()
+    assert got["_at"] == 7 and got["_Words"] == "x" and got["_m"]["n_words"] == 3
+
+
 def test_growth_moves_rows_to_the_new_shard_only(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("é").alias("text"))
     for n in (1, 2, 3, 7, 8):
@@ -349,6 +443,28 @@ def test_classifier_on_known_labels(spark):
     assert both[both["quality"] == 0]["kept"].mean() < 0.2
 
 
+def test_classifier_on_labels_that_did_not_vote(spark):
+    """Half of the labels vote; the other half tells how many junk, toxic and clean documents are found."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    vote = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality_classifier.classify(d, quality_classifier.train(d, labels.filter(vote))).drop("quality", "toxic", "junk")
+    both = got.join(labels.filter(~vote), "doc_id").toPandas()
+    rate = lambda x: 1 - x["kept"].mean()
+    junk, toxic, clean = rate(both[both["quality"] == 0]), rate(both[both["toxic"] == 1]), rate(both[(both["quality"] == 1) & (both["toxic"] == 0)])
+    print(f"held out: junk {junk:.3f}, toxic {toxic:.3f}, clean {clean:.3f} rejected")
+    assert junk > 0.9 and toxic > 0.8 and clean < 0.05
+
+
+def test_a_fit_does_not_depend_on_repeats(spark):
+    """Ids that rows share, repeated rows and null ids: the scorer is the same each time."""
+    rng = random.Random(0)
+    rows = [(k % 7 if k % 5 else None, " ".join(rng.choices(["good", "fine", "idiot", "###", "word", "the"], k=30))) for k in range(80)]
+    d = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    one, two = (quality_classifier.train(x, None) for x in (d, d.repartition(3)))
+    assert (one.weights == two.weights).all() and one.weights.any()
+
+
 def test_one_of_each_group_stays(spark):
     base = " ".join(f"word{k}" for k in range(200))
     d = docs(spark, [base, base, base + " x", "quite another text about other things entirely", base])

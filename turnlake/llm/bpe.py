@@ -8,6 +8,7 @@ with a failing pair are merged step by step. Pieces already encoded come from a
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import json
 from functools import lru_cache
@@ -21,7 +22,20 @@ from .common import bounded_batches, documents
 
 #: The split pattern of the byte-level vocabularies (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 300_000
+#: Letters and digits that Unicode got after its version 16, whose tables the public tokenizers go by.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+).split()
+_newer = "".join("-".join(f"\\U{int(x, 16):08X}" for x in part.split("-")) for part in NEWER)
+#: The same pattern where a text has such letters: they are neither letters nor digits.
+OLD_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{_newer}])").replace(r"?\p{L}+", rf"?(?:(?![{_newer}])\p{{L}})+").replace(r"?\p{N}+", rf"?(?:(?![{_newer}])\p{{N}})+")
+#: Words that the cache holds, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 300_000, 64 << 20
+#: Longer words (in bytes) are merged with a heap.
+LONG_WORD = 96
 CACHE_PAIRS = 2_000_000
 PIECES_AT_ONCE = 200_000
 RUN_CHARS = 1_000_000
@@ -74,12 +88,15 @@ class ByteBpe:
         for b, i in vocab.items():
             self.never[i] = self.merge(b) != [i]
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
-        self.split = regex.compile(PATTERN)
+        self.split_new, self.split_old, self.newer = regex.compile(PATTERN), regex.compile(OLD_PATTERN), regex.compile(f"[{_newer}]")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the pair of least rank first, the leftmost of equals."""
+        if len(word) > LONG_WORD:
+            return self.merge_long(word)
         ids, rank, none = [self.single[b] for b in word], self.rank, len(self.made)
         ranks = [rank.get(p, none) for p in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) < none:
@@ -92,6 +109,28 @@ class ByteBpe:
                 ranks[k] = rank.get((ids[k], ids[k + 1]), none)
         return ids
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same for a word of any length, in n log n steps: pairs wait in a heap, and tokens are linked to their neighbours."""
+        ids, rank, made = [self.single[b] for b in word], self.rank, self.made
+        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
+        heap = [(r, k) for k, p in enumerate(zip(ids, ids[1:])) if (r := rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            # A token that is gone is -1, which no pair has; a pair that has changed waits under its new rank.
+            if j < 0 or rank.get((ids[k], ids[j])) != r:
+                continue
+            ids[k], ids[j], n = made[r], -1, after[j]
+            after[k] = n
+            if n >= 0:
+                before[n] = k
+                if (r := rank.get((ids[k], ids[n]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (p := before[k]) >= 0 and (r := rank.get((ids[p], ids[k]))) is not None:
+                heapq.heappush(heap, (r, p))
+        return [i for i in ids if i >= 0]
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         out, at, n, id_of, longest = [], 0, len(word), self.id_of, self.longest
@@ -140,21 +179,27 @@ class ByteBpe:
             bad[owner[:-1][inside][~self.compatible(flat[:-1][inside], flat[1:][inside])]] = True
         packed, ends = flat.astype("<u4").tobytes(), np.cumsum(lengths) * 4
         for p, w, wrong, end, n in zip(pieces, words, bad.tolist(), ends.tolist(), lengths.tolist(), strict=True):
-            self.words[p] = np.array(self.merge(w), "<u4").tobytes() if wrong else packed[end - 4 * n : end]
+            self.words[p] = out = np.array(self.merge(w), "<u4").tobytes() if wrong else packed[end - 4 * n : end]
+            self.held += len(w) + len(out) + 150
 
     def known(self, pieces: list[str]) -> None:
         """Sees to it that the cache has all these pieces."""
         new = [p for p in set(pieces) if p not in self.words]
         if new:
-            if len(self.words) + len(new) > CACHE_WORDS:
+            if len(self.words) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
                 self.words.clear()
+                self.held = 0
                 new = list(set(pieces))
             self.learn(new)
 
+    def split(self, text: str):
+        """The pieces of a text without special tokens, as an iterator of matches."""
+        return (self.split_old if self.newer.search(text) else self.split_new).finditer(text)
+
     def encode_run(self, texts: list[str]) -> list[bytes]:
         """The packed ids of some texts of RUN_CHARS characters at most together."""
         parts = [self.split_added.split(t) if self.split_added else [t] for t in texts]
-        pieces = [[self.split.findall(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
+        pieces = [[(self.split_old if self.newer.search(x) else self.split_new).findall(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
         self.known([w for p in pieces for x in p[::2] for w in x])
         words = self.words
         packed = lambda x: np.array([self.added[x]], "<u4").tobytes() if isinstance(x, str) else b"".join([words[w] for w in x])
@@ -167,7 +212,7 @@ class ByteBpe:
             if k % 2:
                 out.append(np.array([self.added[part]], "<u4").tobytes())
                 continue
-            found = (m[0] for m in self.split.finditer(part))
+            found = (m[0] for m in self.split(part))
             while some := list(itertools.islice(found, PIECES_AT_ONCE)):
                 self.known(some)
                 out.append(b"".join([self.words[w] for w in some]))
@@ -206,7 +251,8 @@ def encode_all(bpe: ByteBpe, texts: list[str | None]):
 def bpe_encode(docs: DataFrame, path: str | None = None, ids: str = "token_ids", round_trip: str | None = None) -> DataFrame:
     """docs plus a column of token ids (array<int>), which replaces a column of that name. Null and empty texts have no ids.
 
-    With round_trip, a boolean column of that name tells whether the ids decode to the text, in the same pass.
+    Repeated rows are encoded alike, a text or a word may be of any length, an empty table gives an empty result, and docs
+    may have any other columns. With round_trip, a boolean column of that name tells whether the ids decode to the text, in the same pass.
     """
     path = path or default_path()
     bounded_batches(docs.sparkSession)
@@ -228,7 +274,11 @@ def bpe_encode(docs: DataFrame, path: str | None = None, ids: str = "token_ids",
 
 
 def bpe_decode(df: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "text") -> DataFrame:
-    """df with its column of token ids turned into text. Null ids give a null text, ids outside the vocabulary an error."""
+    """df with its column of token ids turned into text. Null ids give a null text, ids outside the vocabulary an error.
+
+    Empty ids give an empty text; repeated rows are decoded alike; an empty table gives an empty result; a column named as
+    text is replaced.
+    """
     path = path or default_path()
     bounded_batches(df.sparkSession)
     df = df.drop(text) if text != ids else df

@@ -1,162 +1,212 @@
 """Benchmark decontamination by templates.
 
-Numbers, names in mid-sentence and units become typed placeholders, so that a question and a re-parameterised copy of it
-have the same template. Windows of templates are hash-joined with those of the benchmark. Where windows of a document and an
-item line up, their slot values must agree: one value of the item always became the same value of the document, and no two
-became one. All of it is built-in functions.
+Numbers, names and units become typed placeholders, so that a question and a re-parameterised copy of it have the same
+template. Windows of templates are hash-joined with those of the benchmark. Where windows of a document and an item line up,
+their slot values must agree: one value of the item always became the same value of the document, and no two became one;
+windows with a slot that breaks this don't count. All of it is built-in functions: one regular expression takes a text
+apart, and a token's type follows from the token itself (a unit's also from the number before it), not from the text around.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
 
-#: Tokens of a window, and the plain ones among them that it needs to tell anything.
+#: Tokens of a window, and the plain ones that its template needs to tell anything. Windows with fewer must be equal in their slots too.
 WINDOW, LEAST_PLAIN = 10, 5
-#: A leak: this percentage of an item's windows, or so many of them.
-LEAST_PERCENT, LEAST_WINDOWS = 30, 12
+#: A leak: this percentage of an item's windows, or so many of them, or so many verbatim ones in a row (WINDOW + 3 = 13 tokens).
+LEAST_PERCENT, LEAST_WINDOWS, LEAST_RUN = 30, 12, 4
 #: Windows of the benchmark that are broadcast at most (16 bytes each and their slots); more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
-UNITS = "km|kg|cm|mm|mg|ml|m|g|l|t|lbs?|oz|ft|feet|inch|inches|miles?|yards?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|degrees?|litres?|liters?|meters?|metres?|watts?|volts?"
+#: A number with its separators, or a run of letters and other digits.
+TOKEN = r"[0-9]+(?:[.,][0-9]+)*|(?:\p{L}|[^\P{N}0-9])+"
+#: Words that are units after a number.
+UNITS = (
+    "km kg cm mm mg ml m g l t lb lbs oz ft feet foot inch inches mile miles yard yards hour hours minute minutes second seconds day days week weeks "
+    "month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees litre litres liter liters meter meters metre metres watt watts volt volts"
+).split()
+#: A name is a word with a capital first letter and small ones after it; these words are none, as they often start a sentence.
+NO_NAMES = (
+    "a an and are as at but by can did do does each every find for from given had has have he her his how i if in is it its let my no not of on one or our she so some "
+    "that the their then there these they this to was we were what when where which who why will with you your"
+).split()
 
-#: Pattern and replacement, in order; lower-casing comes after the first. The groups are written as Java has them.
-NAME_RULE = (r"(\p{Ll},? )(\p{Lu})", f"$1{NAME}$2")
-RULES = (
-    (r"([0-9])[.,]([0-9])", "$1$2"),
-    (r"([0-9]+)", f" {NUMBER}$1 "),
-    (rf"({NUMBER}[0-9]+ +)({UNITS})\b", f"$1{UNIT}$2"),
-    (rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+", " "),
-)
 
+def _starts_with_digit(w: Column) -> Column:
+    return (w >= F.lit("0")) & (w < F.lit(":"))
 
-def tokens(text: Column) -> Column:
-    """The tokens of a text; those of a slot begin with its type, and the rest is its value."""
-    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), *NAME_RULE))
-    for pattern, put in RULES:
-        out = F.regexp_replace(out, pattern, put)
-    out = F.trim(out)
-    return F.when(out == "", F.array().cast("array<string>")).otherwise(F.split(out, " "))
 
+def _typed(raw: Column) -> Column:
+    """Tokens with their types: those of a slot begin with it, and the rest is its value. raw is a column of its own, as each token reads it."""
+    first = lambda w: F.substring(w, 1, 1)
 
-def _is_slot(token: Column) -> Column:
-    return token < F.lit("\x04")
+    def typed(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        after_number = _starts_with_digit(F.coalesce(F.get(raw, i - 1), F.lit("")))
+        word = F.when(low.isin(*UNITS) & after_number, F.concat(F.lit(UNIT), low)).when((F.lower(first(w)) != first(w)) & (F.substring(w, 2, 1 << 30) == F.substring(low, 2, 1 << 30)) & (w != F.upper(w)) & ~low.isin(*NO_NAMES), F.concat(F.lit(NAME), low)).otherwise(low)
+        return F.when(_starts_with_digit(w), F.concat(F.lit(NUMBER), w)).otherwise(word)
 
+    return F.transform(raw, typed)
 
-def _windows(n: int) -> Column:
-    """The hash of each window of n tokens of the column _plain (hashes of template tokens)."""
-    starts = F.slice("_plain", 1, F.greatest(F.size("_plain") - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda h, i: F.xxhash64(F.lit(n), h, *(F.get("_plain", i + k) for k in range(1, n))))
+
+def _is_slot(token: Column) -> Column:
+    return token < F.lit("\x04")
 
 
 def _templates(df: DataFrame, *columns: str) -> DataFrame:
-    out = df.select(*columns, tokens(F.col("text")).alias("_tokens"))
+    """_tokens; _plain, the hash of each with slots by their type; and _slot_at, the places of slots."""
+    out = df.select(*columns, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("_raw"))
+    out = out.select(*columns, _typed(F.col("_raw")).alias("_tokens"))
+    out = out.withColumn("_slot_at", F.array_compact(F.transform("_tokens", lambda w, i: F.when(_is_slot(w), i))))
     return out.withColumn("_plain", F.transform("_tokens", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))))
 
 
+def _template(at: Column, n: int) -> Column:
+    return F.xxhash64(F.lit(n), *(F.get("_plain", at + k) for k in range(n)))
+
+
+def _hash(at: Column, n: int) -> Column:
+    """The hash of n tokens from a place on: of their template, or of the tokens themselves if too few of them are plain."""
+    whole = F.xxhash64(F.lit(-n), *(F.get("_tokens", at + k) for k in range(n)))
+    return F.when(n - F.size(_slots(at, F.lit(n))) >= min(n, LEAST_PLAIN), _template(at, n)).otherwise(whole)
+
+
+def _windows(n: int) -> Column:
+    """The hash of each window. Only texts in which some window has too few plain tokens pay for counting them."""
+    starts = F.slice("_plain", 1, F.greatest(F.size("_plain") - (n - 1), F.lit(0)))
+    dense = n - min(n, LEAST_PLAIN)
+    crowded = F.exists(F.transform("_slot_at", lambda p, j: F.coalesce(F.get("_slot_at", j + dense) - p < n, F.lit(False))), lambda x: x)
+    return F.when(crowded, F.transform(starts, lambda h, i: _hash(i, n))).otherwise(F.transform(starts, lambda h, i: _template(i, n)))
+
+
 def _slots(at: Column, n: Column) -> Column:
     return F.filter(F.slice("_tokens", at + 1, n), _is_slot)
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, n, at, hash, item_slots, item_windows of each window that has enough plain tokens; an item shorter than a window is one window."""
+    """item_id, n, at, hash, item_slots, item_windows of each window; an item shorter than a window is one window."""
     items = _templates(benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct(), "item_id").filter("size(_tokens) > 0")
-    items = items.withColumn("n", F.least(F.size("_tokens"), F.lit(window)))
+    items = items.withColumn("n", F.least(F.size("_tokens"), F.lit(window))).withColumn("item_windows", F.expr("CAST(size(_tokens) - n + 1 AS bigint)"))
     each = items.withColumn("at", F.explode(F.expr("sequence(0, size(_tokens) - n)")))
-    each = each.withColumn("item_slots", _slots(F.col("at"), F.col("n"))).filter(F.col("n") - F.size("item_slots") >= F.least(F.col("n"), F.lit(LEAST_PLAIN)))
-    sized = each.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    by_length = [F.when(F.col("n") == n, F.xxhash64(F.lit(n), *(F.get("_plain", F.col("at") + k) for k in range(n)))) for n in range(1, window + 1)]
-    return each.withColumn("hash", F.coalesce(*by_length)).join(sized, "item_id").select("item_id", "n", "at", "hash", "item_slots", "item_windows")
+    by_length = [F.when(F.col("n") == n, _hash(F.col("at"), n)) for n in range(1, window + 1)]
+    return each.select("item_id", "n", "at", F.coalesce(*by_length).alias("hash"), _slots(F.col("at"), F.col("n")).alias("item_slots"), "item_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """_row, doc_id, item_id, n_windows, item_windows, n_slots, n_changed, kind of each leaked item of each row of docs.
+    """_row, doc_id, item_id, n_windows, item_windows, n_slots, n_changed, longest_run, kind of each leaked item of each row of docs.
 
     kind is exact if all slot values that line up are equal, else reparameterised. Windows line up if they are equally far
-    from each other in both texts; those whose slots contradict each other there don't count. Null and empty texts have no
-    window; items without a word and items with a null id are ignored, repeated items count once; repeated rows are judged
-    alike; empty tables give an empty result. Columns other than doc_id, item_id and text are ignored. The texts are written
-    once with their places, so docs is read once.
+    from each other in both texts; those that hold a contradictory slot value don't count. longest_run is the most
+    neighbouring windows without a changed value. Null and empty texts have no window; items without a word and items with
+    a null id are ignored, repeated items count once; repeated rows are judged alike; empty tables give an empty result; a
+    text may be of any length. Columns other than doc_id, item_id and text are ignored. The texts are written once with
+    their places, so docs is read once.
     """
+    return _leaks(written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "texts"), benchmark, window, broadcast_windows)
+
+
+def _leaks(numbered: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
     items = written(item_windows(benchmark, window), "benchmark")
     few = items.count() <= broadcast_windows
-    rows = _templates(written(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "texts"), "_row", "doc_id")
+    rows = _templates(numbered, "_row", "doc_id")
     parts = []
     # One length, unless the benchmark has items shorter than a window; at most `window` lengths.
     for n in sorted(r["n"] for r in items.select("n").distinct().collect()) or [window]:
         # Outer, so that no filter on the array's size is inferred and pushed below the columns that it is made of. Only ids,
-        # places and hashes are repeated for each window: a text's tokens would grow with the square of its length.
+        # places and hashes are repeated for each window: a text's tokens would grow with the square of its length. A window
+        # that many texts share is a hot key of the shuffle join, which adaptive execution splits.
         each = rows.select("_row", "doc_id", _windows(n).alias("_windows")).select("_row", "doc_id", F.posexplode_outer("_windows").alias("doc_at", "hash"))
         of = items.filter(F.col("n") == n)
         met = each.join(F.broadcast(of) if few else of, "hash")
         parts.append(met.select("_row", "doc_id", "item_id", "item_windows", "n", "at", "doc_at", "item_slots"))
-    met = reduce(DataFrame.unionByName, parts)
-    met = written(met, "leaks")
+    met = written(reduce(DataFrame.unionByName, parts), "leaks")
     line = ["_row", "item_id", "offset"]
     met = met.withColumn("offset", F.col("doc_at") - F.col("at"))
-    # Slot values come from the texts that met an item in a window with slots: each of these texts is joined once.
-    asked = met.filter(F.size("item_slots") > 0).groupBy("_row").agg(F.collect_list(F.struct("item_id", "offset", "doc_at", "n", "item_slots")).alias("_asked"))
-    told = F.transform("_asked", lambda x: F.struct(x["item_id"].alias("item_id"), x["offset"].alias("offset"), F.arrays_zip(x["item_slots"].alias("v"), _slots(x["doc_at"], x["n"]).alias("u")).alias("p")))
-    pairs = rows.select("_row", "_tokens").join(asked, "_row").select("_row", told.alias("_told")).select("_row", F.explode_outer("_told").alias("x"))
-    pairs = pairs.select("_row", "x.item_id", "x.offset", F.explode("x.p").alias("p")).select(*line, F.col("p.v").alias("v"), F.col("p.u").alias("u")).distinct()
-    pairs = written(pairs, "slots") if not met.filter(F.size("item_slots") > 0).isEmpty() else pairs.limit(0)
-    one_way = pairs.groupBy(*line, "v").agg(F.count(F.lit(1)).alias("k"), F.max("u").alias("u"))
-    other_way = pairs.groupBy(*line, "u").agg(F.count(F.lit(1)).alias("k"))
-    slots = one_way.groupBy(*line).agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum(F.when(F.col("v") != F.col("u"), 1).otherwise(0)).alias("n_changed"))
-    slots = slots.join(other_way.groupBy(*line).agg(F.max("k").alias("most_back")), line)
-    lines = met.groupBy(*line).agg(F.first("doc_id").alias("doc_id"), F.max("item_windows").alias("item_windows"), F.countDistinct("at").alias("n_windows"))
-    lines = lines.join(slots, line, "left").filter("coalesce(most, 1) = 1 AND coalesce(most_back, 1) = 1")
-    out = lines.groupBy("_row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.max("item_windows").alias("item_windows"), F.sum("n_windows").alias("n_windows"), F.sum(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.sum(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
-    out = out.filter((100 * F.col("n_windows") >= LEAST_PERCENT * F.col("item_windows")) | (F.col("n_windows") >= LEAST_WINDOWS))
+    if met.filter(F.size("item_slots") > 0).isEmpty():
+        pairs = met.limit(0).select(*line, "at", F.lit("").alias("v"), F.lit("").alias("u"))
+    else:
+        # Slot values come from the texts that met an item in a window with slots: each of these texts is joined once.
+        asked = met.filter(F.size("item_slots") > 0).groupBy("_row").agg(F.collect_set(F.struct("item_id", "at", "doc_at", "n", "item_slots")).alias("_asked"))
+        told = F.transform("_asked", lambda x: F.struct(x["item_id"].alias("item_id"), (x["doc_at"] - x["at"]).alias("offset"), x["at"].alias("at"), F.arrays_zip(x["item_slots"].alias("v"), _slots(x["doc_at"], x["n"]).alias("u")).alias("p")))
+        pairs = rows.select("_row", "_tokens").join(asked, "_row").select("_row", told.alias("_told")).select("_row", F.explode_outer("_told").alias("x"))
+        pairs = written(pairs.select("_row", "x.item_id", "x.offset", "x.at", F.explode("x.p").alias("p")).select(*line, "at", "p.v", "p.u"), "slots")
+    values = pairs.select(*line, "v", "u").distinct()
+    one_way = values.groupBy(*line, "v").agg(F.count(F.lit(1)).alias("_to"))
+    other_way = values.groupBy(*line, "u").agg(F.count(F.lit(1)).alias("_from"))
+    judged = values.join(one_way, [*line, "v"]).join(other_way, [*line, "u"]).select(*line, "v", "u", ((F.col("_to") > 1) | (F.col("_from") > 1)).alias("_broken"))
+    slots = judged.filter("NOT _broken").groupBy(*line).agg(F.count(F.lit(1)).alias("n_slots"), F.sum(F.when(F.col("v") != F.col("u"), 1).otherwise(0)).alias("n_changed"))
+    held = pairs.join(judged, [*line, "v", "u"]).groupBy(*line, "at").agg(F.max("_broken").alias("_broken"), F.max(F.col("v") != F.col("u")).alias("_changed"))
+    good = met.select(*line, "at", "doc_id", "item_windows").dropDuplicates([*line, "at"]).join(held, [*line, "at"], "left").filter("NOT coalesce(_broken, false)")
+    place = F.col("at") - F.row_number().over(Window.partitionBy(*line, "_same").orderBy("at"))
+    runs = good.withColumn("_same", ~F.coalesce("_changed", F.lit(False))).withColumn("_island", place)
+    runs = runs.groupBy(*line, "_same", "_island").agg(F.count(F.lit(1)).alias("_n"), F.first("doc_id").alias("doc_id"), F.max("item_windows").alias("item_windows"))
+    lines = runs.groupBy(*line).agg(F.first("doc_id").alias("doc_id"), F.max("item_windows").alias("item_windows"), F.sum("_n").alias("n_windows"), F.max(F.when(F.col("_same"), F.col("_n")).otherwise(0)).alias("longest_run"))
+    lines = lines.join(slots, line, "left")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    out = lines.groupBy("_row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.max("item_windows").alias("item_windows"), total("n_windows"), total("n_slots"), total("n_changed"), F.max("longest_run").alias("longest_run"))
+    out = out.filter((100 * F.col("n_windows") >= LEAST_PERCENT * F.col("item_windows")) | (F.col("n_windows") >= LEAST_WINDOWS) | (F.col("longest_run") >= LEAST_RUN))
     return out.withColumn("kind", F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no item of the benchmark leaks.
 
-    Rows are told by doc_id; rows without one by the hash of their text.
+    Rows are told by their places, not by doc_id, so rows of one id are judged each by its own text; null and empty texts
+    stay, repeated rows go or stay together, an empty table gives an empty result, and docs may have any other columns.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, window)
-    bad = found.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, key == F.col("_leaked"), "left_anti")
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    found = _leaks(rows.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark, window, BROADCAST_WINDOWS)
+    bad = written(found.select("_row").distinct(), "leaked")
+    return rows.join(bad, "_row", "left_anti").select("_doc.*")
 
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:
     found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed")), "kind")
-
-
-def _sql_tokens(text: str) -> str:
-    out = f"lower(regexp_replace(coalesce({text}, ''), '{NAME_RULE[0]}', '{NAME_RULE[1].replace('$', chr(92))}', 'g'))"
-    for pattern, put in RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
-    return f"list_filter(string_split(trim({out}), ' '), lambda w: w <> '')"
-
-
+    return found.select("doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed", "longest_run")), "kind")
+
+
+def _sql_list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+#: Tokens as SQL takes them: separators inside numbers are put away (each rule twice, as matches don't overlap), numbers set
+#: apart, and the text cut at everything else.
+_SQL_CUT = "coalesce(text, '')"
+for _put, _sep in ((4, "."), (5, ",")) * 2:
+    _SQL_CUT = f"regexp_replace({_SQL_CUT}, '([0-9])[{_sep}]([0-9])', '\\1' || chr({_put}) || '\\2', 'g')"
+_SQL_CUT = f"regexp_replace({_SQL_CUT}, '([0-9][0-9\\x04\\x05]*)', ' \\1 ', 'g')"
+_SQL_CUT = f"list_filter(string_split_regex({_SQL_CUT}, '[^\\p{{L}}\\p{{N}}\\x04\\x05]+'), lambda w: w <> '')"
+_SQL_TYPED = f"""list_transform(ws, lambda w, i: CASE WHEN ascii(w) BETWEEN 48 AND 57 THEN chr(2) || replace(replace(w, chr(4), '.'), chr(5), ',')
+  WHEN lower(w) IN {_sql_list(UNITS)} AND i > 1 AND ascii(ws[i - 1]) BETWEEN 48 AND 57 THEN chr(3) || lower(w)
+  WHEN lower(w[1]) <> w[1] AND w[2:] = lower(w[2:]) AND w <> upper(w) AND lower(w) NOT IN {_sql_list(NO_NAMES)} THEN chr(1) || lower(w) ELSE lower(w) END)"""
+#: The text that stands for a window of the tokens x: types for values, if enough tokens are plain.
+_SQL_WIN = f"""md5(array_to_string(CASE WHEN len(list_filter(x, lambda w: w >= chr(4))) >= least(n, {LEAST_PLAIN}) THEN list_transform(x, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) ELSE x END, ' '))"""
+_SQL_TEN = f"list(w) OVER (PARTITION BY {{}} ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)"
 OP5_SQL = f"""
-WITH dt AS (SELECT row_number() OVER () AS r, doc_id, {_sql_tokens("text")} AS tok FROM documents),
-bt AS (SELECT DISTINCT item_id, {_sql_tokens("text")} AS tok FROM benchmark WHERE item_id IS NOT NULL),
-dp AS (SELECT *, list_transform(tok, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) AS plain FROM dt),
-bp AS (SELECT *, list_transform(tok, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) AS plain, least(len(tok), {WINDOW}) AS n FROM bt WHERE len(tok) > 0),
-bw AS (SELECT item_id, n, unnest(range(0, len(tok) - n + 1)) AS p, tok, plain FROM bp),
-b1 AS (SELECT item_id, n, p, md5(array_to_string(plain[p + 1:p + n], ' ')) AS win, list_filter(tok[p + 1:p + n], lambda w: w < chr(4)) AS slots FROM bw),
-b AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS item_windows FROM b1 WHERE n - len(slots) >= least(n, {LEAST_PLAIN})),
-dw AS (SELECT r, lens.n AS n, unnest(list_transform(range(0, len(plain) - lens.n + 1), lambda p: md5(array_to_string(plain[p + 1:p + lens.n], ' ')))) AS win,
-  unnest(range(0, len(plain) - lens.n + 1)) AS p FROM dp, (SELECT DISTINCT n FROM b) AS lens WHERE len(plain) >= lens.n),
-hit AS (SELECT dw.r, dw.n, dw.p AS dpos, b.item_id, b.item_windows, b.p AS ipos, b.slots AS bs FROM dw JOIN b ON dw.n = b.n AND dw.win = b.win),
-met AS (SELECT r, doc_id, item_id, item_windows, ipos, dpos - ipos AS off, bs, list_filter(tok[dpos + 1:dpos + n], lambda w: w < chr(4)) AS ds FROM hit JOIN dt USING (r)),
-pr AS (SELECT DISTINCT r, item_id, off, unnest(bs) AS v, unnest(ds) AS u FROM met),
-one AS (SELECT r, item_id, off, v, count(*) AS k, max(u) AS u FROM pr GROUP BY ALL),
-two AS (SELECT r, item_id, off, max(k) AS back FROM (SELECT r, item_id, off, u, count(*) AS k FROM pr GROUP BY ALL) GROUP BY ALL),
-sl AS (SELECT r, item_id, off, max(k) AS most, count(*) AS n_slots, count(*) FILTER (v <> u) AS n_changed FROM one GROUP BY r, item_id, off),
-ln AS (SELECT r, item_id, off, any_value(doc_id) AS doc_id, max(item_windows) AS item_windows, count(DISTINCT ipos) AS n_windows FROM met GROUP BY r, item_id, off),
-ok AS (SELECT ln.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM ln LEFT JOIN sl USING (r, item_id, off) LEFT JOIN two USING (r, item_id, off) WHERE coalesce(most, 1) = 1 AND coalesce(back, 1) = 1),
-o AS (SELECT r, item_id, any_value(doc_id) AS doc_id, CAST(sum(n_windows) AS BIGINT) AS n_windows, max(item_windows) AS item_windows, CAST(sum(n_slots) AS BIGINT) AS n_slots, CAST(sum(n_changed) AS BIGINT) AS n_changed FROM ok GROUP BY r, item_id)
-SELECT doc_id, item_id, n_windows, item_windows, n_slots, n_changed, CASE WHEN n_changed = 0 THEN 'exact' ELSE 'reparameterised' END AS kind
-FROM o WHERE 100 * n_windows >= {LEAST_PERCENT} * item_windows OR n_windows >= {LEAST_WINDOWS}
+WITH dc AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_CUT} AS ws FROM documents), dt AS (SELECT r, doc_id, {_SQL_TYPED} AS tok FROM dc),
+bc AS (SELECT DISTINCT item_id, {_SQL_CUT} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bt AS (SELECT row_number() OVER () AS b, item_id, {_SQL_TYPED} AS tok, least(len(ws), {WINDOW}) AS n FROM bc WHERE len(ws) > 0),
+bu AS (SELECT b, item_id, n, len(tok) - n + 1 AS item_windows, unnest(tok) AS w, unnest(range(len(tok))) AS p FROM bt),
+bx AS (SELECT item_id, n, item_windows, p, {_SQL_TEN.format("b")} AS x FROM bu),
+b AS (SELECT item_id, n, p, item_windows, {_SQL_WIN} AS win, list_filter(x, lambda w: w < chr(4)) AS bs FROM bx WHERE len(x) = n),
+du AS (SELECT r, unnest(tok) AS w, unnest(range(len(tok))) AS p FROM dt),
+dx AS (SELECT r, n, p, ten[1:n] AS x FROM (SELECT r, p, {_SQL_TEN.format("r")} AS ten FROM du), (SELECT DISTINCT n FROM b) AS lens WHERE len(ten) >= n),
+dw AS (SELECT r, n, p, {_SQL_WIN} AS win, list_filter(x, lambda w: w < chr(4)) AS ds FROM dx),
+met AS (SELECT DISTINCT dw.r, b.item_id, b.item_windows, b.p, dw.p - b.p AS off, bs, ds FROM dw JOIN b ON dw.n = b.n AND dw.win = b.win),
+pr AS (SELECT r, item_id, off, p, unnest(bs) AS v, unnest(ds) AS u FROM met),
+jd AS (SELECT *, count(*) OVER (PARTITION BY r, item_id, off, v) > 1 OR count(*) OVER (PARTITION BY r, item_id, off, u) > 1 AS broken FROM (SELECT DISTINCT r, item_id, off, v, u FROM pr)),
+hd AS (SELECT r, item_id, off, p, bool_or(broken) AS broken, bool_or(v <> u) AS changed FROM pr JOIN jd USING (r, item_id, off, v, u) GROUP BY ALL),
+gd AS (SELECT met.r, met.item_id, met.off, met.p, item_windows, coalesce(changed, false) AS changed FROM met LEFT JOIN hd USING (r, item_id, off, p) WHERE NOT coalesce(broken, false)),
+ru AS (SELECT r, item_id, off, max(n) AS longest FROM (SELECT r, item_id, off, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY r, item_id, off ORDER BY p) AS k FROM gd WHERE NOT changed) GROUP BY r, item_id, off, k) GROUP BY ALL),
+sl AS (SELECT r, item_id, off, count(*) AS n_slots, count(*) FILTER (v <> u) AS n_changed FROM jd WHERE NOT broken GROUP BY ALL),
+ln AS (SELECT r, item_id, off, max(item_windows) AS item_windows, count(*) AS n_windows FROM gd GROUP BY ALL),
+o AS (SELECT r, item_id, CAST(sum(n_windows) AS BIGINT) AS n_windows, CAST(max(item_windows) AS BIGINT) AS item_windows, CAST(sum(coalesce(n_slots, 0)) AS BIGINT) AS n_slots,
+  CAST(sum(coalesce(n_changed, 0)) AS BIGINT) AS n_changed, CAST(max(coalesce(longest, 0)) AS BIGINT) AS longest_run FROM ln LEFT JOIN sl USING (r, item_id, off) LEFT JOIN ru USING (r, item_id, off) GROUP BY r, item_id)
+SELECT doc_id, item_id, n_windows, item_windows, n_slots, n_changed, longest_run, CASE WHEN n_changed = 0 THEN 'exact' ELSE 'reparameterised' END AS kind
+FROM o JOIN dt USING (r) WHERE 100 * n_windows >= {LEAST_PERCENT} * item_windows OR n_windows >= {LEAST_WINDOWS} OR longest_run >= {LEAST_RUN}
 """

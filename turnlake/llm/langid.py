@@ -80,9 +80,10 @@ MASKS_WITH = [np.array([m for m in range(256) if m >> bit & 1]) for bit in range
 
 
 def train(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Filters:
-    """Learns filters from the columns text, lang and _u (a number in [0, 1) that doesn't depend on text or lang).
+    """Learns filters from the columns text, lang and _u (a number in [0, 1), evenly spread).
 
-    Rows without a language are ignored. Of each language about per_lang rows are read: those of least _u. The n-grams that
+    Rows without a language are ignored, and null texts teach nothing; empty texts are of no harm, long ones are read whole,
+    and repeated rows are learned from together. No rows give filters that answer 'und'. Of each language about per_lang rows are read: those of least _u. The n-grams that
     reach the driver are at most 1 / LEAST_SHARE for each language, as their shares sum to 1.
     """
     labelled = labelled.filter(F.col("lang").isNotNull())
@@ -153,6 +154,6 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 def op1_langid(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = id_remainder(F.col("doc_id"), 4) == 2
-    unit = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     filters = train(docs.filter(~held_out).select("text", "lang", unit.alias("_u")))
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), filters).drop("text")

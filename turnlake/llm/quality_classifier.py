@@ -16,13 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, written
+from .common import bounded_batches, documents, forget, written
 from .quality_rules import measures
 
 #: Insults that a toxicity labeller knows.
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "disgusting", "clown", "loser", "pathetic", "worthless")
-#: Documents that the scorer is fitted on, about; EM counts all documents.
-TRAIN_DOCS = 8000
+#: English words; the labellers of insults know English only, and say nothing of texts with few of these.
+ENGLISH = ("the", "and", "of", "that", "is")
+#: Labelled documents, and others, that the scorer is fitted on, about; EM counts all documents.
+TRAIN_LABELLED, TRAIN_DOCS = 12_000, 8000
+#: The first bytes of a longer word are a feature too, so that words of one stem are known by each other.
+STEM = 7
+#: Share of the good training documents that a target's threshold leaves alone.
+LEFT_ALONE = 0.997
 HASH_BITS = 18
 #: A hashed feature has a weight if so many training documents have it.
 LEAST_DOCS = 5
@@ -37,30 +43,37 @@ LABELLERS = (
     ("junk", "stop_words", "n_words >= 30 AND 100 * n_stop_words < 3 * n_words", "n_words >= 30 AND 100 * n_stop_words >= 8 * n_words"),
     ("junk", "lines", "100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
     ("junk", "known", "quality = 0", "quality = 1"),
-    ("toxic", "insult", "n_insults > 0", "n_insults = 0"),
-    ("toxic", "insults", "n_insults > 2", "n_insults = 0 AND n_words > 20"),
+    ("toxic", "insult", "n_insults > 0", "n_insults = 0 AND 100 * n_english > 3 * n_words"),
+    ("toxic", "insults", "n_insults > 2", "n_insults = 0 AND 100 * n_english > 3 * n_words AND n_words > 20"),
     ("toxic", "known", "toxic = 1", "toxic = 0"),
 )
 
 
-def votes(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """doc_id and, for each target, the votes of its labellers as a string of digits; labels (doc_id, quality, toxic) may be none."""
-    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\b(?:" + "|".join(INSULTS) + r")\b", "\x01")
-    m = measures(docs.select("doc_id", "text")).select("doc_id", "_m.*", F.length(F.regexp_replace(text, "[^\x01]+", "")).alias("n_insults"))
+def votes(docs: DataFrame, labels: DataFrame | None, *more: str) -> DataFrame:
+    """doc_id, the columns `more` and, for each target, the votes of its labellers as a string of digits.
+
+    labels (doc_id, quality, toxic) may be none. Of an id with several labels the lowest quality and the highest toxicity
+    vote, and they vote on all rows of that id; a null id has no label. A null text votes as an empty one.
+    """
+    told = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\b(?:" + "|".join((*INSULTS, *ENGLISH)) + r")\b"), F.lit(0))
+    m = measures(docs.select("doc_id", "text", told.alias("_told"))).select("doc_id", *more, "_m.*", F.size(F.filter("_told", lambda w: w.isin(*INSULTS))).alias("n_insults"), F.size("_told").alias("_told"))
+    m = m.withColumn("n_english", F.col("_told") - F.col("n_insults"))
     if labels is None:
         m = m.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     else:
         known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         m = m.join(known, "doc_id", "left")
+
     def digits(target: str):
         return F.concat(*(F.expr(f"CASE WHEN {bad} THEN '{BAD}' WHEN {good} THEN '{GOOD}' ELSE '{NONE}' END") for t, _, bad, good in LABELLERS if t == target))
 
-    return m.select("doc_id", *(digits(t).alias(t) for t in TARGETS))
+    return m.select("doc_id", *more, *(digits(t).alias(t) for t in TARGETS))
 
 
 def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
-    """The posterior of bad for each pattern of votes, and each labeller's P(vote | class) as [labeller, class, vote].
+    """The posterior of bad for each pattern of votes, and each labeller's P(vote | class, it votes) as [labeller, class, vote].
 
+    A labeller that doesn't vote tells nothing: else the classes would be those of texts that labellers know how to judge.
     There are at most 3 to the number of labellers patterns, however many documents.
     """
     v = np.array([[int(c) for c in p] for p in patterns])
@@ -73,9 +86,10 @@ def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int
         by_class = np.stack([n * q, n * (1 - q)])
         prior = np.clip(by_class.sum(axis=1) / n.sum(), 1e-6, 1)
         for k in range(v.shape[1]):
-            for x in range(3):
+            for x in (BAD, GOOD):
                 table[k, :, x] = by_class[:, v[:, k] == x].sum(axis=1) + 1.0
-            table[k] /= table[k].sum(axis=1, keepdims=True)
+            table[k, :, :2] /= table[k, :, :2].sum(axis=1, keepdims=True)
+            table[k, :, NONE] = 1.0
         like = np.log(prior)[:, None] + sum(np.log(table[k][:, v[:, k]]) for k in range(v.shape[1]))
         new = 1 / (1 + np.exp(np.clip(like[1] - like[0], -500, 500)))
         done = np.abs(new - q).max() < 1e-9
@@ -86,7 +100,7 @@ def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int
 
 
 def features(text: str | None) -> np.ndarray:
-    """The hashed features of a text: its words in lower case, and bins of its ratios; each once."""
+    """The hashed features of a text: its words in lower case, their stems, and bins of its ratios; each once."""
     import xxhash
 
     raw = (text or "").encode()
@@ -100,8 +114,9 @@ def features(text: str | None) -> np.ndarray:
         b"\x00capitals%d" % min(8, capitals * 20 // n),
         b"\x00variety%d" % (len(set(words)) * 10 // max(1, len(words))),
     )
+    stems = {w[:STEM] for w in lower if len(w) > STEM}
     h = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((h(w) >> (32 - HASH_BITS) for w in (*lower, *bins)), np.uint32))
+    return np.unique(np.fromiter((h(w) >> (32 - HASH_BITS) for w in (*lower, *(b"\x01" + w for w in stems), *bins)), np.uint32))
 
 
 @dataclass
@@ -117,8 +132,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels by AdaGrad over small batches."""
+def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 16, rate: float = 0.3, decay: float = 3e-3) -> np.ndarray:
+    """Logistic regression on soft labels by AdaGrad over small batches.
+
+    Where the bad are few, 0.5 is too high a bar for them: the bias is raised until LEFT_ALONE of the good rows are under it.
+    """
     size = 1 << HASH_BITS
     w, g2 = np.zeros(size + 1), np.full(size + 1, 1e-2)
     if not rows:
@@ -138,21 +156,46 @@ def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 12, rate: floa
             grad = np.bincount(where, err[owner]) / len(batch) * 8 + decay * w[hit]
             g2[hit] += grad**2
             w[hit] -= rate * grad / np.sqrt(g2[hit])
+    good = [w[r].sum() for r, t in zip(rows, target.tolist(), strict=True) if t < 0.1]
+    if good:
+        w[size] -= min(0.0, float(np.quantile(good, LEFT_ALONE)))
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame | None, train_docs: int = TRAIN_DOCS) -> Scorer:
-    """Counts the votes of all documents, and fits the scorer on about train_docs of them."""
-    cast = written(votes(docs, labels), "votes")
+def _sample(docs: DataFrame, labels: DataFrame | None, total: int, train_labelled: int, train_docs: int) -> DataFrame:
+    """Different rows (doc_id, text), written: about train_docs of all, and about train_labelled of those with a label."""
+    chosen = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, train_docs / total) * (1 << 30))
+    out = docs.filter(chosen).select("doc_id", "text")
+    if labels is None:
+        return written(out.distinct(), "sample")
+    ids = labels.filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    share = min(1.0, train_labelled / max(1, ids.count()))
+    ids = ids.filter(F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # About train_labelled ids, however many labels there are.
+    known = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").distinct(), "labelled")
+    n = known.count()
+    if n > 2 * train_labelled:  # An id that many different texts share.
+        known = known.filter(F.pmod(F.xxhash64("text", F.lit("labelled")), F.lit(1 << 30)) < int(train_labelled / n * (1 << 30)))
+    return written(out.unionByName(known).distinct(), "sample")
+
+
+def train(docs: DataFrame, labels: DataFrame | None, train_docs: int = TRAIN_DOCS, train_labelled: int = TRAIN_LABELLED) -> Scorer:
+    """Counts the votes of all documents, and fits the scorer on about train_docs rows and train_labelled rows with a label.
+
+    Rows are chosen by a hash of id and text, and equal rows count once in the fit, so what reaches the driver is bounded
+    however often a row or an id is repeated, and a second run chooses the same. Null ids and null texts take part. Without
+    documents all weights are 0.
+    """
+    cast = written(votes(docs, labels).select(*TARGETS), "votes")
     posterior, tables, total = {}, {}, 0
     for t in TARGETS:
-        found = cast.groupBy(t).agg(F.count(F.lit(1)).alias("n")).collect()
+        found = cast.groupBy(t).agg(F.count(F.lit(1)).alias("n")).orderBy(t).collect()
         total = sum(r["n"] for r in found)
         posterior[t], tables[t] = expectation_maximisation([r[t] for r in found], [r["n"] for r in found]) if found else ({}, np.empty(0))
+    forget(cast)
     if not total:
         return Scorer(np.zeros((len(TARGETS), (1 << HASH_BITS) + 1)), tables)
-    chosen = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, train_docs / total) * (1 << 30))
-    sample = docs.filter(chosen).select("doc_id", "text").join(cast.filter(chosen).dropDuplicates(["doc_id"]), "doc_id")
+    sample = votes(_sample(docs, labels, total, train_labelled, train_docs), labels, "text")
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -162,7 +205,12 @@ def train(docs: DataFrame, labels: DataFrame | None, train_docs: int = TRAIN_DOC
 
     got = sample.select(*TARGETS, "text").mapInArrow(run, "junk string, toxic string, f binary").toPandas().sort_values(["f", *TARGETS])
     rows = [np.frombuffer(b, "<u4") for b in got["f"]]
-    weights = np.stack([fit(rows, np.array([posterior[t][p] for p in got[t]])) for t in TARGETS])
+    weights = []
+    for t in TARGETS:
+        # A document on which no labeller voted has no label to learn from.
+        told = [k for k, p in enumerate(got[t]) if set(p) != {str(NONE)}]
+        weights.append(fit([rows[k] for k in told], np.array([posterior[t][got[t].iloc[k]] for k in told])))
+    weights = np.stack(weights)
     return Scorer(weights, tables)
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import free_names, words_of
 
 #: Function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -34,37 +34,38 @@ MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
 def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the columns _m of measures: n_words, word_chars, n_symbols, n_capitals, n_stop_words, n_lines, n_dup_lines, n_repeat_words.
+    """docs with _m, a struct of n_words, word_chars, n_symbols, n_capitals, n_stop_words, n_lines, n_dup_lines and n_repeat_words.
 
-    The columns are made in a struct, so no column of docs can clash with them.
+    A column named _m is replaced; the columns that are needed in between have names that docs doesn't have.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.drop("_m")
+    words, lines, hashes, windows, ordered, places = made = free_names(docs, "_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
     has_word = lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
-    out = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_lines", F.filter(F.split(text, "\n"), has_word))
+    out = docs.withColumn(words, words_of(F.col("text"))).withColumn(lines, F.filter(F.split(text, "\n"), has_word))
     # A window's hash is that of its words' hashes; each word is hashed once.
-    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    starts = F.slice("_hashes", 1, F.greatest(F.size("_words") - (window - 1), F.lit(0)))
-    out = out.withColumn("_windows", F.transform(starts, lambda h, i: F.xxhash64(h, *(F.get("_hashes", i + k) for k in range(1, window)))))
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    out = out.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    starts = F.slice(hashes, 1, F.greatest(F.size(words) - (window - 1), F.lit(0)))
+    out = out.withColumn(windows, F.transform(starts, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, window)))))
+    repeated = F.size(F.array_distinct(windows)) < F.size(windows)
     # Only texts in which some window repeats pay for the sort that finds which.
-    out = out.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn(ordered, F.when(repeated, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     out = out.withColumn(
-        "_at",
-        F.expr("sort_array(transform(filter(transform(_sorted, (e, j) -> named_struct('i', e.i, 'twice', get(_sorted, j - 1).h <=> e.h OR get(_sorted, j + 1).h <=> e.h)), x -> x.twice), x -> x.i))"),
+        places,
+        F.expr(f"sort_array(transform(filter(transform({ordered}, (e, j) -> named_struct('i', e.i, 'twice', get({ordered}, j - 1).h <=> e.h OR get({ordered}, j + 1).h <=> e.h)), x -> x.twice), x -> x.i))"),
     )
-    covered = F.expr(f"aggregate(transform(_at, (p, j) -> least({window}, coalesce(get(_at, j + 1) - p, {window}))), 0L, (s, x) -> s + x)")
+    covered = F.expr(f"aggregate(transform({places}, (p, j) -> least({window}, coalesce(get({places}, j + 1) - p, {window}))), 0L, (s, x) -> s + x)")
     counts = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")),
         "n_capitals": F.length(F.regexp_replace(text, "[^A-Z]+", "")),
-        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    out = out.withColumn("_m", F.struct(*(c.cast("long").alias(k) for k, c in counts.items())))
-    return out.drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
+    return out.withColumn("_m", F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))).drop(*made)
 
 
 def failed_rules(m: Column, thresholds=THRESHOLDS) -> Column:
