@@ -25,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = join_hot(both, least, "a", "k", 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "large")
         # Small star: a node and its lesser neighbours go to the least of them.
-        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")), "low")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
         small = join_hot(large, low, "a", "k", 2 * before[0]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         old, edges = edges, written(small, "edges")
         after = _mark(edges)
-        forget(old, least, large, low)
+        forget(old, least, large)
         if after == before:
             break
         before = after

@@ -36,6 +36,8 @@ LINK_BANDS = 4
 LEAST_SET = 4
 #: Members of a list that one task holds at a time; the members of a longer one are dealt into blocks of pairs of parts.
 BLOCK = 2000
+#: Pairs that are sent on at a time.
+PAIRS_AT_ONCE = 20_000
 #: Texts, and positions, that are multiplied at a time.
 TEXTS_AT_ONCE, POSITIONS_AT_ONCE = 256, 44
 
@@ -202,7 +204,9 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
                 else:
                     found += pairs_of(x, least_percent)
             got = _pair_batch(found)
-            yield _out(0, len(got["a"]), a=got["a"], b=got["b"])
+            for at in range(0, len(got["a"]), PAIRS_AT_ONCE):
+                a, b = (got[c][at : at + PAIRS_AT_ONCE] for c in "ab")
+                yield _out(0, len(a), a=a, b=b)
 
     met = written(every.repartition("key").sortWithinPartitions("key").mapInArrow(run, OUT), "lists")
     near = met.filter("kind = 0").select("a", "b")
@@ -259,12 +263,12 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: in
 def similar_parts(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """node, component of the marks that links join; reps (mark, size, tally, lists) has one mark of each set."""
     near = verified(neighbour_pairs(reps, least_percent), texts, shingle, least_percent)
-    parts = written(components(near), "parts")
+    parts = components(near)
     placed = reps.join(parts, reps["mark"] == parts["node"], "left")
     placed = placed.select("mark", F.coalesce("component", "mark").alias("part"), F.isnull("component").alias("alone"), "size", "tally", "lists")
     far = verified(far_pairs(placed, least_percent), texts, shingle, least_percent)
     out = components(near.unionByName(far))
-    forget(near, far, parts)
+    forget(near, far)
     return out
 
 
@@ -284,6 +288,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST
     sames = written(made.groupBy("same").agg(F.min("mark").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("best")), "sets")
     parts = similar_parts(made.join(sames, made["mark"] == sames["first"], "left_semi").drop("id", "same"), texts, shingle, least_percent)
     placed = sames.join(parts, sames["first"] == parts["node"], "left").groupBy(F.coalesce("component", "first").alias("part"))
-    kept = written(placed.agg(F.min("best")["mark"].alias("mark")).select("mark"), "kept")
-    forget(made, sames)
+    kept = placed.agg(F.min("best")["mark"].alias("mark"))
+    forget(made)
     return rows.join(kept, "mark", "left_semi").select("doc.*")
