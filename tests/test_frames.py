@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from turnlake.functions import frames as FR
 from turnlake.operators import frames as O
@@ -14,12 +15,15 @@ def table(spark, values, name="p"):
 
 
 def test_hysteresis_and_runs(spark):
-    got = O.hysteresis(table(spark, [0.0, 0.4, 0.6, 0.5, 0.4, 0.3, 0.0]), 0.5, 0.4).orderBy("frame")
-    assert [r["on"] for r in got.collect()] == [False, False, True, True, True, False, False]
-    on = spark.createDataFrame([(1, k, v) for k, v in enumerate([False, True, True, False, True, False, True, True, True])], "rec long, frame long, on boolean")
-    assert sorted((r["first"], r["stop"]) for r in O.runs(on).collect()) == [(1, 3), (4, 5), (6, 9)]
+    # On at 0.7 and more; 0.65 and 0.31 don't end it, 0.29 does; 0.69 is too low to start again.
+    got = O.hysteresis(table(spark, [0.69, 0.7, 0.31, 0.65, 0.3, 0.29, 0.69, 0.9, 0.1]), 0.7, 0.3).orderBy("frame")
+    states = [r["on"] for r in got.collect()]
+    assert states == [False, True, True, True, True, False, False, True, False]
+    assert sorted((r["first"], r["stop"]) for r in O.runs(got).collect()) == [(1, 5), (7, 8)]
     with pytest.raises(ValueError):
-        O.hysteresis(table(spark, [0.1]), 0.4, 0.5)
+        O.hysteresis(table(spark, [0.1]), 0.2, 0.9)
+    with pytest.raises(ValueError):
+        O.hysteresis(table(spark, [0.1]), 1.2, 0.9)
 
 
 def machine(values, onset, offset):
@@ -40,16 +44,20 @@ def test_hysteresis_is_the_state_machine(spark, values, a, b):
 
 
 def test_plan_starts(spark):
-    recs = spark.createDataFrame([(1, 230000), (2, 200000), (3, 50000), (4, 0)], "rec long, total long")
+    recs = spark.createDataFrame([(1, 1000), (2, 1010), (3, 300), (4, 299), (5, 0)], "rec long, total long")
     got = {}
-    for r in O.plan_starts(recs, 160000, 40000).collect():
+    for r in O.plan_starts(recs, 300, 175).collect():
         got.setdefault(r["rec"], []).append(r["start"])
-    assert {k: sorted(v) for k, v in got.items()} == {1: [0, 40000, 70000], 2: [0, 40000], 3: [0]}
+    # 1000: every 175 up to 700, which ends with the recording; 1010: one more, which ends there.
+    assert {k: sorted(v) for k, v in got.items()} == {1: [0, 175, 350, 525, 700], 2: [0, 175, 350, 525, 700, 710], 3: [0], 4: [0]}
 
 
 def test_samples_and_frames(spark):
-    df = spark.createDataFrame([(80000, 294), (40000, 147), (120000, 441), (160000, 589)], "s long, f long")
-    assert all(r["f"] == r["got"] for r in df.withColumn("got", FR.sample_to_frame(df["s"])).collect())
+    frames = range(0, 700, 13)
+    df = spark.createDataFrame([(k,) for k in frames], "f long").select("f", FR.frame_to_sample(F.col("f")).alias("s"))
+    rows = df.select("f", "s", FR.sample_to_frame(F.col("s") + 1).alias("back"), FR.total_frames(F.col("s")).alias("total"), O.duration_to_samples(F.col("f") / 100).alias("d")).collect()
+    assert all(r["s"] == (r["f"] * 320000 + 589) // 1178 and r["back"] == (r["s"] + 1) * 589 // 160000 and r["total"] == -(-r["s"] * 589 // 160000) for r in rows)
+    assert all(abs(r["back"] - r["f"]) <= 1 and r["d"] == int(r["f"] / 100 * 16000) for r in rows)
 
 
 def test_stitched_mean_by_region(spark):
@@ -59,10 +67,18 @@ def test_stitched_mean_by_region(spark):
 
 
 def test_powerset(spark):
-    p = spark.createDataFrame([([0.1, 0.2, 0.1, 0.05, 0.3, 0.15, 0.1],)], "p array<double>")
-    got = p.select(*FR.speaker_marginals(p["p"]), FR.voice_probability(p["p"])).first()
-    assert [round(x, 9) for x in got] == [0.65, 0.5, 0.3, 0.9]
-    assert list(p.select(*FR.speaker_hard(p["p"])).first()) == [1.0, 1.0, 0.0]
+    rng = random.Random(6)
+    for _ in range(5):
+        raw = [rng.random() for _ in range(7)]
+        p = [x / sum(raw) for x in raw]
+        row = spark.createDataFrame([(p,)], "p array<double>")
+        got = row.select(*FR.speaker_marginals(row["p"]), FR.voice_probability(row["p"])).first()
+        pairs = {4: (0, 1), 5: (0, 2), 6: (1, 2)}
+        want = [p[1 + s] + sum(p[c] for c, who in pairs.items() if s in who) for s in range(3)]
+        assert all(math.isclose(a, b) for a, b in zip(got, [*want, sum(p[1:])], strict=True))
+        best = p.index(max(p))
+        who = pairs.get(best, (best - 1,) if best else ())
+        assert list(row.select(*FR.speaker_hard(row["p"])).first()) == [float(s in who) for s in range(3)]
 
 
 def test_spans_at_the_end(spark):
@@ -80,6 +96,39 @@ def test_labels_go_by_text(spark):
     assert lines[10] == "SPEAKER 1 1 1.000 1233.500 <NA> <NA> SPEAKER_00 <NA> <NA>"
 
 
+def test_more_than_a_hundred_speakers(spark):
+    spans = spark.createDataFrame([(1, c, float(c), c + 0.5) for c in range(130)], "rec long, cluster int, start double, end double")
+    lines = {r["cluster"]: r["line"].split(" ")[7] for r in O.rttm_lines(spans).collect()}
+    order = sorted(range(130), key=str)
+    assert lines == {c: f"SPEAKER_{k:02d}" for k, c in enumerate(order)} and len(set(lines.values())) == 130
+
+
+@pytest.mark.parametrize("cluster, activity, code", [(-7, 0.5, "HardClustersNegativeId"), (1024, 0.5, "HardClustersIdAboveMax"), (1, float("nan"), "NonFiniteSegmentations"), (1, float("inf"), "NonFiniteSegmentations"), (1, None, "NonFiniteSegmentations")])
+def test_refused_grids(spark, cluster, activity, code):
+    seg = spark.createDataFrame([(1, 0, 0, 0, activity)], "rec long, chunk int, at int, slot int, activity double")
+    hard = spark.createDataFrame([(1, 0, 0, cluster)], "rec long, chunk int, slot int, cluster int")
+    with pytest.raises(Exception, match=code):
+        O.clustered(seg, hard).collect()
+
+
+def test_refused_counts_and_times(spark):
+    act = spark.createDataFrame([(1, 0, 1, 0.5)], "rec long, t int, cluster int, activation double")
+    with pytest.raises(Exception, match="CountAboveMax"):
+        O.top_clusters(act, spark.createDataFrame([(1, 0, 65)], "rec long, t int, cnt int")).collect()
+    clusters = spark.createDataFrame([(1, 0, 0, 1, 0.5)], "rec long, chunk int, at int, cluster int, activity double")
+    sizes = spark.createDataFrame([(1, 4)], "rec long, frames long")
+    for step in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            O.overlap_sum(clusters, 0.0, 0.1, 0.0, 0.1, step)
+        with pytest.raises(ValueError):
+            O.grid_to_spans(act, sizes, 0.0, 0.1, step)
+    for gap in (-0.1, float("nan")):
+        with pytest.raises(ValueError):
+            O.grid_to_spans(act, sizes, 0.0, 0.1, 0.1, gap)
+        with pytest.raises(ValueError):
+            O.smoothed_top(act, sizes, gap)
+
+
 def test_padding_clusters_may_be_chosen(spark):
     act = spark.createDataFrame([(1, 0, 1, 0.5)], "rec long, t int, cluster int, activation double")
     counts = spark.createDataFrame([(1, 0, 3)], "rec long, t int, cnt int")

@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -6,37 +7,70 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnlake.operators import clustering as C
-from turnlake.operators.assignment import assign_slots, match
+from turnlake.operators.assignment import assign_slots
 from turnlake.operators.features import Projection, clip_bank, full_bank, mel_bank
 from turnlake.operators.variational import refine, soft_labels
 
 
-@pytest.mark.parametrize(
-    "score, rows, cols",
-    [([[0, 0], [0, 0], [1, 1]], [1, 2], [1, 0]), ([[0, 0], [0, 0]], [0, 1], [1, 0])],
-)
-def test_match_ties(score, rows, cols):
-    r, c = match(np.array(score, float))
-    if score[-1] == [1, 1]:
-        assert (r.tolist(), c.tolist()) == (rows, cols)
-    assert sorted(c.tolist()) == sorted(cols)
+def plain_assignment(x):
+    """The documented order over all ways to match as many slots as can be: total, scores by slot, low clusters."""
+    slots, clusters = x.shape
+    ways = [w for w in itertools.product([*range(clusters), None], repeat=slots) if len({c for c in w if c is not None}) == sum(c is not None for c in w) == min(slots, clusters)]
 
+    def key(w):
+        v = [x[s, c] if c is not None else -math.inf for s, c in enumerate(w)]
+        return sum(x[s, c] for s, c in enumerate(w) if c is not None), v, [-(c if c is not None else 1 << 30) for c in w]
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 4), st.integers(1, 5), st.data())
-def test_match_is_optimal(n, m, data):
-    x = np.array([[data.draw(st.integers(0, 4)) for _ in range(m)] for _ in range(n)], float)
-    r, c = match(x)
-    assert len(set(r.tolist())) == len(set(c.tolist())) == min(n, m)
-    wide = x if n <= m else x.T
-    best = max(sum(wide[i, p[i]] for i in range(len(wide))) for p in itertools.permutations(range(wide.shape[1]), len(wide)))
-    assert x[r, c].sum() == best
+    return [-2 if c is None else c for c in max(ways, key=key)]
+
+
+def test_assignments(spark):
+    """Best totals and the order of ties, for one to six clusters."""
+    rng = np.random.default_rng(5)
+    scores = [rng.integers(0, 3 + k % 4, (3, 1 + k % 6)).astype(float) for k in range(120)]
+    rows = [(1, k, s, c, float(x[s, c])) for k, x in enumerate(scores) for s in range(3) for c in range(x.shape[1])]
+    got = {}
+    for r in assign_slots(spark.createDataFrame(rows, "rec long, chunk int, slot int, cluster int, soft double")).collect():
+        got.setdefault(r["chunk"], {})[r["slot"]] = r["cluster"]
+    assert [[got[k][s] for s in range(3)] for k in range(120)] == [plain_assignment(x) for x in scores]
+
+
+def test_refused_scores(spark):
+    for value, code in ((math.inf, "NonFinite"), (1e16, "CostTooLarge"), (math.nan, "AllNaN"), (None, "AllNaN")):
+        rows = [(1, 0, s, 0, value) for s in range(3)]
+        with pytest.raises(Exception, match=code):
+            assign_slots(spark.createDataFrame(rows, "rec long, chunk int, slot int, cluster int, soft double")).collect()
 
 
 def test_slots_of_nan(spark):
-    rows = [(1, 0, s, k, float("nan") if s == 1 else float(s + k)) for s in range(3) for k in range(2)]
+    # Slot 2 knows nothing: it counts as the least score of the recording everywhere, and the others go first.
+    rows = [(4, 7, s, k, float("nan") if s == 2 else float(10 - 3 * s + k)) for s in range(3) for k in range(2)]
     got = assign_slots(spark.createDataFrame(rows, "rec long, chunk int, slot int, cluster int, soft double")).collect()
-    assert sorted(r["cluster"] for r in got) == [-2, 0, 1]
+    assert {r["slot"]: r["cluster"] for r in got} == {0: 1, 1: 0, 2: -2}
+
+
+def test_two_vectors():
+    """At the threshold itself they are one cluster, by any method."""
+    same, other = np.array([[0.6, 0.8], [0.6, 0.8]]), np.array([[1.0, 0.0], [0.6, 0.8]])
+    for method in ("agglomerative", "spectral"):
+        assert C.offline(same, method, 1.0).tolist() == [0, 0]
+        assert C.offline(other, method, 0.6).tolist() == [0, 0] and C.offline(other, method, 0.61).tolist() == [0, 1]
+        assert C.offline(other, method, 0.99, target=1).tolist() == [0, 0] and C.offline(same, method, target=2).tolist() == [0, 1]
+    for threshold in (1.5, -1.01, math.nan):
+        with pytest.raises(C.EngineError) as e:
+            C.offline(same, threshold=threshold)
+        assert e.value.code == "InvalidSimilarityThreshold"
+
+
+def test_eigenvalues(spark):
+    rng = np.random.default_rng(2)
+    w = np.triu(rng.random((6, 6)), 1)
+    w += w.T
+    d = w.sum(axis=1)
+    lap = -w / np.sqrt(d[:, None] * d[None])
+    rows = [(3, i, j, float(lap[i, j])) for i in range(6) for j in range(6) if i != j]
+    got = sorted(r["value"] for r in C.laplacian_eigenvalues(spark.createDataFrame(rows, "rec long, i int, j int, l double")).collect())
+    assert np.allclose(got, np.linalg.eigvalsh(np.eye(6) + lap)) and abs(got[0]) < 1e-12
 
 
 def test_agglomerate():
@@ -49,7 +83,7 @@ def test_agglomerate():
 
 @pytest.mark.parametrize("x, target, code", [(np.empty((0, 2)), None, "EmptyInput"), (np.zeros((2, 2)), None, "ZeroNormInput"), (np.array([[np.nan, 1.0]]), None, "NonFiniteInput"), (np.eye(2), 3, "TargetOutOfRange"), (np.ones((1001, 2)), None, "InputTooLarge")])
 def test_refusals(x, target, code):
-    for run in (C.agglomerate, C.spectral):
+    for run in (C.offline, C.agglomerate, C.spectral):
         with pytest.raises(C.EngineError) as e:
             run(x, target=target)
         assert e.value.code == code
@@ -97,24 +131,31 @@ def test_spectral_finds_blobs():
 
 
 def test_far_rows_make_their_own_clusters():
-    u = np.array([[0.0, 0], [1, 0], [0, 1], [10, 10]])
-    assert len(set(C.kmeans(u, 2, 42))) == 2 and C.kmeans(u, 2, 42).tolist().count(C.kmeans(u, 2, 42)[3]) == 1
+    u = np.array([[0.2, 0.1], [-0.1, 0.3], [0.0, -0.2], [40.0, -35.0], [0.1, 0.0]])
+    for seed in range(5):
+        labels = C.kmeans(u, 2, seed).tolist()
+        assert labels.count(labels[3]) == 1
 
 
 def test_online_order():
-    s = C.Speakers()
-    a, near, far = np.array([1.0, 0.0]), np.array([0.9, 0.2]), np.array([0.0, 1.0])
-    assert [s.assign(x, 2.0) for x in (a, near, far)] == [("new", 1), ("existing", 1), ("new", 2)]
-    s = C.Speakers()
-    assert [s.assign(x, 2.0) for x in (a, far, near)] == [("new", 1), ("new", 2), ("existing", 1)]
-    e = np.eye(2)
-    s = C.Speakers(speaker_threshold=1.5, embedding_threshold=1.5)
-    s.assign(e[0], 1.0)
-    assert s.assign(e[1], 1.0) == ("existing", 1)
-    assert np.allclose(s.centroids[0], (0.653871, 0.756613), atol=1e-6)
-    assert C.Speakers().assign(e[0], 0.5) == ("dropped", None)
-    with pytest.raises(C.EngineError):
-        C.Speakers(speaker_threshold=2.5)
+    """A vector joins the nearest speaker, starts one if it is long enough, and moves a centroid only if it is close."""
+    at = lambda degrees: np.array([math.cos(math.radians(degrees)), math.sin(math.radians(degrees))])
+    s = C.Speakers(speaker_threshold=0.5, embedding_threshold=0.1)
+    # 1 - cos: 0.5 at 60 degrees, 0.1 at 25.8.
+    assert [s.assign(at(d), 3.0) for d in (0, 61, 100, 40)] == [("new", 1), ("new", 2), ("existing", 2), ("existing", 2)]
+    assert s.count == 2 and s.ids == [1, 2] and s.duration(2) == 9.0 and s.centroid(3) is None
+    # 40 is 21 degrees from 61: its centroid is 0.9 of the mean of 61 and 40, and 0.1 of 40.
+    mean = at(61) + at(40)
+    want = 0.9 * mean / np.linalg.norm(mean) + 0.1 * at(40)
+    assert np.allclose(s.centroid(2), want / np.linalg.norm(want)) and np.allclose(s.centroid(1), at(0))
+    assert s.assign(at(200), 0.9) == ("dropped", None) and s.assign(at(200), 1.0) == ("new", 3)
+    s.reset()
+    assert s.count == 0 and s.assign(at(77), 1.0) == ("new", 1)
+    both = C.Speakers.from_threshold(0.5)
+    assert math.isclose(both.near, 0.6) and math.isclose(both.close, 0.4)
+    for bad in ({"speaker_threshold": 2.5}, {"embedding_threshold": -0.1}, {"min_duration": math.nan}, {"min_duration": -1}):
+        with pytest.raises(C.EngineError):
+            C.Speakers(**bad)
 
 
 def test_refinement_bound_rises():

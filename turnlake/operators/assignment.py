@@ -1,101 +1,58 @@
-"""Assignment of each chunk's slots to clusters, at most one slot to a cluster, for the greatest total score."""
+"""Assignment of each chunk's three slots to clusters, at most one slot to a cluster, for the greatest total score."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from .clustering import EngineError
-
-UNMATCHED, MOST_COST = -2, 1e15
-
+import itertools
 
-def match(score: np.ndarray, maximize: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of an optimal matching of min(rows, columns) pairs, by shortest augmenting paths with potentials.
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-    Columns wait in a list from the highest down; of equally near columns a free one goes first, else the one found first.
-    A column that leaves the list is replaced by the list's last.
-    """
-    cost = np.array(score, np.float64)
-    flipped = cost.shape[1] < cost.shape[0]
-    cost = cost.T if flipped else cost
-    cost = -cost if maximize else cost
-    rows, cols = cost.shape
-    u, v = np.zeros(rows), np.zeros(cols)
-    col_of, row_of = np.full(rows, -1), np.full(cols, -1)
-    for start in range(rows):
-        reach, via = np.full(cols, np.inf), np.full(cols, -1)
-        waiting, seen_rows, done = list(range(cols - 1, -1, -1)), [], []
-        row, so_far, end = start, 0.0, -1
-        while end < 0:
-            seen_rows.append(row)
-            pick, least = -1, np.inf
-            for k, c in enumerate(waiting):
-                step = so_far + cost[row, c] - u[row] - v[c]
-                if step < reach[c]:
-                    reach[c], via[c] = step, row
-                if reach[c] < least or (reach[c] == least and row_of[c] < 0):
-                    pick, least = k, reach[c]
-            so_far, c = least, waiting[pick]
-            done.append(c)
-            last = waiting.pop()
-            if pick < len(waiting):
-                waiting[pick] = last
-            if row_of[c] < 0:
-                end = c
-            else:
-                row = row_of[c]
-        u[start] += so_far
-        for r in seen_rows[1:]:
-            u[r] += so_far - reach[col_of[r]]
-        for c in done:
-            v[c] -= so_far - reach[c]
-        c = end
-        while True:
-            r = via[c]
-            row_of[c] = r
-            col_of[r], c = c, col_of[r]
-            if r == start:
-                break
-    if flipped:
-        order = np.argsort(col_of, kind="stable")
-        return col_of[order], order
-    return np.arange(rows), col_of
+UNMATCHED, MOST_SCORE, SLOTS = -2, 1e15, 3
 
 
-def check_scores(x: np.ndarray) -> None:
-    if np.isinf(x).any():
-        raise EngineError("NonFinite")
-    if (np.abs(x[~np.isnan(x)]) > MOST_COST).any():
-        raise EngineError("CostTooLarge")
+def _choices() -> Column:
+    """All ways to give each slot the first, second or third of its best clusters, or none (0)."""
+    return F.array(*(F.struct(*(F.lit(k).alias(f"s{s}") for s, k in enumerate(c))) for c in itertools.product(range(SLOTS + 1), repeat=SLOTS)))
 
 
-def assign_slots(soft: DataFrame, slots: int = 3) -> DataFrame:
+def assign_slots(soft: DataFrame) -> DataFrame:
     """rec, chunk, slot, cluster from (rec, chunk, slot, cluster, soft); slots that get none have -2.
 
-    A NaN counts as the least score of its recording.
+    An optimal assignment needs no more than the three best clusters of each of the three slots, so at most 64 choices of a
+    chunk are compared, as one expression; as many slots are matched as there are clusters, three at most. Of equal totals
+    the one with the higher score in slot 0 wins, then in slot 1, then in slot 2, then the one with the lower clusters, slot
+    by slot. A NaN or null counts as the least score of its recording. Infinite scores fail with NonFinite, those beyond
+    1e15 with CostTooLarge, recordings of NaN alone with AllNaN. A chunk must have all its cells, each once. An empty table
+    gives an empty result; other columns are ignored.
     """
-    least = F.min(F.when(~F.isnan("soft"), F.col("soft"))).over(Window.partitionBy("rec"))
-    filled = soft.withColumn("_least", least).withColumn("soft", F.when(F.isnan("soft"), F.col("_least")).otherwise(F.col("soft")))
-    packed = filled.groupBy("rec", "chunk").agg(F.sort_array(F.collect_list(F.struct("slot", "cluster", "soft"))).alias("all"))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for rec, chunk, cells in zip(batch.column("rec").to_pylist(), batch.column("chunk").to_pylist(), batch.column("all").to_pylist(), strict=True):
-                names = sorted({c["cluster"] for c in cells})
-                place = {c: k for k, c in enumerate(names)}
-                x = np.full((slots, len(names)), np.nan)
-                for c in cells:
-                    x[c["slot"], place[c["cluster"]]] = np.nan if c["soft"] is None else c["soft"]
-                if np.isnan(x).all():
-                    raise EngineError("AllNaN")
-                check_scores(x)
-                got = dict(zip(*(a.tolist() for a in match(np.where(np.isnan(x), np.nanmin(x), x))), strict=True))
-                out += [(rec, chunk, s, names[got[s]] if s in got else UNMATCHED) for s in range(slots)]
-            r, c, s, k = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(c, pa.int32()), pa.array(s, pa.int32()), pa.array(k, pa.int32())], names=["rec", "chunk", "slot", "cluster"])
-
-    return packed.mapInArrow(run, "rec long, chunk int, slot int, cluster int")
+    score = F.when(~F.isnan("soft"), F.col("soft").cast("double"))
+    score = F.when(F.abs(score) == float("inf"), F.raise_error(F.lit("NonFinite")).cast("double")).when(F.abs(score) > MOST_SCORE, F.raise_error(F.lit("CostTooLarge")).cast("double")).otherwise(score)
+    cells = soft.select("rec", "chunk", "slot", "cluster", score.alias("v"))
+    least = F.min("v").over(Window.partitionBy("rec"))
+    cells = cells.withColumn("v", F.coalesce("v", least, F.raise_error(F.lit("AllNaN")).cast("double")))
+    # A slot keeps its three best clusters: of equal scores the lowest.
+    rank = F.row_number().over(Window.partitionBy("rec", "chunk", "slot").orderBy(F.desc("v"), "cluster"))
+    best = cells.withColumn("k", rank).filter(F.col("k") <= SLOTS)
+    cell = F.struct("k", "cluster", "v")
+    of = [F.sort_array(F.collect_list(F.when(F.col("slot") == s, cell))).alias(f"b{s}") for s in range(SLOTS)]
+    rows = best.groupBy("rec", "chunk").agg(*of, F.max("k").cast("int").alias("most"))
+
+    def judged(c: Column) -> Column:
+        got = [F.get(f"b{s}", c[f"s{s}"] - 1) for s in range(SLOTS)]
+        taken = [g["cluster"] for g in got]
+        fits = F.lit(True)
+        for s in range(SLOTS):
+            # Place 0 is no cluster; a place beyond the slot's list is no choice.
+            fits = fits & ((c[f"s{s}"] == 0) | got[s].isNotNull())
+        for x, y in itertools.combinations(taken, 2):
+            fits = fits & ~F.coalesce(x == y, F.lit(False))
+        matched = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in taken), F.lit(0))
+        value = [F.coalesce(g["v"], F.lit(float("-inf"))) for g in got]
+        total = sum((F.coalesce(g["v"], F.lit(0.0)) for g in got), F.lit(0.0))
+        low = [-F.coalesce(t, F.lit(1 << 30)) for t in taken]
+        choice = F.struct(total.alias("total"), *(v.alias(f"v{s}") for s, v in enumerate(value)), *(n.alias(f"n{s}") for s, n in enumerate(low)), *(F.coalesce(t, F.lit(UNMATCHED)).cast("int").alias(f"c{s}") for s, t in enumerate(taken)))
+        return F.when(fits & (matched == F.col("most")), choice)
+
+    won = rows.select("rec", "chunk", F.array_max(F.transform(_choices(), judged)).alias("won"))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"won.c{s}").alias("cluster")) for s in range(SLOTS))))
+    return won.select("rec", F.col("chunk").cast("int").alias("chunk"), each.alias("x")).select("rec", "chunk", "x.slot", "x.cluster")

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MOST_VECTORS = {"offline": 1000, "ahc": 32_000}
+MOST_VECTORS = {"offline": 1000, "ahc": 8000}
 
 
 class EngineError(ValueError):
@@ -62,20 +62,31 @@ def agglomerate(x: np.ndarray, threshold: float = 0.5, linkage: str = "average",
 
 
 def centroid_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Steps (a, b, height) of centroid linkage over Euclidean distances; step k makes cluster n + k."""
+    """Steps (a, b, height) of centroid linkage over Euclidean distances; step k makes cluster n + k.
+
+    Each row remembers its nearest other row; a merge looks again only for those whose nearest has gone.
+    """
     n = len(x)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2) if n <= 2000 else np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
+    d2 = np.stack([((x - v) ** 2).sum(axis=1) for v in x])
     np.fill_diagonal(d2, np.inf)
     size, name, out = np.ones(n), np.arange(n), []
+    near, height = d2.argmin(axis=1), d2.min(axis=1)
     for k in range(n - 1):
-        a, b = divmod(int(np.argmin(d2)), n)
+        a = int(height.argmin())
+        a, b = sorted((a, int(near[a])))
         h2, na, nb = d2[a, b], size[a], size[b]
         row = (na * d2[a] + nb * d2[b]) / (na + nb) - na * nb * h2 / (na + nb) ** 2
+        row[a] = row[b] = np.inf
         d2[a] = d2[:, a] = row
-        d2[a, a] = np.inf
         d2[b] = d2[:, b] = np.inf
         out.append((min(name[a], name[b]), max(name[a], name[b]), float(np.sqrt(max(0.0, h2)))))
         size[a], name[a] = na + nb, n + k
+        height[b] = np.inf
+        closer = row < height
+        near[closer], height[closer] = a, row[closer]
+        for i in np.flatnonzero(((near == a) & ~closer) | (near == b)).tolist() + [a]:
+            near[i] = int(d2[i].argmin())
+            height[i] = d2[i, near[i]]
     return out
 
 
@@ -150,21 +161,50 @@ def kmeans(u: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarra
     return renumbered(labels)
 
 
-METHODS = {"agglomerative": agglomerate, "ahc": ahc, "spectral": spectral}
+METHODS = {"agglomerative": agglomerate, "spectral": spectral}
+
 
+def offline(x: np.ndarray, method: str = "spectral", threshold: float = 0.5, target: int | None = None, **options) -> np.ndarray:
+    """Labels of a recording's vectors. Two vectors are one cluster if their similarity is threshold or more, unless target says otherwise."""
+    check_vectors(x, MOST_VECTORS["offline"], target)
+    if not -1 <= threshold <= 1:
+        raise EngineError("InvalidSimilarityThreshold", str(threshold))
+    if len(x) == 2:
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        together = target == 1 if target else max(0.0, float(unit[0] @ unit[1])) >= threshold
+        return np.array([0, 0 if together else 1])
+    return METHODS[method](x, threshold=threshold, target=target, **options)
 
-def cluster(vecs: DataFrame, method: str, **options) -> DataFrame:
-    """rec, i, label of the vectors (rec, i, embedding) of each recording."""
-    run = METHODS[method]
+
+def cluster(vecs: DataFrame, method: str = "spectral", **options) -> DataFrame:
+    """rec, i, label of the vectors (rec, i, embedding) of each recording; method is agglomerative, spectral or ahc.
+
+    A recording is one group, bounded by MOST_VECTORS; larger ones are refused. An empty table gives an empty result.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        labels = run(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), **options)
+        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+        labels = ahc(x, **options) if method == "ahc" else offline(x, method, **options)
         return pd.DataFrame({"rec": pdf["rec"], "i": pdf["i"], "label": labels})
 
     return vecs.select("rec", "i", "embedding").groupBy("rec").applyInPandas(one, "rec long, i int, label int")
 
 
+def laplacian_eigenvalues(entries: DataFrame) -> DataFrame:
+    """rec, value from the entries off the diagonal (rec, i, j, l) of normalised Laplacians, whose diagonal is 1."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf[["i", "j"]].to_numpy())
+        if len(ids) > MOST_VECTORS["offline"]:
+            raise EngineError("InputTooLarge", f"{len(ids)} vectors")
+        m = np.eye(len(ids))
+        m[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["l"]
+        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "value": np.linalg.eigvalsh(m)})
+
+    return entries.select("rec", "i", "j", "l").groupBy("rec").applyInPandas(one, "rec long, value double")
+
+
 class Speakers:
     """Greedy matching of vectors, in order, to running centroids."""
 
@@ -172,6 +212,8 @@ class Speakers:
         for name, v in (("speaker_threshold", speaker_threshold), ("embedding_threshold", embedding_threshold)):
             if not 0 <= v <= 2:
                 raise EngineError("ThresholdOutOfRange", name)
+        if not (np.isfinite(min_duration) and min_duration >= 0):
+            raise EngineError("DurationOutOfRange", str(min_duration))
         self.near, self.close, self.least, self.keep, self.most = speaker_threshold, embedding_threshold, min_duration, keep, history
         self.centroids: list[np.ndarray] = []
         self.history: list[list[np.ndarray]] = []
@@ -181,6 +223,29 @@ class Speakers:
     def unit(v: np.ndarray) -> np.ndarray:
         return v * (1 / max(float(np.linalg.norm(v)), 1e-12))
 
+    @classmethod
+    def from_threshold(cls, base: float, **options) -> Speakers:
+        """One threshold for both: 1.2 times it to join a speaker, 0.8 times it to move the speaker's centroid."""
+        return cls(speaker_threshold=1.2 * base, embedding_threshold=0.8 * base, **options)
+
+    def reset(self) -> None:
+        """Forgets all speakers; the next one is number 1."""
+        self.centroids, self.history, self.durations = [], [], []
+
+    @property
+    def count(self) -> int:
+        return len(self.centroids)
+
+    @property
+    def ids(self) -> list[int]:
+        return list(range(1, self.count + 1))
+
+    def centroid(self, speaker: int) -> np.ndarray | None:
+        return self.centroids[speaker - 1].copy() if 1 <= speaker <= self.count else None
+
+    def duration(self, speaker: int) -> float | None:
+        return self.durations[speaker - 1] if 1 <= speaker <= self.count else None
+
     def assign(self, v: np.ndarray, duration: float) -> tuple[str, int | None]:
         """existing, new or dropped, and the speaker's number from 1."""
         v = self.unit(np.asarray(v, np.float64))

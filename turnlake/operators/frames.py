@@ -11,6 +11,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The highest cluster that a grid takes, and the most clusters that a frame counts.
+MOST_CLUSTER, MOST_COUNT = 1023, 64
+
+
+def checked(value: Column, *faults: tuple[Column, str]) -> Column:
+    """value, or an error for the first of the faults (condition, code) that holds."""
+    out = F.lit(None)
+    for bad, code in reversed(faults):
+        out = F.when(bad, F.raise_error(F.lit(code))).otherwise(out)
+    # The error is part of the value, so it can't be left out of the plan.
+    return F.coalesce(out.cast("double"), value) if faults else value
+
+
+def check_timing(*steps: float) -> None:
+    """Durations and steps are finite and above 0."""
+    if not all(math.isfinite(x) and x > 0 for x in steps):
+        raise ValueError("NonPositiveDurationOrStep")
+
+
+def check_gap(min_duration_off: float) -> None:
+    if not (math.isfinite(min_duration_off) and min_duration_off >= 0):
+        raise ValueError("MinDurationOffOutOfRange")
+
+
+def check_epsilon(epsilon: float | None) -> None:
+    if epsilon is not None and not (math.isfinite(epsilon) and epsilon >= 0):
+        raise ValueError("SmoothingEpsilonOutOfRange")
+
+
+def duration_to_samples(seconds: Column, rate: int = 16000) -> Column:
+    """Whole samples of a duration, rounded down."""
+    return F.floor(seconds * rate)
+
+
 def plan_starts(recs: DataFrame, window: int, step: int) -> DataFrame:
     """rec, start: windows every `step` samples that fit into `total`, and one that ends with it; one at 0 if total is shorter."""
     fit = F.expr(f"CASE WHEN total >= {window} THEN sequence(0L, total - {window}, {step}L) WHEN total > 0 THEN array(0L) ELSE CAST(array() AS array<bigint>) END")
@@ -20,6 +54,8 @@ def plan_starts(recs: DataFrame, window: int, step: int) -> DataFrame:
 
 def hysteresis(frames: DataFrame, onset: float, offset: float, keys: tuple[str, ...] = ("rec",), order: str = "frame", p: str = "p") -> DataFrame:
     """frames plus `on`: true from a value of onset or more until one below offset (offset <= onset)."""
+    if not (0 <= onset <= 1 and 0 <= offset <= 1):
+        raise ValueError("thresholds are 0 to 1")
     if offset > onset:
         raise ValueError("offset is above onset")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,13 +119,20 @@ def hamming_add(windows: DataFrame, size: int, value: str = "p") -> DataFrame:
 
 
 def clustered(seg: DataFrame, hard: DataFrame) -> DataFrame:
-    """rec, chunk, at, cluster, activity: the largest activity of the slots that have a cluster; unmatched slots (-2) go."""
-    of = hard.filter("cluster >= 0")
+    """rec, chunk, at, cluster, activity: the largest activity of the slots that have a cluster; unmatched slots (-2) go.
+
+    Other negative clusters fail with HardClustersNegativeId, those above MOST_CLUSTER with HardClustersIdAboveMax, and
+    activities that aren't finite with NonFiniteSegmentations.
+    """
+    of = hard.filter(checked(F.col("cluster"), ((F.col("cluster") < 0) & (F.col("cluster") != -2), "HardClustersNegativeId"), (F.col("cluster") > MOST_CLUSTER, "HardClustersIdAboveMax")) >= 0)
+    bad = F.col("activity").isNull() | F.isnan("activity") | (F.abs("activity") == float("inf"))
+    seg = seg.withColumn("activity", checked(F.col("activity"), (bad, "NonFiniteSegmentations")))
     return seg.join(of, ["rec", "chunk", "slot"]).groupBy("rec", "chunk", "at", "cluster").agg(F.max("activity").alias("activity"))
 
 
 def overlap_sum(clusters: DataFrame, chunk_start: float, chunk_step: float, frame_start: float, frame_duration: float, frame_step: float) -> DataFrame:
     """rec, t, cluster, activation: activities of all chunks, added at the closest output frame."""
+    check_timing(chunk_step, frame_duration, frame_step)
     begin = F.lit(chunk_start) + F.col("chunk") * chunk_step + frame_duration / 2
     t = (F.rint((begin - frame_start - frame_duration / 2) / frame_step) + F.col("at")).cast("int")
     return clusters.groupBy("rec", t.alias("t"), "cluster").agg(F.sum("activity").alias("activation")).filter("t >= 0")
@@ -100,6 +143,7 @@ def top_clusters(activation: DataFrame, counts: DataFrame) -> DataFrame:
 
     All clusters below the recording's number of clusters stand for election, those without activity too.
     """
+    counts = counts.withColumn("cnt", checked(F.col("cnt"), (F.col("cnt") > MOST_COUNT, "CountAboveMax")).cast("int"))
     most = activation.groupBy("rec").agg((F.max("cluster") + 1).alias("_k"))
     most = most.join(counts.groupBy("rec").agg(F.greatest(F.max("cnt"), F.lit(1)).alias("_c")), "rec").select("rec", F.greatest("_k", "_c").alias("k"))
     wanted = counts.filter("cnt > 0").join(most, "rec")
@@ -114,6 +158,8 @@ def grid_to_spans(grid: DataFrame, sizes: DataFrame, start: float, duration: flo
 
     A span ends at the middle of the first frame that is off, or of the last frame of all; gaps of min_duration_off or less close.
     """
+    check_timing(duration, step)
+    check_gap(min_duration_off)
     keys = ("rec", "cluster")
     found = runs(grid, keys, "t", "cluster >= 0").join(sizes.select("rec", (F.col("frames") - 1).alias("_last")), "rec")
     mid = lambda f: F.lit(start) + f * F.lit(step) + F.lit(duration / 2)
@@ -126,7 +172,7 @@ def rttm_lines(spans: DataFrame, uri: Column | None = None) -> DataFrame:
     label = F.dense_rank().over(Window.partitionBy("rec").orderBy(F.col("cluster").cast("string"))) - 1
     name = uri if uri is not None else F.col("rec").cast("string")
     seconds = lambda c: F.call_function("format_number", c, F.lit("0.000"))
-    text = F.concat(F.lit("SPEAKER "), name, F.lit(" 1 "), seconds(F.col("start")), F.lit(" "), seconds(F.col("end") - F.col("start")), F.lit(" <NA> <NA> SPEAKER_"), F.lpad((label).cast("string"), 2, "0"), F.lit(" <NA> <NA>"))
+    text = F.concat(F.lit("SPEAKER "), name, F.lit(" 1 "), seconds(F.col("start")), F.lit(" "), seconds(F.col("end") - F.col("start")), F.lit(" <NA> <NA> SPEAKER_"), F.lpad(label.cast("string"), F.greatest(F.lit(2), F.length(label.cast("string"))), F.lit("0")), F.lit(" <NA> <NA>"))
     return spans.select("rec", "start", "cluster", text.alias("line"))
 
 
@@ -135,6 +181,7 @@ def smoothed_top(activation: DataFrame, counts: DataFrame, epsilon: float) -> Da
 
     The choice depends on the frame before, so each recording's frames go through one task in order, as one packed row a frame.
     """
+    check_epsilon(epsilon)
     most = activation.groupBy("rec").agg((F.max("cluster") + 1).alias("_k")).join(counts.groupBy("rec").agg(F.greatest(F.max("cnt"), F.lit(1)).alias("_c")), "rec")
     packed = activation.groupBy("rec", "t").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "activation"))).alias("a"))
     rows = counts.join(most.select("rec", F.greatest("_k", "_c").alias("k")), "rec").join(packed, ["rec", "t"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions import vectors as V
 #: Weights at or below this are dead; weights between the other two are too close to tell.
 ALIVE, UNSURE = 1e-7, (5e-8, 2e-7)
 MOST_CLUSTERS = 15
+#: Queries that are compared with all vectors at a time, about.
+QUERY_BLOCK = 10_000
 
 
 def numbered(vecs: DataFrame) -> DataFrame:
@@ -44,8 +48,10 @@ def degrees(aff: DataFrame) -> DataFrame:
 def laplacian(aff: DataFrame) -> DataFrame:
     """rec, i, j, l: the entries off the diagonal of I - D^-1/2 A D^-1/2 (the diagonal is 1)."""
     d = degrees(aff)
-    out = aff.join(d.withColumnRenamed("degree", "di"), ["rec", "i"]).join(d.select("rec", F.col("i").alias("j"), F.col("degree").alias("dj")), ["rec", "j"])
-    return out.filter("w > 0").select("rec", "i", "j", (-F.col("w") / (F.sqrt("di") * F.sqrt("dj"))).alias("l"))
+    # The half with i < j meets the degrees, and is mirrored after.
+    half = aff.filter("i < j AND w > 0").join(d.withColumnRenamed("degree", "di"), ["rec", "i"]).join(d.select("rec", F.col("i").alias("j"), F.col("degree").alias("dj")), ["rec", "j"])
+    half = half.select("rec", "i", "j", (-F.col("w") / (F.sqrt("di") * F.sqrt("dj"))).alias("l"))
+    return half.select("rec", F.explode(F.array(F.struct("i", "j", "l"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "l"))).alias("x")).select("rec", "x.*")
 
 
 def eigengap(values: DataFrame, most: int = MOST_CLUSTERS) -> DataFrame:
@@ -83,11 +89,19 @@ def centroid_scores(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
-    """query, vec_id, rank, cosine: the k nearest of all vectors to each of a bounded set of queries; the set is sent to all tasks.
+    """query, vec_id, rank, cosine: the k nearest of all vectors to each query.
 
-    Each task keeps k rows a query before the shuffle, so k rows a task and query move, not all pairs.
+    The queries go to all tasks in blocks of QUERY_BLOCK, so what is broadcast is bounded however many there are. Of each
+    64th of the vectors a query keeps k before the last shuffle, so 64 k rows a query move, not all pairs.
     """
-    both = vecs.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))).filter("vec_id <> query")
+    asked = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    parts = [_nearest(asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), vecs, k) for b in range(blocks)] or [_nearest(asked, vecs, k)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(asked: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
+    both = vecs.crossJoin(F.broadcast(asked)).filter("vec_id <> query")
     scored = both.select("query", "vec_id", F.round(V.dot(F.col("q"), F.col("embedding")), 9).alias("cosine"))
     local = Window.partitionBy("query", "_part").orderBy(F.desc("cosine"), "vec_id")
     some = scored.withColumn("_part", F.pmod("vec_id", F.lit(64))).withColumn("_r", F.row_number().over(local)).filter(f"_r <= {k}")

@@ -95,10 +95,14 @@ def vec_normalize(spark, sf_dir):
     return u.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"), F.round(V.compensated_sum(F.col("u")), 6).alias("total"))
 
 
-@query(f"WITH {VEC_SQL} SELECT vec_id, round(sqrt(list_dot_product(list_transform(e, lambda x: 0.0::DOUBLE), e)), 6) AS zero, round(list_dot_product(e, e), 6) AS plain FROM v")
+@query(f"WITH {VEC_SQL} SELECT vec_id, round(list_sum(e), 6) AS total, round(list_dot_product(e, e), 6) AS product FROM v")
 def compensated_sums(spark, sf_dir):
-    e = F.col("embedding")
-    return vecs(spark, sf_dir).select("vec_id", F.round(V.compensated_dot(F.transform(e, lambda x: x * 0), e), 6).alias("zero"), F.round(V.compensated_dot(e, e), 6).alias("plain"))
+    """Between two terms of 1e17 that cancel, a plain sum loses all of a vector; a compensated one gives it whole."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    big = F.array(F.lit(1e17))
+    total = V.compensated_sum(F.concat(big, e, F.array(F.lit(-1e17))))
+    product = V.compensated_dot(F.concat(big, e, F.array(F.lit(-1e17))), F.concat(F.array(F.lit(1.0)), e, F.array(F.lit(1.0))))
+    return vecs(spark, sf_dir).select("vec_id", F.round(total, 6).alias("total"), F.round(product, 6).alias("product"))
 
 
 @query(f"WITH {PAIR_SQL} SELECT rec, i, j, round(list_dot_product(a, b), 6) AS cosine FROM pr")
@@ -178,9 +182,31 @@ def laplacian_entries(spark, sf_dir):
     return S.laplacian(S.affinities(vecs(spark, sf_dir))).select("rec", "i", "j", (F.round("l", 6) + 0).alias("l"))
 
 
-@query(f"WITH {_AFF}, o AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY round(degree, 9)) AS k, lead(round(degree, 9)) OVER (PARTITION BY rec ORDER BY round(degree, 9)) - round(degree, 9) AS gap FROM dg), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY gap DESC, k DESC) AS r FROM o WHERE gap IS NOT NULL AND k <= 15) SELECT rec, CAST(k AS INTEGER) AS k FROM r WHERE r = 1")
+#: Recordings of three vectors each: their Laplacian's eigenvalues are 1 less the roots of x^3 - p x - 2 q, with p the sum of
+#: the squared entries and q their product (0 or less).
+_TRIPLE_SQL = VEC_SQL + """, g AS (SELECT rec * 1000000 + i // 3 AS rec, i % 3 AS i, e FROM v), pr AS (SELECT a.rec, a.i, b.i AS j, greatest(0, list_dot_product(a.e, b.e)) AS w FROM g a JOIN g b ON a.rec = b.rec AND a.i < b.i),
+m AS (SELECT rec, max(w) FILTER (i = 0 AND j = 1) AS x, max(w) FILTER (i = 0 AND j = 2) AS y, max(w) FILTER (i = 1 AND j = 2) AS z FROM pr GROUP BY rec HAVING count(*) = 3),
+s AS (SELECT rec, x * x / ((x + y) * (x + z)) AS a, y * y / ((x + y) * (y + z)) AS b, z * z / ((x + z) * (y + z)) AS c FROM m WHERE x + y > 0 AND x + z > 0 AND y + z > 0),
+t AS (SELECT rec, a + b + c AS p, sqrt(a * b * c) AS q FROM s), u AS (SELECT rec, 2 * sqrt(p / 3) AS r, acos(greatest(-1, least(1, 3 * q / p * sqrt(3 / p)))) / 3 AS f FROM t),
+ev AS (SELECT rec, unnest(range(3)) AS n, 1 - r * cos(f - 2 * pi() * unnest(range(3)) / 3) AS value FROM u)"""
+
+
+def _triples(spark, sf_dir):
+    v = vecs(spark, sf_dir).select((F.col("rec") * 1000000 + F.expr("i div 3")).alias("rec"), (F.col("i") % 3).alias("i"), "embedding")
+    aff = S.affinities(v)
+    whole = S.degrees(aff).filter("degree > 0").groupBy("rec").agg(F.count(F.lit(1)).alias("n")).filter("n = 3").select("rec")
+    values = C.laplacian_eigenvalues(S.laplacian(aff).join(whole, "rec", "left_semi"))
+    return values.select("rec", F.round(F.round("value", 7) + 0, 7).alias("value"))
+
+
+@query(f"WITH {_TRIPLE_SQL} SELECT rec, round(sum(value * value), 5) AS squares, round(max(value), 5) + 0 AS largest FROM ev GROUP BY rec")
+def laplacian_spectrum(spark, sf_dir):
+    return _triples(spark, sf_dir).groupBy("rec").agg(F.round(F.sum(F.col("value") * F.col("value")), 5).alias("squares"), (F.round(F.max("value"), 5) + 0).alias("largest"))
+
+
+@query(f"WITH {_TRIPLE_SQL}, o AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY round(value, 7)) AS k, lead(round(value, 7)) OVER (PARTITION BY rec ORDER BY round(value, 7)) - round(value, 7) AS gap FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY round(gap, 6) DESC, k DESC) AS r FROM o WHERE gap IS NOT NULL) SELECT rec, CAST(k AS INTEGER) AS k FROM r WHERE r = 1")
 def eigengap_k(spark, sf_dir):
-    return S.eigengap(S.degrees(S.affinities(vecs(spark, sf_dir))).select("rec", F.round("degree", 9).alias("value")))
+    return S.eigengap(_triples(spark, sf_dir))
 
 
 def _linked(how: str, sql: str):
@@ -353,7 +379,7 @@ def spans(spark, sf_dir):
     return _spans(spark, sf_dir).select("rec", "cluster", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop"))
 
 
-@query(f"WITH {_GRID} SELECT rec, 'SPEAKER ' || rec || ' 1 ' || printf('%.3f', st) || ' ' || printf('%.3f', en - st) || ' <NA> <NA> SPEAKER_' || lpad(CAST(dense_rank() OVER (PARTITION BY rec ORDER BY CAST(cluster AS VARCHAR)) - 1 AS VARCHAR), 2, '0') || ' <NA> <NA>' AS line FROM s2")
+@query(f"WITH {_GRID} SELECT rec, 'SPEAKER ' || rec || ' 1 ' || printf('%.3f', st) || ' ' || printf('%.3f', en - st) || ' <NA> <NA> SPEAKER_' || printf('%02d', dense_rank() OVER (PARTITION BY rec ORDER BY CAST(cluster AS VARCHAR)) - 1) || ' <NA> <NA>' AS line FROM s2")
 def rttm_lines(spark, sf_dir):
     return O.rttm_lines(_spans(spark, sf_dir)).select("rec", "line")
 
@@ -363,7 +389,13 @@ def topk_smoothed(spark, sf_dir):
     return O.smoothed_top(_activation(spark, sf_dir), _counts(spark, sf_dir), 0.1)
 
 
-@query()
+_CELLS = "cl AS (SELECT rec, chunk, slot, cluster, soft FROM so)"
+
+
+@query(f"""WITH {SEG_SQL}, {_SOFT_GRID}, {_CELLS}, al AS (SELECT x.rec, x.chunk, x.cluster AS a, y.cluster AS b, z.cluster AS c, x.soft AS p, y.soft AS q, z.soft AS r
+  FROM cl x JOIN cl y USING (rec, chunk) JOIN cl z USING (rec, chunk) WHERE x.slot = 0 AND y.slot = 1 AND z.slot = 2 AND x.cluster <> y.cluster AND x.cluster <> z.cluster AND y.cluster <> z.cluster),
+bs AS (SELECT *, row_number() OVER (PARTITION BY rec, chunk ORDER BY 0.0 + p + q + r DESC, p DESC, q DESC, r DESC, a, b, c) AS n FROM al)
+SELECT rec, CAST(chunk AS INTEGER) AS chunk, CAST(unnest(range(3)) AS INTEGER) AS slot, CAST(unnest([a, b, c]) AS INTEGER) AS cluster FROM bs WHERE n = 1""")
 def lsap_assign(spark, sf_dir):
     return assign_slots(_soft(spark, sf_dir))
 
@@ -414,8 +446,8 @@ def fbank_frames(spark, sf_dir):
 def diarize_e2e(spark, sf_dir):
     s = seg(spark, sf_dir)
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    n = 500
-    pairs = s.select("rec", "chunk", "slot").distinct().withColumn("vec_id", ((F.col("rec") * 37 + F.col("chunk") * 3 + F.col("slot")) % n).cast("long"))
+    n = v.agg(F.max("vec_id") + 1).first()[0] or 1
+    pairs = s.select("rec", "chunk", "slot").distinct().withColumn("vec_id", F.pmod(F.col("rec") * 37 + F.col("chunk") * 3 + F.col("slot"), F.lit(n)).cast("long"))
     emb = pairs.join(v, "vec_id").select("rec", "chunk", "slot", "embedding")
     return D.diarize(s, emb, sizes(spark, sf_dir), SIZE, CHUNK_STEP, FSTEP, FDUR, _weights(), ONSET, GAP, None, threshold=1.05, rounds=3)
 
