@@ -308,31 +308,76 @@ def plain_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("flush", [2_000_000, 500])
-def test_repeats(spark, flush, monkeypatch):
-    rng = random.Random(5)
-    text = lambda n, k=40: " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(n))
+def texts_with_repeats(rng):
+    text = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(n))
     shared = [text(n) for n in (34, 35, 36, 60, 120)]
     texts = [f"{text(20)} {rng.choice(shared)} {text(15)}\n{rng.choice(shared)}" for _ in range(60)] + ["z " * 34, "z " * 35, "z " * 36, "z " * 90, *ODD]
-    texts += texts[:5]
+    return texts + texts[:5]
+
+
+def removed(df):
+    return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("flush, most", [(2_000_000, substrings.MAP_MOST), (500, substrings.MAP_MOST), (500, 0)])
+def test_repeats(spark, flush, most, monkeypatch):
+    """With a map of the repeated anchors, and with a join."""
+    texts = texts_with_repeats(random.Random(5))
     monkeypatch.setattr(substrings, "FLUSH", flush)
     d = docs(spark, texts)
     index = substrings.FingerprintIndex(spark)
     for k in range(2):
         index.append(d.filter(F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == k))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(d, index).collect()}
+    assert len(index.runs) == 1
+    got = removed(substrings.remove_repeats(d, index, map_most=most))
     assert [got[k] for k in range(len(texts))] == plain_removed(texts)
 
 
+def test_a_third_batch_is_judged_by_all_three(spark):
+    texts = texts_with_repeats(random.Random(8))
+    want = plain_removed(texts)
+    index = substrings.FingerprintIndex(spark, keep_texts=True)
+    d = docs(spark, texts).filter("doc_id IS NOT NULL").withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    part = F.substring("doc_id", 3, 9).cast("int") % 3
+    for k in (0, 1):
+        index.add_batch(d.filter(part == k))
+    # A new index on the same folder goes on where the first one was.
+    index = substrings.FingerprintIndex(spark, index.folder, keep_texts=True)
+    got = removed(index.add_batch(d.filter(part == 2)))
+    assert got == {f"id{k}": want[k] for k in range(2, len(texts), 3)}
+    assert len(index.runs) == 1 and len(index.texts) == 3
+
+
+def test_a_copy_of_history_goes(spark):
+    t = " ".join(f"w{k}" for k in range(80))
+    index = substrings.FingerprintIndex(spark, keep_texts=True)
+    assert removed(index.add_batch(docs(spark, [t])))[0][1] == 0
+    assert removed(index.add_batch(docs(spark, ["new words " + t])))[0][1:2] == (80,)
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, monkeypatch):
+    """Anchors go by hashes of words; the windows that they lead to are compared by their words."""
+    import xxhash
+
+    real = xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: real(w[:1]))
+    a, b = (substrings.Grams(" ".join(f"{c}{x}" for c in "abcdefghijklmnopqrstuvwxyzabcdefghijkl")) for x in "xy")
+    assert (a.anchors == b.anchors).all()
+    assert not set(zip(*map(np.ndarray.tolist, a.windows(np.arange(3))))) & set(zip(*map(np.ndarray.tolist, b.windows(np.arange(3)))))
+
+
 def test_index_remembers_and_compacts(spark):
     t = " ".join(f"w{k}" for k in range(80))
     a, b = docs(spark, [t]), docs(spark, [t + " tail", " ".join(f"v{k}" for k in range(80))])
-    index = substrings.FingerprintIndex(spark)
+    index = substrings.FingerprintIndex(spark, most_runs=2)
     assert index.append(a).count() == 0
-    assert index.append(b).count() > 0
-    before = sorted(map(tuple, index._read(index.runs[0]).unionByName(index._read(index.runs[1])).groupBy("key").agg(F.sum("n")).collect()))
+    met = index.append(b)
+    assert met.count() > 0 and len(index.runs) == 2
+    before = sorted(map(tuple, index._read(index.runs).groupBy("key").agg(F.sum("n")).collect()))
     index.compact()
-    assert len(index.runs) == 1 and sorted(map(tuple, index._read(index.runs[0]).collect())) == before
+    assert len(index.runs) == 1 and sorted(map(tuple, index._read(index.runs).collect())) == before
+    # What append gave can be read after the runs that it came from are gone.
+    assert met.count() > 0
 
 
 def test_language_of_held_out_rows(spark):

@@ -3,8 +3,9 @@
 A window of WINDOW words is known by its anchor: the least hash of the GRAM-word sequences inside it. Equal windows have
 equal anchors, so a window whose anchor occurs once in all is unique. The index keeps anchors and their counts in sorted
 immutable runs, one for each batch of documents; a new run is merge-joined with the older ones, and runs are compacted into
-one. Windows whose anchors repeat are then verified: their full hashes (96 bits) are merged, and those of a hash that starts
-in two places are the repeated ones.
+one. Windows whose anchors repeat are then verified: 96 bits of a hash of their words, as they stand, are merged, and those
+that start in two places are the repeated ones. Histories of texts can be kept too, so that a batch is deduplicated against
+all batches before it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, drop_folder, new_folder, written
+from .common import bounded_batches, documents, drop_folder, forget, join_hot, new_folder, written
 
 WINDOW, GRAM = 35, 12
-#: Bits of the map of repeated anchors that every task holds (16 MB). A fuller map makes more windows candidates and loses none.
-MAP_BITS = 27
+#: Repeated anchors that are sent to all tasks as a map of MAP_SHARE bits each (16 MB at most); more of them are joined to their texts by a shuffle.
+MAP_MOST, MAP_SHARE = 1 << 23, 16
 #: Hashes that a task holds before it sums them up and sends them on.
 FLUSH = 700_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,9 +82,15 @@ class Grams:
         return self.grams[self.grams == sliding(np.concatenate([pad, self.anchors, pad]), self.span, np.maximum)]
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows that start at these places: 64 and 32 bits."""
-        other = mixed(self.hashes + ODD)
-        return rolling(self.hashes, self.window)[at], (rolling(other, self.window)[at] >> np.uint64(32)).astype(np.uint32)
+        """64 and 32 bits of a hash of the words, joined by spaces, of the windows that start at these places."""
+        import xxhash
+
+        joined = b" ".join(self.words)
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+        begins = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+        h = xxhash.xxh3_128_digest
+        found = np.frombuffer(b"".join([h(joined[i:j]) for i, j in zip(begins[at].tolist(), ends[at + self.window - 1].tolist(), strict=True)]), ">u8").reshape(-1, 2)
+        return found[:, 0].astype(np.uint64), (found[:, 1] >> np.uint64(32)).astype(np.uint32)
 
 
 def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -113,17 +120,29 @@ def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of anchors (key, n) in a shared folder."""
+    """Sorted immutable runs of anchors (key, n) in a shared folder, and the texts of the batches if keep_texts.
+
+    An index opened on the folder of another one has its runs and texts. If a compaction was cut short, both the old runs
+    and the new one may be there: then more windows are verified than need be, and the results are the same.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, gram: int = GRAM, runs: tuple[str, ...] = ()):
-        self.spark, self.window, self.gram = spark, window, gram
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, gram: int = GRAM, keep_texts: bool = False, most_runs: int = 1):
+        self.spark, self.window, self.gram, self.keep_texts, self.most_runs = spark, window, gram, keep_texts, most_runs
         self.folder = folder or new_folder(spark, "index")
-        self.runs = list(runs)
-        self._made = 0
-        self.candidates = 0
+        names = self._names()
+        self.runs = [f"{self.folder}/{n}" for n in names if n.startswith("run-")]
+        self.texts = [f"{self.folder}/{n}" for n in names if n.startswith("texts-")]
+        self._made = max([int(n.split("-")[1]) for n in names], default=0)
+
+    def _names(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        # Only what was written to its end counts.
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))) if fs.exists(at) else []
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("key long, n long").parquet(path)
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("key long, n long").parquet(*paths)
 
     def _write(self, rows: DataFrame) -> str:
         self._made += 1
@@ -132,52 +151,73 @@ class FingerprintIndex:
         return path
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch as a run of its own, and returns its anchors that an older run has (key): what may repeat history."""
+        """Adds a batch: its anchors as a run of their own, merge-joined with the older runs, which are compacted if there are too many.
+
+        Returns the anchors of the batch that repeat (key, n): in the batch itself, or as an older run has them. Null, empty
+        and short texts have none; repeated rows repeat; an empty batch gives an empty run. With keep_texts the texts are
+        kept as well.
+        """
         new = self._write(anchor_counts(docs, self.window, self.gram))
-        old = [self._read(p).select("key") for p in self.runs]
+        mine = self._read([new])
+        if self.runs:
+            old = self._read(self.runs).groupBy("key").agg(F.sum("n").alias("_n")) if len(self.runs) > 1 else self._read(self.runs).withColumnRenamed("n", "_n")
+            met = mine.hint("merge").join(old, "key", "left").select("key", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        else:
+            met = mine
+        repeats = written(met.filter("n > 1"), "repeats")
+        if self.keep_texts:
+            self._made += 1
+            path = f"{self.folder}/texts-{self._made}"
+            docs.select("text").write.option("compression", "zstd").parquet(path)
+            self.texts.append(path)
         self.runs.append(new)
-        seen = self._read(new).select("key")
-        if not old:
-            return seen.limit(0)
-        history = old[0]
-        for r in old[1:]:
-            history = history.unionByName(r)
-        return seen.hint("merge").join(history.distinct(), "key", "left_semi")
+        if len(self.runs) > self.most_runs:
+            self.compact()
+        return repeats
 
     def compact(self) -> None:
         """Merges all runs into one."""
         if len(self.runs) > 1:
-            every = self._read(self.runs[0])
-            for p in self.runs[1:]:
-                every = every.unionByName(self._read(p))
-            merged = self._write(every.groupBy("key").agg(F.sum("n").alias("n")))
+            merged = self._write(self._read(self.runs).groupBy("key").agg(F.sum("n").alias("n")))
             for p in self.runs:
                 drop_folder(self.spark, p)
             self.runs = [merged]
 
-    def repeated_map(self, bits: int = MAP_BITS) -> np.ndarray:
-        """A bit for the high bits of each anchor that occurs twice or more: 2 ** bits bits, whatever the input's size."""
-        every = self._read(self.runs[0])
-        for p in self.runs[1:]:
-            every = every.unionByName(self._read(p))
-        keys = written(every.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated")
-        place = F.shiftrightunsigned("key", 64 - bits)
-        words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS int)))").alias("v")).toPandas()
-        self.candidates = (keys.agg(F.sum("n")).first()[0] or 0) * (self.window - self.gram + 1)
-        out = np.zeros(1 << (bits - 6), np.int64)
-        out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-        return out.view(np.uint64)
+    def repeated(self) -> DataFrame:
+        """The anchors that occur twice or more in all batches (key, n), written."""
+        every = self._read(self.runs) if self.runs else self.spark.createDataFrame([], "key long, n long")
+        return written(every.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1") if len(self.runs) > 1 else every.filter("n > 1"), "repeated")
+
+    def add_batch(self, docs: DataFrame) -> DataFrame:
+        """Appends a batch and gives the rows of remove_repeats for it, judged against itself and all batches before it.
+
+        Needs keep_texts. A batch's rows are those that one pass over all batches up to it would give.
+        """
+        if not self.keep_texts:
+            raise ValueError("the index keeps no texts")
+        history = list(self.texts)
+        repeats = self.append(docs)
+        return remove_repeats(docs, self, repeats, self.spark.read.schema("text string").parquet(*history) if history else None)
+
+
+def repeated_map(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the high bits of each key: 2 ** bits bits."""
+    place = F.shiftrightunsigned("key", 64 - bits)
+    words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS int)))").alias("v")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
 #: Candidate windows of a bucket of hashes, about; a task holds one bucket at a time.
 BUCKET = 1_000_000
 #: kind 0: packed candidate windows of a bucket; 1: windows a to b of a row repeat; 2: a text with candidates, compressed; 3: a text without.
-CANDIDATES = "kind int, bucket int, windows binary, row long, a int, b int, doc_id long, text binary, n_words long, sha string"
+CANDIDATES = "kind int, bucket int, windows binary, row long, a int, b int, doc_id string, text binary, n_words long, sha string"
 _NAMES = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
 
 
 def _batch(kind: int, n: int, **columns) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "bucket": pa.int32(), "windows": pa.binary(), "row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "doc_id": pa.int64(), "text": pa.binary(), "n_words": pa.int64(), "sha": pa.string()}
+    types = {"kind": pa.int32(), "bucket": pa.int32(), "windows": pa.binary(), "row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "doc_id": pa.string(), "text": pa.binary(), "n_words": pa.int64(), "sha": pa.string()}
     made = {"kind": pa.array(np.full(n, kind, np.int32))} | {k: pa.array(v, types[k]) for k, v in columns.items()}
     return pa.RecordBatch.from_arrays([made[k] if k in made else pa.nulls(n, types[k]) for k in _NAMES], names=_NAMES)
 
@@ -219,12 +259,38 @@ def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(out[0], dtype=np.uint64), out[1], rows[out[2]], out[3].astype(np.int64)
 
 
-def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The table CANDIDATES of docs (row, doc_id, text), written: what repeats within a task is settled there and goes on as one window a hash."""
+def _with_keys(rows: DataFrame, keys: DataFrame, window: int, gram: int) -> DataFrame:
+    """rows (row, doc_id, text) with keys: the repeated anchors of each, by a shuffle; rows that have none have null."""
+    bounded_batches(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            row, key = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for r, text in zip(batch.column("_place").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                g = Grams(text, window, gram)
+                if len(g.anchors):
+                    key.append(np.unique(g.chosen()).view(np.int64))
+                    row.append(np.full(len(key[-1]), r))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(row)), pa.array(np.concatenate(key))], names=["_place", "key"])
+
+    placed = written(rows.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    met = join_hot(placed.select("_place", "text").mapInArrow(run, "_place long, key long"), keys, "key", "n", total)
+    return placed.join(met.groupBy("_place").agg(F.collect_list("key").alias("keys")), "_place", "left").drop("_place")
+
+
+def repeated_windows(docs: DataFrame, keys: DataFrame, window: int, gram: int, map_most: int = MAP_MOST) -> DataFrame:
+    """The table CANDIDATES of docs (row, doc_id, text), written: what repeats within a task is settled there and goes on as one window a hash.
+
+    keys (key, n) are the anchors whose windows are verified. Rows below 0 only bear witness: they get no result.
+    """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(index.repeated_map())
-    window, gram, bits = index.window, index.gram, MAP_BITS
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.candidates // BUCKET))
+    n_keys, places = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    mapped = n_keys <= map_most
+    bits = max(12, (MAP_SHARE * n_keys).bit_length())
+    sent = spark.sparkContext.broadcast(repeated_map(keys, bits)) if mapped else None
+    docs = docs.select("row", "doc_id", "text") if mapped else _with_keys(docs.select("row", "doc_id", "text"), keys, window, gram)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places * (window - gram + 1) // BUCKET))
     bounded_batches(spark)
 
     def run(batches):
@@ -244,7 +310,7 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
             first = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
             starts = np.flatnonzero(first)
             n = np.diff(np.append(starts, len(key)))
-            many = np.repeat(n > 1, n)
+            many = np.repeat(n > 1, n) & (row >= 0)
             r, a, b = _spans(row[many], at[many])
             yield _batch(1, len(r), row=r, a=a, b=b)
             # A hash seen twice here goes on once, without a place, for the tasks that saw it once.
@@ -256,16 +322,21 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
 
         for batch in batches:
             some, none = [], []
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            told = [None] * batch.num_rows if mapped else batch.column("keys").to_pylist()
+            for row, doc_id, text, own in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), told, strict=True):
                 g = Grams(text, window, gram)
                 at = np.empty(0, np.int64)
-                if len(g.anchors):
+                if len(g.anchors) and mapped:
                     spot = g.anchors >> np.uint64(64 - bits)
                     at = np.flatnonzero(sent.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
+                elif own:
+                    at = np.flatnonzero(np.isin(g.anchors, np.array(own, np.int64).view(np.uint64)))
                 if not len(at):
-                    none.append((row, doc_id, len(g.words), _digest(g.words)))
+                    if row >= 0:
+                        none.append((row, doc_id, len(g.words), _digest(g.words)))
                     continue
-                some.append((row, doc_id, pack.compress(text.encode())))
+                if row >= 0:
+                    some.append((row, doc_id, pack.compress(text.encode())))
                 key, check = g.windows(at)
                 keys.append(key)
                 checks.append(check)
@@ -283,7 +354,7 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
                 yield _batch(2, len(some), row=row, doc_id=doc_id, text=text)
         yield from flush()
 
-    return written(docs.select("row", "doc_id", "text").mapInArrow(run, CANDIDATES), "windows")
+    return written(docs.mapInArrow(run, CANDIDATES), "windows")
 
 
 def settled(candidates: DataFrame) -> DataFrame:
@@ -295,7 +366,7 @@ def settled(candidates: DataFrame) -> DataFrame:
         order = np.lexsort((check, key))
         key, check, row, at = key[order], check[order], row[order], at[order]
         same = np.concatenate([[False], (key[1:] == key[:-1]) & (check[1:] == check[:-1]), [False]])
-        # A row without a place stands for two or more, whose places are settled.
+        # A row below 0 is a witness, or stands for two or more whose places are settled.
         keep = (same[1:] | same[:-1]) & (row >= 0)
         r, a, b = _spans(row[keep], at[keep])
         return pa.RecordBatch.from_arrays([pa.array(r), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["row", "a", "b"])
@@ -315,15 +386,19 @@ def settled(candidates: DataFrame) -> DataFrame:
     return by_bucket.mapInArrow(run, "row long, a int, b int")
 
 
-def remove_repeats(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: FingerprintIndex, keys: DataFrame | None = None, history: DataFrame | None = None, map_most: int = MAP_MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each row of docs: without the words covered by a window that also starts elsewhere.
 
-    kept_text is null where nothing was removed. index must hold docs (and may hold more: then only windows inside docs
-    count as elsewhere, as history keeps no texts). Null, empty and short texts have no window; repeated rows cover each
-    other; an empty table gives an empty result; other columns are ignored.
+    Elsewhere is in docs, or in the texts of history (text). kept_text is null where nothing was removed. index must hold
+    docs and history; keys (its repeated anchors, if not given) are those that are looked at. Ids may be of any type that a
+    string can be cast back to, and be null or repeated. Null, empty and short texts have no window; repeated rows cover each
+    other; a text may be of any length; an empty table gives an empty result; other columns are ignored.
     """
-    window = index.window
-    every = written_once(docs, index)
+    window, id_type = index.window, docs.schema["doc_id"].dataType
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    if history is not None:
+        rows = rows.unionByName(history.select(F.lit(-2).cast("long").alias("row"), F.lit(None).cast("string").alias("doc_id"), "text"))
+    every = repeated_windows(rows, index.repeated() if keys is None else keys, window, index.gram, map_most)
     spans = every.filter("kind = 1").select("row", "a", "b").unionByName(settled(every)).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     texts = every.filter("kind = 2").select("row", "doc_id", "text").join(spans, "row", "left")
 
@@ -345,20 +420,16 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
             n, removed, sha, kept = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    done = texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    done = texts.mapInArrow(run, "doc_id string, n_words long, n_removed long, kept_sha256 string, kept_text string")
     whole = every.filter("kind = 3").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return whole.unionByName(done)
-
-
-def written_once(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    return repeated_windows(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), index)
+    return whole.unionByName(done).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def op2_substrings(spark, sf_dir: str, batches: int = 2) -> DataFrame:
     docs = documents(spark, sf_dir)
     index = FingerprintIndex(spark)
     for k in range(batches):
-        index.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        forget(index.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)))
     return remove_repeats(docs, index).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
