@@ -117,24 +117,24 @@ def _leaks(numbered: DataFrame, benchmark: DataFrame, window: int, broadcast_win
     parts = []
     # One length, unless the benchmark has items shorter than a window; at most `window` lengths.
     for n in sorted(r["n"] for r in items.select("n").distinct().collect()) or [window]:
-        # Outer, so that no filter on the array's size is inferred and pushed below the columns that it is made of. Only ids,
-        # places and hashes are repeated for each window: a text's tokens would grow with the square of its length. A window
-        # that many texts share is a hot key of the shuffle join, which adaptive execution splits.
-        each = rows.select("_row", "doc_id", _windows(n).alias("_windows")).select("_row", "doc_id", F.posexplode_outer("_windows").alias("doc_at", "hash"))
+        # Outer, so that no filter on the array's size is inferred and pushed below the columns that it is made of.
+        each = rows.select("_row", "doc_id", "_tokens", _windows(n).alias("_windows")).select("_row", "doc_id", "_tokens", F.posexplode_outer("_windows").alias("doc_at", "hash"))
         of = items.filter(F.col("n") == n)
-        met = each.join(F.broadcast(of) if few else of, "hash")
-        parts.append(met.select("_row", "doc_id", "item_id", "item_windows", "n", "at", "doc_at", "item_slots"))
+        columns = ["_row", "doc_id", "item_id", "item_windows", "n", "at", "doc_at", "item_slots"]
+        if few:
+            # Windows meet the broadcast items where they are made, and only the slots of those that match leave the task.
+            met = each.join(F.broadcast(of), "hash").select(*columns, _slots(F.col("doc_at"), F.col("n")).alias("doc_slots"))
+        else:
+            # Only ids, places and hashes are shuffled: a text's tokens with each window would grow with the square of its
+            # length. A window that many texts share is a hot key of the join, which adaptive execution splits.
+            met = each.drop("_tokens").join(of, "hash").select(*columns)
+        parts.append(met)
     met = written(reduce(DataFrame.unionByName, parts), "leaks")
-    line = ["_row", "item_id", "offset"]
+    if not few:
+        met = written(_with_slots(met, numbered), "slots")
     met = met.withColumn("offset", F.col("doc_at") - F.col("at"))
-    if met.filter(F.size("item_slots") > 0).isEmpty():
-        pairs = met.limit(0).select(*line, "at", F.lit("").alias("v"), F.lit("").alias("u"))
-    else:
-        # Slot values come from the texts that met an item in a window with slots: each of these texts is joined once.
-        asked = met.filter(F.size("item_slots") > 0).groupBy("_row").agg(F.collect_set(F.struct("item_id", "at", "doc_at", "n", "item_slots")).alias("_asked"))
-        told = F.transform("_asked", lambda x: F.struct(x["item_id"].alias("item_id"), (x["doc_at"] - x["at"]).alias("offset"), x["at"].alias("at"), F.arrays_zip(x["item_slots"].alias("v"), _slots(x["doc_at"], x["n"]).alias("u")).alias("p")))
-        pairs = rows.select("_row", "_tokens").join(asked, "_row").select("_row", told.alias("_told")).select("_row", F.explode_outer("_told").alias("x"))
-        pairs = written(pairs.select("_row", "x.item_id", "x.offset", "x.at", F.explode("x.p").alias("p")).select(*line, "at", "p.v", "p.u"), "slots")
+    line = ["_row", "item_id", "offset"]
+    pairs = met.select(*line, "at", F.explode(F.arrays_zip(F.col("item_slots").alias("v"), F.col("doc_slots").alias("u"))).alias("p")).select(*line, "at", "p.v", "p.u")
     values = pairs.select(*line, "v", "u").distinct()
     one_way = values.groupBy(*line, "v").agg(F.count(F.lit(1)).alias("_to"))
     other_way = values.groupBy(*line, "u").agg(F.count(F.lit(1)).alias("_from"))
@@ -153,6 +153,14 @@ def _leaks(numbered: DataFrame, benchmark: DataFrame, window: int, broadcast_win
     return out.withColumn("kind", F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised"))
 
 
+def _with_slots(met: DataFrame, numbered: DataFrame) -> DataFrame:
+    """met with doc_slots, from the texts of the rows that met an item: each text is joined once."""
+    asked = met.groupBy("_row").agg(F.collect_list(F.struct(*(c for c in met.columns if c != "_row"))).alias("_asked"))
+    of = _templates(numbered.select("_row", "text").join(asked, "_row"), "_row", "_asked")
+    told = F.transform("_asked", lambda x: F.struct(x.alias("x"), _slots(x["doc_at"], x["n"]).alias("doc_slots")))
+    return of.select("_row", told.alias("_told")).select("_row", F.explode_outer("_told").alias("t")).select("_row", "t.x.*", "t.doc_slots")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no item of the benchmark leaks.
 

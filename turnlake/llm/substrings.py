@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, documents, drop_folder, forget, join_hot, new_folder, written
 
 WINDOW, GRAM = 35, 12
-#: Repeated anchors that are sent to all tasks as a map of MAP_SHARE bits each (16 MB at most); more of them are joined to their texts by a shuffle.
-MAP_MOST, MAP_SHARE = 1 << 23, 16
+#: Repeated anchors that are sent to all tasks as a map of MAP_SHARE bits each (64 MB at most); more of them are joined to their texts by a shuffle.
+MAP_MOST, MAP_SHARE, MAP_SHIFT = 1 << 23, 32, 24
 #: Hashes that a task holds before it sums them up and sends them on.
 FLUSH = 700_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -200,10 +200,17 @@ class FingerprintIndex:
         return remove_repeats(docs, self, repeats, self.spark.read.schema("text string").parquet(*history) if history else None)
 
 
+def map_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a map of 2 ** bits bits that belong to each key. (Anchors are least hashes, so their high bits are much alike.)"""
+    low = np.uint64((1 << bits) - 1)
+    return keys & low, (keys >> np.uint64(MAP_SHIFT)) & low
+
+
 def repeated_map(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the high bits of each key: 2 ** bits bits."""
-    place = F.shiftrightunsigned("key", 64 - bits)
-    words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS int)))").alias("v")).toPandas()
+    """2 ** bits bits, of which each key sets two."""
+    low = F.lit((1 << bits) - 1)
+    place = F.explode(F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", MAP_SHIFT).bitwiseAND(low)))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS int)))").alias("v")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
     return out.view(np.uint64)
@@ -327,8 +334,8 @@ def repeated_windows(docs: DataFrame, keys: DataFrame, window: int, gram: int, m
                 g = Grams(text, window, gram)
                 at = np.empty(0, np.int64)
                 if len(g.anchors) and mapped:
-                    spot = g.anchors >> np.uint64(64 - bits)
-                    at = np.flatnonzero(sent.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
+                    one, two = (sent.value[p >> np.uint64(6)] >> (p & np.uint64(63)) for p in map_places(g.anchors, bits))
+                    at = np.flatnonzero(one & two & np.uint64(1))
                 elif own:
                     at = np.flatnonzero(np.isin(g.anchors, np.array(own, np.int64).view(np.uint64)))
                 if not len(at):
