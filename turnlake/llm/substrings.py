@@ -23,7 +23,9 @@ WINDOW, GRAM = 35, 12
 #: Repeated anchors that are sent to all tasks as a map of MAP_SHARE bits each (64 MB at most); more of them are joined to their texts by a shuffle.
 MAP_MOST, MAP_SHARE, MAP_SHIFT = 1 << 23, 32, 24
 #: Hashes that a task holds before it sums them up and sends them on.
-FLUSH = 700_000
+FLUSH = 350_000
+#: Windows of one text that are hashed at a time.
+HASHED_AT_ONCE = 50_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -89,8 +91,12 @@ class Grams:
         ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
         begins = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
         h = xxhash.xxh3_128_digest
-        found = np.frombuffer(b"".join([h(joined[i:j]) for i, j in zip(begins[at].tolist(), ends[at + self.window - 1].tolist(), strict=True)]), ">u8").reshape(-1, 2)
-        return found[:, 0].astype(np.uint64), (found[:, 1] >> np.uint64(32)).astype(np.uint32)
+        key, check = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
+        for k in range(0, len(at), HASHED_AT_ONCE):
+            some = slice(k, k + HASHED_AT_ONCE)
+            found = np.frombuffer(b"".join([h(joined[i:j]) for i, j in zip(begins[at[some]].tolist(), ends[at[some] + self.window - 1].tolist(), strict=True)]), ">u8").reshape(-1, 2)
+            key[some], check[some] = found[:, 0], found[:, 1] >> np.uint64(32)
+        return key, check
 
 
 def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -217,7 +223,7 @@ def repeated_map(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 #: Candidate windows of a bucket of hashes, about; a task holds one bucket at a time.
-BUCKET = 1_000_000
+BUCKET = 500_000
 #: kind 0: packed candidate windows of a bucket; 1: windows a to b of a row repeat; 2: a text with candidates, compressed; 3: a text without.
 CANDIDATES = "kind int, bucket int, windows binary, row long, a int, b int, doc_id string, text binary, n_words long, sha string"
 _NAMES = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
