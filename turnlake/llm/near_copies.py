@@ -36,6 +36,8 @@ LINK_BANDS = 4
 LEAST_SET = 4
 #: Members of a list that one task holds at a time; the members of a longer one are dealt into blocks of pairs of parts.
 BLOCK = 2000
+#: The marks of so many pairs are broadcast at most (16 bytes each); those of more pairs are joined to the texts by a shuffle.
+BROADCAST_PAIRS = 1_000_000
 #: Pairs that are sent on at a time.
 PAIRS_AT_ONCE = 20_000
 #: Texts, and positions, that are multiplied at a time.
@@ -117,8 +119,16 @@ def retained(x: np.ndarray, y: np.ndarray, least_percent: int) -> np.ndarray:
     return ok & ((x["tally"] == y["tally"]).sum(axis=-1) >= LEAST_SHARED)
 
 
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Marks, parts and shared bytes of pairs of members, the lesser part first."""
+    out = np.stack([x["mark"], y["mark"], x["part"], y["part"], (x["tally"] == y["tally"]).sum(axis=-1)], axis=1)
+    swap = out[:, 2] > out[:, 3]
+    out[swap] = out[swap][:, [1, 0, 3, 2, 4]]
+    return out
+
+
 def pairs_of(m: np.ndarray, least_percent: int) -> list[np.ndarray]:
-    """Retained pairs of marks of one list; where members have chunks of two numbers, only pairs of both."""
+    """Retained pairs of one list; where members have chunks of two numbers, only pairs of both."""
     found, crossed = [], len(m) > 0 and m["chunk"].min() != m["chunk"].max()
     for k in range(len(m) - 1):
         rest = m[k + 1 :]
@@ -126,13 +136,21 @@ def pairs_of(m: np.ndarray, least_percent: int) -> list[np.ndarray]:
         if crossed:
             ok &= rest["chunk"] != m["chunk"][k]
         if ok.any():
-            found.append(np.stack([np.full(int(ok.sum()), m["mark"][k]), rest["mark"][ok]], axis=1))
+            found.append(_pairs(np.repeat(m[k : k + 1], int(ok.sum())), rest[ok]))
     return found
 
 
+PAIR = "a long, b long, pa long, pb long, shared long"
+
+
 def _pair_batch(pairs: list[np.ndarray]) -> dict:
-    p = np.concatenate([np.empty((0, 2), np.int64), *pairs])
-    return {"a": p.min(axis=1, initial=1 << 62), "b": p.max(axis=1, initial=-1)} if len(p) else {"a": p[:, 0], "b": p[:, 0]}
+    return dict(zip(("a", "b", "pa", "pb", "shared"), np.concatenate([np.empty((0, 5), np.int64), *pairs]).T, strict=True))
+
+
+def _pair_rows(pairs: list[np.ndarray]):
+    got = _pair_batch(pairs)
+    for at in range(0, max(1, len(got["a"])), PAIRS_AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[at : at + PAIRS_AT_ONCE])) for v in got.values()], names=list(got))
 
 
 def neighbour_pairs(reps: DataFrame, least_percent: int) -> DataFrame:
@@ -148,15 +166,14 @@ def neighbour_pairs(reps: DataFrame, least_percent: int) -> DataFrame:
             if not len(m):
                 continue
             ok = (key[1:] == key[:-1]) & retained(m[1:], m[:-1], least_percent)
-            got = _pair_batch([np.stack([m["mark"][1:][ok], m["mark"][:-1][ok]], axis=1)])
-            yield pa.RecordBatch.from_arrays([pa.array(got["a"]), pa.array(got["b"])], names=["a", "b"])
+            yield from _pair_rows([_pairs(m[1:][ok], m[:-1][ok])])
             last_key, last = key[-1:], m[-1:]
 
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartitionByRange(n, "key", "_order").sortWithinPartitions("key", "_order").drop("_order").mapInArrow(run, "a long, b long").distinct()
+    return listed.repartitionByRange(n, "key", "_order").sortWithinPartitions("key", "_order").drop("_order").mapInArrow(run, PAIR).select("a", "b").distinct()
 
 
-OUT = "kind int, key long, a long, b long, " + MEMBERS
+OUT = "kind int, key long, " + PAIR + ", " + MEMBERS
 _TYPES = {"kind": pa.int32(), "tally": pa.binary()}
 _OUT = [x.split(" ")[0] for x in OUT.split(", ")]
 
@@ -167,7 +184,7 @@ def _out(kind: int, n: int, **columns) -> pa.RecordBatch:
 
 
 def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFrame:
-    """a, b: retained pairs of different parts that meet in any list; reps has mark, part, alone, size, tally and lists.
+    """a, b, their parts pa < pb, and the shared bytes of retained pairs of different parts that meet in any list; reps has mark, part, alone, size, tally and lists.
 
     Members that are alone in their part come with all their lists; of the others each list gets one row a part. Where such
     a part meets another one, or a list is longer than a block, the list is opened: all its members are dealt into blocks
@@ -194,7 +211,7 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
             two = starts[sizes == 2]
             some = (m["mark"][two] >= 0) & (m["mark"][two + 1] >= 0)
             pairs = two[some][retained(m[two[some]], m[two[some] + 1], least_percent)]
-            found = [np.stack([m["mark"][pairs], m["mark"][pairs + 1]], axis=1)]
+            found = [_pairs(m[pairs], m[pairs + 1])]
             rest = [(s, 2) for s in two[~some].tolist()] + list(zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True))
             for s, n in rest:
                 x = m[s : s + n]
@@ -205,11 +222,12 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
                     found += pairs_of(x, least_percent)
             got = _pair_batch(found)
             for at in range(0, len(got["a"]), PAIRS_AT_ONCE):
-                a, b = (got[c][at : at + PAIRS_AT_ONCE] for c in "ab")
-                yield _out(0, len(a), a=a, b=b)
+                some = {c: np.ascontiguousarray(v[at : at + PAIRS_AT_ONCE]) for c, v in got.items()}
+                yield _out(0, len(some["a"]), **some)
 
     met = written(every.repartition("key").sortWithinPartitions("key").mapInArrow(run, OUT), "lists")
-    near = met.filter("kind = 0").select("a", "b")
+    columns = ["a", "b", "pa", "pb", "shared"]
+    near = met.filter("kind = 0").select(columns)
     opens = met.filter("kind = 2").select("key").distinct()
     if opens.isEmpty():
         return near.distinct()
@@ -225,10 +243,9 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
             for s, e in zip(ends, ends[1:], strict=False):
                 x = m[s:e]
                 # The block of a part with itself has that part alone.
-                got = _pair_batch(pairs_of(x, least_percent))
-                yield pa.RecordBatch.from_arrays([pa.array(got["a"]), pa.array(got["b"])], names=["a", "b"])
+                yield from _pair_rows(pairs_of(x, least_percent))
 
-    more = each.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(blocks, "a long, b long")
+    more = each.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(blocks, PAIR)
     return near.unionByName(more).distinct()
 
 
@@ -242,6 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: in
             yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(made, pa.binary())], names=["mark", "hashes"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    asked = F.broadcast(asked) if pairs.count() <= BROADCAST_PAIRS else asked
     of = written(texts.select("mark", "text").join(asked, "mark", "left_semi").mapInArrow(sets, "mark long, hashes binary"), "sets")
 
     def check(batches):
@@ -266,9 +284,20 @@ def similar_parts(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE, lea
     parts = components(near)
     placed = reps.join(parts, reps["mark"] == parts["node"], "left")
     placed = placed.select("mark", F.coalesce("component", "mark").alias("part"), F.isnull("component").alias("alone"), "size", "tally", "lists")
-    far = verified(far_pairs(placed, least_percent), texts, shingle, least_percent)
-    out = components(near.unionByName(far))
-    forget(near, far)
+    far = written(far_pairs(placed, least_percent), "far")
+    # One link joins two parts, so of each two parts the pair that shares most is verified first, and the others only if
+    # the parts are still apart after that.
+    first = far.groupBy("pa", "pb").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("x")).select("x.*")
+    links = verified(first, texts, shingle, least_percent)
+    now = components(near.unionByName(links))
+    apart = far.select("pa", "pb").distinct()
+    for side in ("pa", "pb"):
+        apart = apart.join(now.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+    apart = written(apart.filter("coalesce(_pa, pa) <> coalesce(_pb, pb)").select("pa", "pb"), "apart")
+    rest = far.join(apart, ["pa", "pb"], "left_semi").join(first, ["a", "b"], "left_anti").select("a", "b")
+    more = verified(rest, texts, shingle, least_percent) if not apart.isEmpty() else links
+    out = components(near.unionByName(links).unionByName(more)) if more is not links else now
+    forget(near, far, links, apart, *([more] if more is not links else []))
     return out
 
 
@@ -288,6 +317,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST
     sames = written(made.groupBy("same").agg(F.min("mark").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("best")), "sets")
     parts = similar_parts(made.join(sames, made["mark"] == sames["first"], "left_semi").drop("id", "same"), texts, shingle, least_percent)
     placed = sames.join(parts, sames["first"] == parts["node"], "left").groupBy(F.coalesce("component", "first").alias("part"))
-    kept = placed.agg(F.min("best")["mark"].alias("mark"))
+    kept = written(placed.agg(F.min("best")["mark"].alias("mark")), "kept")
     forget(made)
     return rows.join(kept, "mark", "left_semi").select("doc.*")
