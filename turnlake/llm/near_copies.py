@@ -38,6 +38,8 @@ LEAST_SET = 4
 BLOCK = 2000
 #: The marks of so many pairs are broadcast at most (16 bytes each); those of more pairs are joined to the texts by a shuffle.
 BROADCAST_PAIRS = 1_000_000
+#: The marks of so many dropped rows are broadcast at most (8 bytes each); beyond, the rows are joined to the kept marks by a shuffle.
+BROADCAST_MARKS = 2_000_000
 #: Pairs that are sent on at a time.
 PAIRS_AT_ONCE = 20_000
 #: Texts, and positions, that are multiplied at a time.
@@ -92,11 +94,11 @@ def prints(rows: DataFrame, shingle: int) -> DataFrame:
             made = positional_bytes(np.array(sums, np.float32).reshape(-1, SUMS))
             listed = np.array(sizes, np.int64) >= LEAST_SET
             ends = np.concatenate([[0], np.cumsum(listed * BANDS)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(list_keys(made[listed]).ravel().astype(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(list_keys(made[listed]).ravel()))
             tally = [t.tobytes() for t in made[:, BANDS * ROWS :]]
             yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tally, pa.binary()), lists], names=["mark", "id", "same", "size", "tally", "lists"])
 
-    return rows.select("mark", "id", "text").mapInArrow(run, f"mark long, id {dict(rows.dtypes)['id']}, same binary, size long, tally binary, lists array<long>")
+    return rows.select("mark", "id", "text").mapInArrow(run, f"mark long, id {dict(rows.dtypes)['id']}, same binary, size long, tally binary, lists array<int>")
 
 
 MEMBER = np.dtype([("mark", "<i8"), ("part", "<i8"), ("size", "<i8"), ("chunk", "<i8"), ("tally", "u1", TALLY)])
@@ -155,7 +157,7 @@ def _pair_rows(pairs: list[np.ndarray]):
 
 def neighbour_pairs(reps: DataFrame, least_percent: int) -> DataFrame:
     """a, b: members that stand side by side in one of the first lists, sorted by a hash; a long list is split over tasks."""
-    listed = reps.select(F.explode(F.slice("lists", 1, LINK_BANDS)).alias("key"), "mark", F.col("mark").alias("part"), "size", F.lit(0).cast("long").alias("chunk"), "tally", F.xxhash64("mark").alias("_order"))
+    listed = reps.select(F.explode(F.slice("lists", 1, LINK_BANDS).cast("array<long>")).alias("key"), "mark", F.col("mark").alias("part"), "size", F.lit(0).cast("long").alias("chunk"), "tally", F.xxhash64("mark").alias("_order"))
 
     def run(batches):
         last_key, last = None, None
@@ -190,7 +192,7 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
     a part meets another one, or a list is longer than a block, the list is opened: all its members are dealt into blocks
     of pairs of parts that one task can hold, and compared there.
     """
-    listed = reps.select(F.explode("lists").alias("key"), "mark", "part", "size", F.lit(0).cast("long").alias("chunk"), "tally", "alone")
+    listed = reps.select(F.explode(F.col("lists").cast("array<long>")).alias("key"), "mark", "part", "size", F.lit(0).cast("long").alias("chunk"), "tally", "alone")
     grouped = listed.filter("NOT alone").drop("alone")
     one_each = grouped.groupBy("key", "part").agg(F.lit(-1).cast("long").alias("mark"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("chunk"), F.lit(bytes(TALLY)).alias("tally"))
     names = ["key", "mark", "part", "size", "chunk", "tally"]
@@ -228,9 +230,12 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
     met = written(every.repartition("key").sortWithinPartitions("key").mapInArrow(run, OUT), "lists")
     columns = ["a", "b", "pa", "pb", "shared"]
     near = met.filter("kind = 0").select(columns)
-    opens = met.filter("kind = 2").select("key").distinct()
-    if opens.isEmpty():
+    opens = written(met.filter("kind = 2").select("key").distinct(), "opens")
+    n_open = opens.count()
+    if n_open == 0:
         return near.distinct()
+    # So that a list's members are not shuffled only to find the few that are opened.
+    opens = F.broadcast(opens) if n_open <= BROADCAST_PAIRS else opens
     members = written(met.filter("kind = 1").select(names).unionByName(grouped.join(opens, "key", "left_semi").select(names)), "open")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     each = join_hot(members, sizes, "key", "n", members.count()).withColumn("chunk", F.pmod(F.xxhash64("mark"), F.col("parts")))
@@ -284,7 +289,9 @@ def similar_parts(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE, lea
     parts = components(near)
     placed = reps.join(parts, reps["mark"] == parts["node"], "left")
     placed = placed.select("mark", F.coalesce("component", "mark").alias("part"), F.isnull("component").alias("alone"), "size", "tally", "lists")
+    placed = written(placed, "placed")
     far = written(far_pairs(placed, least_percent), "far")
+    forget(placed)
     # One link joins two parts, so of each two parts the pair that shares most is verified first, and the others only if
     # the parts are still apart after that.
     first = far.groupBy("pa", "pb").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("x")).select("x.*")
@@ -315,8 +322,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST
     texts = rows.select("mark", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
     made = written(prints(texts, shingle), "prints")
     sames = written(made.groupBy("same").agg(F.min("mark").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("best")), "sets")
-    parts = similar_parts(made.join(sames, made["mark"] == sames["first"], "left_semi").drop("id", "same"), texts, shingle, least_percent)
+    reps = written(made.join(sames, made["mark"] == sames["first"], "left_semi").drop("id", "same"), "reps")
+    forget(made)
+    parts = similar_parts(reps, texts, shingle, least_percent)
     placed = sames.join(parts, sames["first"] == parts["node"], "left").groupBy(F.coalesce("component", "first").alias("part"))
     kept = written(placed.agg(F.min("best")["mark"].alias("mark")), "kept")
-    forget(made)
+    forget(reps)
+    dropped = written(rows.select("mark").join(kept, "mark", "left_anti"), "dropped")
+    if dropped.count() <= BROADCAST_MARKS:
+        return rows.join(F.broadcast(dropped), "mark", "left_anti").select("doc.*")
     return rows.join(kept, "mark", "left_semi").select("doc.*")
