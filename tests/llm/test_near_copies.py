@@ -55,6 +55,16 @@ def test_the_stage_finds_planted_near_copies(spark):
     assert corpus_pipeline.deduplicate(spark, docs.limit(0), "").count() == 0
 
 
+def test_shuffles_give_what_broadcasts_give(spark, monkeypatch):
+    """With limits of zero, marks, pairs and opened lists are joined by shuffles."""
+    monkeypatch.setattr(near_copies, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(near_copies, "BROADCAST_MARKS", 0)
+    texts = planted(random.Random(11))[:24] + [None, "", "one", "One"]
+    rows = [(k, t) for k, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == survivors(texts)
+
+
 def components_plain(pairs):
     group = {}
     for a, b in pairs:
