@@ -60,15 +60,15 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_hot(rows: DataFrame, of: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, of: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with `of`, which has each key once and, in the column `count`, the rows that have it; `total` is their sum.
 
     Hot keys (fewer than HOT_PARTS, whatever the size) are broadcast, so that their rows stay where they are; the others
-    are joined by a shuffle.
+    are joined by a shuffle. With how = "left", rows whose key `of` lacks stay, with nulls.
     """
     hot = (F.col(count) > total / HOT_PARTS) & (F.col(count) > HOT_LEAST)
     few, rest = F.broadcast(of.filter(hot).drop(count)), of.filter(~hot).drop(count)
-    return rows.join(few, key).unionByName(rows.join(F.broadcast(of.filter(hot).select(key)), key, "left_anti").join(rest, key))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(of.filter(hot).select(key)), key, "left_anti").join(rest, key, how))
 
 
 def bounded_batches(spark: SparkSession) -> None:
