@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +20,13 @@ def _choices() -> Column:
 def assign_slots(soft: DataFrame) -> DataFrame:
     """rec, chunk, slot, cluster from (rec, chunk, slot, cluster, soft); slots that get none have -2.
 
-    An optimal assignment needs no more than the three best clusters of each of the three slots, so at most 64 choices of a
-    chunk are compared, as one expression; as many slots are matched as there are clusters, three at most. Of equal totals
-    the one with the higher score in slot 0 wins, then in slot 1, then in slot 2, then the one with the lower clusters, slot
-    by slot. A NaN or null counts as the least score of its recording. Infinite scores fail with NonFinite, those beyond
-    1e15 with CostTooLarge, recordings of NaN alone with AllNaN. A chunk must have all its cells, each once. An empty table
-    gives an empty result; other columns are ignored.
+    As many slots are matched as the chunk has slots or the recording clusters, whichever is less; the others, and slots
+    that a chunk lacks, have -2. An optimal assignment needs no more than the three best clusters of each slot, so at most
+    64 choices of a chunk are compared, as one expression. Of equal totals the one wins that shortest augmenting paths end
+    at (see `by_paths`): only chunks with such ties are packed, and solved one by one. A NaN or null counts as the least
+    score of its recording. Infinite scores fail with NonFinite, those beyond 1e15 with CostTooLarge, recordings of NaN
+    alone with AllNaN. A slot of a chunk must have all clusters, each once, or none. An empty table gives an empty result;
+    other columns are ignored. soft is read twice, the second time for chunks with ties.
     """
     score = F.when(~F.isnan("soft"), F.col("soft").cast("double"))
     score = F.when(F.abs(score) == float("inf"), F.raise_error(F.lit("NonFinite")).cast("double")).when(F.abs(score) > MOST_SCORE, F.raise_error(F.lit("CostTooLarge")).cast("double")).otherwise(score)
@@ -35,7 +38,9 @@ def assign_slots(soft: DataFrame) -> DataFrame:
     best = cells.withColumn("k", rank).filter(F.col("k") <= SLOTS)
     cell = F.struct("k", "cluster", "v")
     of = [F.sort_array(F.collect_list(F.when(F.col("slot") == s, cell))).alias(f"b{s}") for s in range(SLOTS)]
-    rows = best.groupBy("rec", "chunk").agg(*of, F.max("k").cast("int").alias("most"))
+    rows = best.groupBy("rec", "chunk").agg(*of, F.max("k").cast("int").alias("clusters"))
+    present = sum((F.when(F.size(f"b{s}") > 0, 1).otherwise(0) for s in range(SLOTS)), F.lit(0))
+    rows = rows.withColumn("most", F.least("clusters", present))
 
     def judged(c: Column) -> Column:
         got = [F.get(f"b{s}", c[f"s{s}"] - 1) for s in range(SLOTS)]
@@ -47,12 +52,83 @@ def assign_slots(soft: DataFrame) -> DataFrame:
         for x, y in itertools.combinations(taken, 2):
             fits = fits & ~F.coalesce(x == y, F.lit(False))
         matched = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in taken), F.lit(0))
-        value = [F.coalesce(g["v"], F.lit(float("-inf"))) for g in got]
         total = sum((F.coalesce(g["v"], F.lit(0.0)) for g in got), F.lit(0.0))
-        low = [-F.coalesce(t, F.lit(1 << 30)) for t in taken]
-        choice = F.struct(total.alias("total"), *(v.alias(f"v{s}") for s, v in enumerate(value)), *(n.alias(f"n{s}") for s, n in enumerate(low)), *(F.coalesce(t, F.lit(UNMATCHED)).cast("int").alias(f"c{s}") for s, t in enumerate(taken)))
+        choice = F.struct(total.alias("total"), *(F.coalesce(t, F.lit(UNMATCHED)).cast("int").alias(f"c{s}") for s, t in enumerate(taken)))
         return F.when(fits & (matched == F.col("most")), choice)
 
-    won = rows.select("rec", "chunk", F.array_max(F.transform(_choices(), judged)).alias("won"))
+    judged_ = rows.select("rec", "chunk", F.array_compact(F.transform(_choices(), judged)).alias("choices")).withColumn("won", F.array_max("choices"))
+    won = judged_.select("rec", "chunk", F.coalesce("won", F.raise_error(F.lit("NoAssignment"))).alias("won"), (F.size(F.filter("choices", lambda c: c["total"] == F.col("won.total"))) > 1).alias("tied"))
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"won.c{s}").alias("cluster")) for s in range(SLOTS))))
-    return won.select("rec", F.col("chunk").cast("int").alias("chunk"), each.alias("x")).select("rec", "chunk", "x.slot", "x.cluster")
+    clear = won.filter("NOT tied").select("rec", F.col("chunk").cast("int").alias("chunk"), each.alias("x")).select("rec", "chunk", "x.slot", "x.cluster")
+    tied = cells.join(won.filter("tied").select("rec", "chunk"), ["rec", "chunk"], "left_semi")
+    packed = tied.groupBy("rec", F.col("chunk").cast("int").alias("chunk")).agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), F.col("cluster").cast("int").alias("cluster"), "v")).alias("cells"))
+    return clear.unionByName(packed.mapInPandas(_solve, "rec long, chunk int, slot int, cluster int"))
+
+
+def _solve(batches):
+    """Rows (rec, chunk, cells of a slot, cluster and score) to each chunk's slots and their clusters."""
+    for pdf in batches:
+        out = []
+        for rec, chunk, cells in pdf[["rec", "chunk", "cells"]].itertuples(index=False):
+            slots, names = sorted({c["slot"] for c in cells}), sorted({c["cluster"] for c in cells})
+            scores = np.empty((len(slots), len(names)))
+            for c in cells:
+                scores[slots.index(c["slot"]), names.index(c["cluster"])] = c["v"]
+            found = dict(zip(slots, by_paths(scores), strict=True))
+            out += [(rec, chunk, s, names[found[s]] if found.get(s, -1) >= 0 else UNMATCHED) for s in range(SLOTS)]
+        yield pd.DataFrame(out, columns=["rec", "chunk", "slot", "cluster"]).astype({"rec": "int64", "chunk": "int32", "slot": "int32", "cluster": "int32"})
+
+
+def by_paths(scores: np.ndarray) -> list[int]:
+    """For each row of a small table of scores its column in an assignment of the greatest total, or -1.
+
+    The lesser side of the table is matched one by one, each along the cheapest path of swaps that ends at a free place.
+    Fixed conventions that decide between equal totals: places are looked at from the last to the first; of equally cheap
+    ones the first wins, unless a later one is free; a place that a path has passed hands its turn to the last one in line.
+    """
+    turned = scores.shape[1] < scores.shape[0]
+    cost = -(scores.T if turned else scores)
+    own, other = np.zeros(cost.shape[0]), np.zeros(cost.shape[1])
+    holder = np.full(cost.shape[1], -1)
+    for new in range(cost.shape[0]):
+        line, reach = list(range(cost.shape[1]))[::-1], np.full(cost.shape[1], np.inf)
+        came, rows_on, at, far = np.full(cost.shape[1], -1), [], new, 0.0
+        passed: list[int] = []
+        while True:
+            rows_on.append(at)
+            through = far + cost[at] - own[at] - other
+            best = -1
+            for k, j in enumerate(line):
+                if through[j] < reach[j]:
+                    reach[j], came[j] = through[j], at
+                if best < 0 or reach[j] < reach[line[best]] or (reach[j] == reach[line[best]] and holder[j] < 0):
+                    best = k
+            j = line[best]
+            far = reach[j]
+            line[best] = line[-1]
+            line.pop()
+            if holder[j] < 0:
+                break
+            passed.append(j)
+            at = int(holder[j])
+        own[new] += far
+        for p in passed:
+            own[holder[p]] += far - reach[p]
+            other[p] -= far - reach[p]
+        while True:
+            row = int(came[j])
+            before = int(np.flatnonzero(holder == row)[0]) if row != new else -1
+            holder[j] = row
+            if row == new:
+                break
+            holder[before], j = -1, before
+    found = [-1] * cost.shape[0]
+    for j, row in enumerate(holder.tolist()):
+        if row >= 0:
+            found[row] = j
+    if not turned:
+        return found
+    back = [-1] * scores.shape[0]
+    for cluster, slot in enumerate(found):
+        back[slot] = cluster
+    return back

@@ -389,15 +389,34 @@ def topk_smoothed(spark, sf_dir):
     return O.smoothed_top(_activation(spark, sf_dir), _counts(spark, sf_dir), 0.1)
 
 
-_CELLS = "cl AS (SELECT rec, chunk, slot, cluster, soft FROM so)"
+_SLOT_SQL = SEG_SQL + """,
+em AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), nv AS (SELECT max(vec_id) + 1 AS n FROM em),
+sl AS (SELECT DISTINCT rec, chunk, slot FROM sg), ve AS (SELECT rec, chunk, slot, e FROM sl, nv JOIN em ON vec_id = (rec * 37 + chunk * 3 + slot) % n),
+ce AS (SELECT vec_id AS cluster, e AS c FROM em WHERE vec_id < 4),
+so AS (SELECT rec, chunk, slot, cluster, round(list_cosine_similarity(e, c), 9) AS soft FROM ve, ce)"""
 
 
-@query(f"""WITH {SEG_SQL}, {_SOFT_GRID}, {_CELLS}, al AS (SELECT x.rec, x.chunk, x.cluster AS a, y.cluster AS b, z.cluster AS c, x.soft AS p, y.soft AS q, z.soft AS r
-  FROM cl x JOIN cl y USING (rec, chunk) JOIN cl z USING (rec, chunk) WHERE x.slot = 0 AND y.slot = 1 AND z.slot = 2 AND x.cluster <> y.cluster AND x.cluster <> z.cluster AND y.cluster <> z.cluster),
-bs AS (SELECT *, row_number() OVER (PARTITION BY rec, chunk ORDER BY 0.0 + p + q + r DESC, p DESC, q DESC, r DESC, a, b, c) AS n FROM al)
+def _slot_vectors(spark, sf_dir):
+    """rec, chunk, slot, embedding: a vector for each slot that a chunk has; some chunks have one or two."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    n = v.agg(F.max("vec_id") + 1).first()[0] or 1
+    slots = seg(spark, sf_dir).select("rec", "chunk", "slot").distinct()
+    return slots.withColumn("vec_id", F.pmod(F.col("rec") * 37 + F.col("chunk") * 3 + F.col("slot"), F.lit(n)).cast("long")).join(v, "vec_id").select("rec", "chunk", "slot", "embedding")
+
+
+@query(f"""WITH {_SLOT_SQL}, op AS (SELECT rec, chunk, slot, cluster, soft FROM so UNION ALL (SELECT DISTINCT c.rec, c.chunk, s.slot, -2, 0.0::DOUBLE FROM sl c, (SELECT unnest(range(3)) AS slot) s WHERE (c.rec, c.chunk, s.slot) NOT IN (SELECT (rec, chunk, slot) FROM sl))),
+al AS (SELECT x.rec, x.chunk, x.cluster AS a, y.cluster AS b, z.cluster AS c, 0.0 + x.soft + y.soft + z.soft AS total
+  FROM op x JOIN op y USING (rec, chunk) JOIN op z USING (rec, chunk) WHERE x.slot = 0 AND y.slot = 1 AND z.slot = 2 AND (x.cluster <> y.cluster OR x.cluster = -2) AND (x.cluster <> z.cluster OR x.cluster = -2) AND (y.cluster <> z.cluster OR y.cluster = -2)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY rec, chunk ORDER BY total DESC) AS n FROM al)
 SELECT rec, CAST(chunk AS INTEGER) AS chunk, CAST(unnest(range(3)) AS INTEGER) AS slot, CAST(unnest([a, b, c]) AS INTEGER) AS cluster FROM bs WHERE n = 1""")
 def lsap_assign(spark, sf_dir):
-    return assign_slots(_soft(spark, sf_dir))
+    """Chunks of one to three slots, four clusters, and cosines as scores."""
+    first = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 4").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centroid"))
+    a, b = F.col("embedding"), F.col("centroid")
+    cosine = V.dot(a, b) / (F.sqrt(V.sum_squares(a)) * F.sqrt(V.sum_squares(b)))
+    # Four rows, by the filter.
+    scored = _slot_vectors(spark, sf_dir).join(F.broadcast(first))
+    return assign_slots(scored.select("rec", "chunk", "slot", "cluster", F.round(cosine, 9).alias("soft")))
 
 
 @query()
@@ -444,11 +463,7 @@ def fbank_frames(spark, sf_dir):
 
 @query()
 def diarize_e2e(spark, sf_dir):
-    s = seg(spark, sf_dir)
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    n = v.agg(F.max("vec_id") + 1).first()[0] or 1
-    pairs = s.select("rec", "chunk", "slot").distinct().withColumn("vec_id", F.pmod(F.col("rec") * 37 + F.col("chunk") * 3 + F.col("slot"), F.lit(n)).cast("long"))
-    emb = pairs.join(v, "vec_id").select("rec", "chunk", "slot", "embedding")
+    s, emb = seg(spark, sf_dir), _slot_vectors(spark, sf_dir)
     return D.diarize(s, emb, sizes(spark, sf_dir), SIZE, CHUNK_STEP, FSTEP, FDUR, _weights(), ONSET, GAP, None, threshold=1.05, rounds=3)
 
 
