@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm import bpe, decontam, near_copies, quality_classifier, secrets
-from turnlake.llm.common import written
+from turnlake.llm.common import bounded_batches, written
 
+#: Bytes of an Arrow batch: the stages follow each other in the same executors, whose heaps are full by then.
+BATCH_BYTES = 8 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are likely junk or toxic, and those of null text. Repeated rows are judged alike; an empty table gives an empty one."""
+    bounded_batches(spark, BATCH_BYTES)
     scorer = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.classify(docs, scorer).filter("kept").select(*COLUMNS)
 
@@ -26,6 +29,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The one of least doc_id stays, rows without an id last. Null and blank texts are one group. An empty table gives an empty one.
     """
+    bounded_batches(spark, BATCH_BYTES)
     return near_copies.keep_one(docs).select(*COLUMNS)
 
 
@@ -41,6 +45,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text. Null and empty texts have no ids; all rows are kept."""
+    bounded_batches(spark, BATCH_BYTES)
     out = bpe.bpe_encode(docs, round_trip="round_trip")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 

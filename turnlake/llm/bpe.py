@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, released
 
 #: The split pattern of the byte-level vocabularies (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -270,7 +270,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, ids: str = "token_ids",
                 same = [pa.array([bpe.decode(np.frombuffer(p, "<u4").tolist()) == (t or "") for p, t in zip(packed, texts, strict=True)])] if more else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, *same], names=[*batch.schema.names, ids, *more])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *(T.StructField(n, T.BooleanType()) for n in more)]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *(T.StructField(n, T.BooleanType()) for n in more)]))
 
 
 def bpe_decode(df: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "text") -> DataFrame:

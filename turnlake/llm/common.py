@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +75,27 @@ def join_hot(rows: DataFrame, of: DataFrame, key: str | list[str], count: str, t
     return rows.join(few, key).unionByName(rows.join(F.broadcast(of.filter(hot).select(key)), key, "left_anti").join(rest, key, how))
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bounds the bytes of the session's Arrow batches, unless it has set a bound itself (Spark has no bound for one query only)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     found = spark.conf.get(key, str(2**31 - 1)).rstrip("bB")
     if found.isdigit() and int(found) > 1 << 30:
-        spark.conf.set(key, str(BATCH_BYTES))
+        spark.conf.set(key, str(most))
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and at its end the memory that the task held goes back to the system: workers are used again, and keep what they have."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not every system has it
+            pass
+
+    return whole
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, join_hot, written
+from .common import bounded_batches, forget, join_hot, released, written
 from .graph import components
 from .simhash import runs_of_keys, shingle_hashes, starts_of
 
@@ -98,7 +98,7 @@ def prints(rows: DataFrame, shingle: int) -> DataFrame:
             tally = [t.tobytes() for t in made[:, BANDS * ROWS :]]
             yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tally, pa.binary()), lists], names=["mark", "id", "same", "size", "tally", "lists"])
 
-    return rows.select("mark", "id", "text").mapInArrow(run, f"mark long, id {dict(rows.dtypes)['id']}, same binary, size long, tally binary, lists array<int>")
+    return rows.select("mark", "id", "text").mapInArrow(released(run), f"mark long, id {dict(rows.dtypes)['id']}, same binary, size long, tally binary, lists array<int>")
 
 
 MEMBER = np.dtype([("mark", "<i8"), ("part", "<i8"), ("size", "<i8"), ("chunk", "<i8"), ("tally", "u1", TALLY)])
@@ -172,7 +172,7 @@ def neighbour_pairs(reps: DataFrame, least_percent: int) -> DataFrame:
             last_key, last = key[-1:], m[-1:]
 
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartitionByRange(n, "key", "_order").sortWithinPartitions("key", "_order").drop("_order").mapInArrow(run, PAIR).select("a", "b").distinct()
+    return listed.repartitionByRange(n, "key", "_order").sortWithinPartitions("key", "_order").drop("_order").mapInArrow(released(run), PAIR).select("a", "b").distinct()
 
 
 OUT = "kind int, key long, " + PAIR + ", " + MEMBERS
@@ -227,7 +227,7 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
                 some = {c: np.ascontiguousarray(v[at : at + PAIRS_AT_ONCE]) for c, v in got.items()}
                 yield _out(0, len(some["a"]), **some)
 
-    met = written(every.repartition("key").sortWithinPartitions("key").mapInArrow(run, OUT), "lists")
+    met = written(every.repartition("key").sortWithinPartitions("key").mapInArrow(released(run), OUT), "lists")
     columns = ["a", "b", "pa", "pb", "shared"]
     near = met.filter("kind = 0").select(columns)
     opens = written(met.filter("kind = 2").select("key").distinct(), "opens")
@@ -250,7 +250,7 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
                 # The block of a part with itself has that part alone.
                 yield from _pair_rows(pairs_of(x, least_percent))
 
-    more = each.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(blocks, PAIR)
+    more = each.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(released(blocks), PAIR)
     return near.unionByName(more).distinct()
 
 
@@ -265,7 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: in
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
     asked = F.broadcast(asked) if pairs.count() <= BROADCAST_PAIRS else asked
-    of = written(texts.select("mark", "text").join(asked, "mark", "left_semi").mapInArrow(sets, "mark long, hashes binary"), "sets")
+    of = written(texts.select("mark", "text").join(asked, "mark", "left_semi").mapInArrow(released(sets), "mark long, hashes binary"), "sets")
 
     def check(batches):
         for batch in batches:
@@ -278,7 +278,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: in
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(some), batch.column("b").filter(some)], names=["a", "b"])
 
     both = pairs.join(of.select(F.col("mark").alias("b"), F.col("hashes").alias("y")), "b").join(of.select(F.col("mark").alias("a"), F.col("hashes").alias("x")), "a")
-    out = written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "links")
     forget(pairs, of)
     return out
 
