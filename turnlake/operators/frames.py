@@ -144,13 +144,22 @@ def top_clusters(activation: DataFrame, counts: DataFrame) -> DataFrame:
     All clusters below the recording's number of clusters stand for election, those without activity too.
     """
     counts = counts.withColumn("cnt", checked(F.col("cnt"), (F.col("cnt") > MOST_COUNT, "CountAboveMax")).cast("int"))
+    wanted = _with_active(activation, counts.filter("cnt > 0"), counts)
+    # Of the clusters without activity only the lowest cnt can be chosen.
+    low = F.sequence(F.lit(0), F.least(F.col("k"), F.col("cnt") + F.size("active")).cast("int") - 1)
+    idle = F.filter(low, lambda c: ~F.exists("active", lambda x: x["cluster"] == c))
+    best = F.slice(F.sort_array(F.concat("active", F.transform(idle, lambda c: F.struct(F.lit(0.0).alias("less"), c.alias("cluster"))))), F.lit(1), F.col("cnt"))
+    return wanted.select("rec", "t", F.explode(best).alias("x")).select("rec", "t", "x.cluster")
+
+
+def _with_active(activation: DataFrame, frames: DataFrame, counts: DataFrame) -> DataFrame:
+    """frames with active, each frame's clusters as (less: the activation's negative, cluster), and k, the clusters of the recording."""
     most = activation.groupBy("rec").agg((F.max("cluster") + 1).alias("_k"))
     most = most.join(counts.groupBy("rec").agg(F.greatest(F.max("cnt"), F.lit(1)).alias("_c")), "rec").select("rec", F.greatest("_k", "_c").alias("k"))
-    wanted = counts.filter("cnt > 0").join(most, "rec")
-    dense = wanted.select("rec", "t", "cnt", F.explode(F.expr("sequence(0, CAST(k AS int) - 1)")).alias("cluster"))
-    dense = dense.join(activation, ["rec", "t", "cluster"], "left").withColumn("activation", F.coalesce("activation", F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("rec", "t").orderBy(F.desc("activation"), "cluster"))
-    return dense.withColumn("r", rank).filter("r <= cnt").select("rec", "t", "cluster")
+    cell = F.struct((F.lit(0.0) - F.coalesce("activation", F.lit(0.0))).alias("less"), F.col("cluster").cast("int").alias("cluster"))
+    packed = activation.groupBy("rec", "t").agg(F.collect_list(cell).alias("active"))
+    none = F.array().cast("array<struct<less:double,cluster:int>>")
+    return frames.join(most, "rec").join(packed, ["rec", "t"], "left").withColumn("active", F.coalesce("active", none))
 
 
 def grid_to_spans(grid: DataFrame, sizes: DataFrame, start: float, duration: float, step: float, min_duration_off: float = 0.0) -> DataFrame:
@@ -176,26 +185,41 @@ def rttm_lines(spans: DataFrame, uri: Column | None = None) -> DataFrame:
     return spans.select("rec", "start", "cluster", text.alias("line"))
 
 
+def stretches(counts: DataFrame, block: int = 4096) -> DataFrame:
+    """counts (rec, t, cnt) with stretch: one more at each frame of count 0, from 0. A recording's blocks of frames are numbered side by side."""
+    rows = counts.withColumn("_b", F.floor(F.col("t") / block)).withColumn("_z", (F.col("cnt") == 0).cast("long"))
+    sums = rows.groupBy("rec", "_b").agg(F.sum("_z").alias("_n"))
+    before = Window.partitionBy("rec").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rec", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("rec", "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_in", F.sum("_z").over(inside)).join(sums, ["rec", "_b"]).withColumn("stretch", F.col("_in") + F.col("_before")).drop("_b", "_z", "_in", "_before")
+
+
 def smoothed_top(activation: DataFrame, counts: DataFrame, epsilon: float) -> DataFrame:
     """As top_clusters, but a cluster that was chosen in the frame before gains epsilon; equals go by activation, then number.
 
-    The choice depends on the frame before, so each recording's frames go through one task in order, as one packed row a frame.
+    A frame of count 0 chooses none, so what comes after it doesn't depend on what was before: a recording falls into
+    stretches, which tasks share. A task reads its stretches' frames in order and holds one frame's choice, however long a
+    stretch is. counts has all frames of a recording, each once.
     """
     check_epsilon(epsilon)
-    most = activation.groupBy("rec").agg((F.max("cluster") + 1).alias("_k")).join(counts.groupBy("rec").agg(F.greatest(F.max("cnt"), F.lit(1)).alias("_c")), "rec")
-    packed = activation.groupBy("rec", "t").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "activation"))).alias("a"))
-    rows = counts.join(most.select("rec", F.greatest("_k", "_c").alias("k")), "rec").join(packed, ["rec", "t"], "left")
+    rows = _with_active(activation, stretches(counts), counts).select("rec", "stretch", "t", "cnt", "k", "active")
+    rows = rows.repartition("rec", "stretch").sortWithinPartitions("rec", "stretch", "t")
 
-    def scan(pdf):
+    def scan(batches):
         import pandas as pd
 
-        out, before = [], set()
-        for t, cnt, k, a in pdf.sort_values("t")[["t", "cnt", "k", "a"]].itertuples(index=False):
-            a = dict(a or {})
-            raw = [a.get(c, 0.0) for c in range(int(k))]
-            order = sorted(range(int(k)), key=lambda c: (-(raw[c] + (epsilon if c in before else 0.0)), -raw[c], c))  # noqa: B023
-            before = set(order[: int(cnt)])
-            out += [(int(t), c) for c in before]
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "t": [x[0] for x in out], "cluster": [x[1] for x in out]})
-
-    return rows.groupBy("rec").applyInPandas(scan, "rec long, t int, cluster int")
+        at, before = None, set()
+        for pdf in batches:
+            out = []
+            for rec, stretch, t, cnt, k, active in pdf.itertuples(index=False):
+                if (rec, stretch) != at:
+                    at, before = (rec, stretch), set()
+                raw = {x["cluster"]: -x["less"] for x in active}
+                idle = [c for c in range(min(k, cnt + len(raw))) if c not in raw]
+                gained = {c: raw.get(c, 0.0) + (epsilon if c in before else 0.0) for c in {*raw, *before, *idle}}
+                before = set(sorted(gained, key=lambda c: (-gained[c], -raw.get(c, 0.0), c))[:cnt])  # noqa: B023
+                out += [(rec, t, c) for c in sorted(before)]
+            yield pd.DataFrame(out, columns=["rec", "t", "cluster"]).astype({"rec": "int64", "t": "int32", "cluster": "int32"})
+
+    return rows.mapInPandas(scan, "rec long, t int, cluster int")

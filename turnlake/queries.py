@@ -15,6 +15,7 @@ from .functions import frames as FR
 from .functions import vectors as V
 from .operators import clustering as C
 from .operators import frames as O
+from .operators import rounds as R
 from .operators import segmentation as G
 from .operators import similarity as S
 from .operators.assignment import assign_slots
@@ -384,7 +385,13 @@ def rttm_lines(spark, sf_dir):
     return O.rttm_lines(_spans(spark, sf_dir)).select("rec", "line")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GRID},
+pk AS (SELECT rec, t, map_from_entries(list((cluster, round(activation, 9)))) AS a FROM ov GROUP BY rec, t),
+fa AS (SELECT rec, t, cnt, CAST(k AS BIGINT) AS k, a FROM cn JOIN mx USING (rec) LEFT JOIN pk USING (rec, t)),
+go AS (SELECT rec, -1::BIGINT AS t, []::BIGINT[] AS chosen FROM mx
+  UNION ALL SELECT f.rec, f.t, list_transform(list_sort(list_transform(range(f.k), lambda c: {{'e': -(coalesce(f.a[c], 0.0) + CASE WHEN list_contains(go.chosen, c) THEN 0.1 ELSE 0.0 END), 'r': -coalesce(f.a[c], 0.0), 'c': c}}))[1:f.cnt], lambda x: x.c)
+  FROM go JOIN fa f ON f.rec = go.rec AND f.t = go.t + 1)
+SELECT rec, CAST(t AS INTEGER) AS t, CAST(unnest(chosen) AS INTEGER) AS cluster FROM go""")
 def topk_smoothed(spark, sf_dir):
     return O.smoothed_top(_activation(spark, sf_dir), _counts(spark, sf_dir), 0.1)
 
@@ -419,9 +426,23 @@ def lsap_assign(spark, sf_dir):
     return assign_slots(scored.select("rec", "chunk", "slot", "cluster", F.round(cosine, 9).alias("soft")))
 
 
-@query()
+#: The greedy merging of the closest pairs, one a step; a merged pair stays, far apart, so that its step is told.
+_MERGE_SQL = VEC_SQL + """,
+st AS (SELECT a.rec, 0 AS step, a.i AS a, b.i AS b, 1 - greatest(0, list_cosine_similarity(a.e, b.e)) AS d, 1.0::DOUBLE AS w, -1 AS x, -1 AS y FROM v a JOIN v b ON a.rec = b.rec AND a.i < b.i
+  UNION ALL SELECT rec, step + 1, least(p, q), greatest(p, q), CASE WHEN p = q THEN 9.0::DOUBLE ELSE sum(d * w) / sum(w) END, sum(w), x, y FROM (
+    SELECT rec, step, d, w, n.x AS x, n.y AS y, CASE WHEN a = n.y THEN n.x ELSE a END AS p, CASE WHEN b = n.y THEN n.x ELSE b END AS q
+    FROM (SELECT *, min({'d': round(d, 9), 'x': a, 'y': b}) OVER (PARTITION BY rec) AS n FROM st) WHERE n.d < 0.85)
+  GROUP BY rec, step, x, y, p = q, least(p, q), greatest(p, q)),
+mg AS (SELECT DISTINCT rec, x, y FROM st WHERE x >= 0),
+up AS (SELECT rec, i, i AS r, 0 AS k FROM v UNION ALL SELECT up.rec, up.i, mg.x, k + 1 FROM up JOIN mg ON mg.rec = up.rec AND mg.y = up.r),
+rt AS (SELECT rec, i, arg_max(r, k) AS r FROM up GROUP BY rec, i)"""
+
+
+@query(f"WITH RECURSIVE {_MERGE_SQL} SELECT rec, i, CAST(dense_rank() OVER (PARTITION BY rec ORDER BY r) - 1 AS INTEGER) AS label FROM rt")
 def agglomerative_labels(spark, sf_dir):
-    return C.cluster(vecs(spark, sf_dir), "agglomerative", threshold=0.15)
+    """All vectors of a label, by rounds of merges over all labels."""
+    v = vecs(spark, sf_dir)
+    return R.agglomerate_rounds(R.cosine_distances(v), v, 0.85)
 
 
 @query()
@@ -449,6 +470,39 @@ def vbx_posterior(spark, sf_dir):
     return posteriors(project(vecs(spark, sf_dir).select("rec", "i", "embedding"), w), w.phi.tolist(), 1.05)
 
 
+_PHI = [5.0 - 0.0625 * d for d in range(64)]
+_EM = 4
+
+
+def _em_sql(rounds: int) -> str:
+    """Rounds of the refinement, unrolled, from labels i % 4."""
+    fa, ratio, hot = 0.07, 0.07 / 0.8, f"(exp(7.0::DOUBLE) / (exp(7.0::DOUBLE) + {_EM - 1}))"
+    parts = [VEC_SQL, f"ph AS (SELECT d, 5.0::DOUBLE - 0.0625::DOUBLE * d AS phi FROM range(64) t(d)), xs AS (SELECT rec, i, unnest(e) AS x, unnest(range(64)) AS d FROM v)",
+        "rh AS (SELECT rec, i, d, x * sqrt(phi) AS r, phi FROM xs JOIN ph USING (d)), ow AS (SELECT rec, i, -0.5::DOUBLE * (sum(x * x) + 64 * ln(2 * pi())) AS own FROM xs GROUP BY rec, i)",
+        f"g0 AS (SELECT rec, i, s, CASE WHEN i % {_EM} = s THEN {hot} ELSE 1 / (exp(7.0::DOUBLE) + {_EM - 1}) END AS g FROM v, range({_EM}) t(s)), w0 AS (SELECT DISTINCT rec, s, 1.0::DOUBLE / {_EM} AS w FROM g0)"]
+    for k in range(1, rounds + 1):
+        parts += [
+            f"n{k} AS (SELECT rec, s, sum(g) AS n FROM g{k - 1} GROUP BY rec, s), f{k} AS (SELECT rec, s, d, any_value(phi) AS phi, sum(g * r) AS f FROM g{k - 1} JOIN rh USING (rec, i) GROUP BY rec, s, d)",
+            f"m{k} AS (SELECT rec, s, d, phi, 1 / (1 + {ratio!r}::DOUBLE * n * phi) AS va, {ratio!r}::DOUBLE / (1 + {ratio!r}::DOUBLE * n * phi) * f AS me FROM f{k} JOIN n{k} USING (rec, s))",
+            f"c{k} AS (SELECT rec, s, 0.5::DOUBLE * sum((va + me * me) * phi) AS half, sum(ln(va) - va - me * me + 1) AS gain FROM m{k} GROUP BY rec, s), d{k} AS (SELECT rec, i, s, sum(r * me) AS dot FROM rh JOIN m{k} USING (rec, d) GROUP BY rec, i, s)",
+            f"p{k} AS (SELECT rec, i, s, {fa}::DOUBLE * (dot - half + own) + ln(w + 1e-8::DOUBLE) AS p FROM d{k} JOIN c{k} USING (rec, s) JOIN ow USING (rec, i) JOIN w{k - 1} USING (rec, s))",
+            f"t{k} AS (SELECT rec, i, max(p) + ln(sum(exp(p - m))) AS t FROM (SELECT *, max(p) OVER (PARTITION BY rec, i) AS m FROM p{k}) GROUP BY rec, i)",
+            f"g{k} AS (SELECT rec, i, s, exp(p - t) AS g FROM p{k} JOIN t{k} USING (rec, i)), w{k} AS (SELECT rec, s, sum(g) / count(*) AS w FROM g{k} GROUP BY rec, s)",
+        ]
+    return f"""WITH {", ".join(parts)}, bd AS (SELECT rec, sum(t) AS t FROM t{rounds} GROUP BY rec), gn AS (SELECT rec, 0.8::DOUBLE * 0.5 * sum(gain) AS gain FROM c{rounds} GROUP BY rec)
+SELECT rec, i, CAST(s AS INTEGER) AS cluster, round(g, 6) AS gamma, round(w, 6) AS pi, round(t + gain, 4) AS bound FROM g{rounds} JOIN w{rounds} USING (rec, s) JOIN bd USING (rec) JOIN gn USING (rec)"""
+
+
+@query(_em_sql(3))
+def vbx_rounds(spark, sf_dir):
+    """Three rounds from given labels, over all vectors of a label."""
+    v = vecs(spark, sf_dir).select("rec", "i", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    first = R.soften(v.select("rec", "i", (F.col("i") % _EM).alias("label")))
+    out = R.refine_rounds(v.join(first, ["rec", "i"]), _PHI, rounds=3, least_gain=-float("inf"))
+    each = out.select("rec", "i", "bound", F.posexplode(F.arrays_zip(F.col("gamma").alias("g"), F.transform("gamma", lambda g, k: F.get("pi", k)).alias("w"))).alias("cluster", "x"))
+    return each.select("rec", "i", "cluster", F.round("x.g", 6).alias("gamma"), F.round("x.w", 6).alias("pi"), F.round("bound", 4).alias("bound"))
+
+
 @query()
 def online_assign(spark, sf_dir):
     return C.online_assign(vecs(spark, sf_dir).withColumn("duration", (F.col("vec_id") % 5).cast("double") / 2), speaker_threshold=0.84, embedding_threshold=0.56)
