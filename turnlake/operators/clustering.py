@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .seeding import Draws
+
 MOST_VECTORS = {"offline": 1000, "ahc": 8000}
 
 
@@ -142,13 +144,17 @@ def spectral(x: np.ndarray, target: int | None = None, seed: int = 0, most: int
 
 
 def kmeans(u: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarray:
-    """Lloyd's steps from k-means++ seeds drawn with numpy's generator; of equally near centroids the lowest."""
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(u)))]
+    """Lloyd's steps from k-means++ seeds of the specified key stream (see seeding); of equally near centroids the lowest."""
+    draws = Draws(seed)
+    chosen, far = [draws.below(len(u))], np.full(len(u), np.inf)
     while len(chosen) < k:
-        d = ((u[:, None] - u[chosen][None]) ** 2).sum(axis=2).min(axis=1)
-        free = [j for j in range(len(u)) if j not in chosen]
-        chosen.append(int(np.searchsorted(np.cumsum(d), rng.random() * d.sum(), side="right")) if d.sum() > 0 else free[int(rng.integers(len(free)))])
+        far = np.minimum(far, ((u - u[chosen[-1]]) ** 2).sum(axis=1))
+        total = np.cumsum(far)
+        if total[-1] > 0:
+            chosen.append(min(int(np.searchsorted(total, draws.unit() * total[-1], side="right")), len(u) - 1))
+        else:
+            free = [j for j in range(len(u)) if j not in chosen]
+            chosen.append(free[draws.below(len(free))])
     centers, labels = u[chosen].copy(), None
     for _ in range(rounds):
         new = ((u[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)

@@ -96,31 +96,52 @@ class Projection:
         values, vectors = np.linalg.eigh(low @ between @ low.T)
         return (low.T @ vectors)[:, ::-1], values[::-1]
 
-    def apply(self, x: np.ndarray, least: float = 0.01, least_centred: float = 0.1) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1)
-        if not np.isfinite(x).all() or (n < least).any():
-            raise EngineError("DegenerateInput")
+    def faults(self, x: np.ndarray, least: float = 0.01, least_centred: float = 0.1) -> np.ndarray:
+        """For each row why it can't be projected: NonFinite, DegenerateInput (too short, as it is or centred), or ''."""
+        finite = np.isfinite(x).all(axis=1)
+        known = np.where(finite[:, None], x, 0.0)
+        short = (np.linalg.norm(known, axis=1) < least) | (np.linalg.norm(known - self.mean1, axis=1) < least_centred)
+        return np.where(~finite, "NonFinite", np.where(short, "DegenerateInput", ""))
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        bad = self.faults(x)
+        if (bad != "").any():
+            raise EngineError(str(bad[bad != ""][0]))
         centred = x - self.mean1
-        n = np.linalg.norm(centred, axis=1, keepdims=True)
-        if (n < least_centred).any():
-            raise EngineError("DegenerateInput")
-        y = np.sqrt(x.shape[1]) * (centred / n) @ self.lda - self.mean2
+        y = np.sqrt(x.shape[1]) * (centred / np.linalg.norm(centred, axis=1, keepdims=True)) @ self.lda - self.mean2
         y = np.sqrt(y.shape[1]) * y / np.linalg.norm(y, axis=1, keepdims=True)
         return (y - self.mu) @ self.basis
 
 
-def project(vecs: DataFrame, weights: Projection) -> DataFrame:
-    """vecs plus x: the whitened projection of embedding. The weights go to the tasks with the function; they have a fixed size."""
+def project(vecs: DataFrame, weights: Projection, quarantine: bool = False) -> DataFrame:
+    """vecs plus x: the whitened projection of embedding. The weights go to the tasks with the function; they have a fixed size.
+
+    A vector that can't be projected fails the job with its fault. With quarantine it stays, with a null x and its fault in
+    a column `fault`, which is null for the others; a null vector and one of a wrong length have the fault WrongLength.
+    """
     from pyspark.sql import types as T
 
-    vecs = vecs.drop("x")
+    vecs = vecs.drop("x", *(["fault"] if quarantine else []))
+    dim = len(weights.mean1)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                e = np.stack([np.asarray(v.values, np.float64) for v in batch.column("embedding")])
-                x = weights.apply(e)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "x"])
-
-    return vecs.mapInArrow(run, T.StructType([*vecs.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
+            lengths = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            fault = np.where(lengths == dim, "", "WrongLength").astype(object)
+            if not quarantine and (fault != "").any():
+                raise EngineError("WrongLength")
+            right = np.flatnonzero(fault == "")
+            e = batch.column("embedding").take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            if quarantine:
+                fault[right] = weights.faults(e)
+                e, right = e[fault[right] == ""], right[fault[right] == ""]
+            x = weights.apply(e)
+            at = np.full(batch.num_rows, -1)
+            at[right] = np.arange(len(right))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            columns = [*batch.columns, lists.take(pa.array(at, mask=at < 0))]
+            more = [pa.array([f or None for f in fault], pa.string())] if quarantine else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*batch.schema.names, "x", *(["fault"] if quarantine else [])])
+
+    fields = [*vecs.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType())), *([T.StructField("fault", T.StringType())] if quarantine else [])]
+    return vecs.mapInArrow(run, T.StructType(fields))

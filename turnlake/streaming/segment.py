@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -74,7 +75,11 @@ class VoiceSpans(StatefulProcessor):
 
 
 class OnlineSpeakers(StatefulProcessor):
-    """Matches each session's vectors (rec, vec_id, embedding, duration) to its speakers so far, which are the state."""
+    """Matches each session's vectors (rec, vec_id, embedding, duration) to its speakers so far, which are the state.
+
+    A row whose column `reset` is true (the column may be missing) forgets the session's speakers before its vector is
+    matched; without a vector it only resets.
+    """
 
     def __init__(self, **options):
         self.options = options
@@ -92,10 +97,19 @@ class OnlineSpeakers(StatefulProcessor):
             s.history.append([np.asarray(h) for h in history])
             s.durations.append(duration)
         pdf = pd.concat(list(rows)).sort_values("vec_id")
-        got = [s.assign(v, d) for v, d in zip(pdf["embedding"], pdf["duration"], strict=True)]
-        for k in {g[1] for g in got if g[1]}:
+        anew = pdf["reset"].fillna(False).astype(bool) if "reset" in pdf else pd.Series(False, index=pdf.index)
+        got, before = [], s.count
+        for vec_id, v, d, forget in zip(pdf["vec_id"], pdf["embedding"], pdf["duration"], anew, strict=True):
+            if forget:
+                s.reset()
+                before = 0
+                self.speakers.clear()
+            if v is not None:
+                got.append((vec_id, *s.assign(v, d)))
+        # After a reset all speakers are new ones.
+        for k in {g[2] for g in got if g[2] and g[2] <= s.count} | set(range(before + 1, s.count + 1)):
             self.speakers.updateValue((k,), (s.centroids[k - 1].tolist(), [h.tolist() for h in s.history[k - 1]], float(s.durations[k - 1])))
-        yield pd.DataFrame({"rec": [key[0]] * len(got), "vec_id": pdf["vec_id"].tolist(), "decision": [g[0] for g in got], "speaker": pd.array([g[1] for g in got], "Int64")})
+        yield pd.DataFrame({"rec": [key[0]] * len(got), "vec_id": [g[0] for g in got], "decision": [g[1] for g in got], "speaker": pd.array([g[2] for g in got], "Int64")})
 
     def close(self) -> None:
         pass
@@ -107,3 +121,18 @@ def stream_spans(frames: DataFrame, onset: float, offset: float, gap: int = 0, l
 
 def stream_speakers(vecs: DataFrame, **options) -> DataFrame:
     return vecs.groupBy("rec").transformWithStateInPandas(OnlineSpeakers(**options), MATCH, "Append", "None")
+
+
+def stream_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """rec, speaker, centroid, duration and n_history of the speakers that a stream of stream_speakers knows, from its checkpoint.
+
+    It reads the state of the last batch that ended; the stream may run or not. Sessions without a speaker have no row.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "speakers").load(checkpoint)
+    v = F.col("user_map_value")
+    return state.select(F.col("key.rec").alias("rec"), F.col("user_map_key.id").alias("speaker"), v["centroid"].alias("centroid"), v["duration"].alias("duration"), F.size(v["history"]).alias("n_history"))
+
+
+def speaker_counts(state: DataFrame) -> DataFrame:
+    """rec, n_speakers, speakers (their numbers in order), duration of all, from stream_state."""
+    return state.groupBy("rec").agg(F.count(F.lit(1)).alias("n_speakers"), F.sort_array(F.collect_list("speaker")).alias("speakers"), F.sum("duration").alias("duration"))
