@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm import bpe, decontam, near_copies, quality_classifier, secrets
-from turnlake.llm.common import bounded_batches, written
+from turnlake.llm.common import bounded_batches, release_memory, written
 
 #: Bytes of an Arrow batch: the stages follow each other in the same executors, whose heaps are full by then.
 BATCH_BYTES = 8 << 20
@@ -21,6 +21,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are likely junk or toxic, and those of null text. Repeated rows are judged alike; an empty table gives an empty one."""
     bounded_batches(spark, BATCH_BYTES)
     scorer = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    release_memory()  # of the fit
     return quality_classifier.classify(docs, scorer).filter("kept").select(*COLUMNS)
 
 

@@ -83,17 +83,22 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(most))
 
 
+def release_memory() -> None:
+    """Gives memory that this process holds but doesn't use back to the system, where the system knows how."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, and at its end the memory that the task held goes back to the system: workers are used again, and keep what they have."""
+    """run, with release_memory at the end of each task: workers are used again, and would keep what they have."""
 
     def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # not every system has it
-            pass
+        release_memory()
 
     return whole
 

@@ -2,8 +2,9 @@
 
 A window of WINDOW words is known by its anchor: the least hash of the GRAM-word sequences inside it. Equal windows have
 equal anchors, so a window whose anchor occurs once in all is unique. The index keeps anchors and their counts in sorted
-immutable runs, one for each batch of documents; a new run is merge-joined with the older ones, and runs are compacted into
-one. Windows whose anchors repeat are then verified: 96 bits of a hash of their words, as they stand, are merged, and those
+immutable runs, one for each batch of documents, bucketed by anchor, so that no run is ever shuffled again: a new run is
+merge-joined with the older ones bucket by bucket, which gives the anchors that repeat, and runs are compacted in the same
+way. Windows whose anchors repeat are then verified: 96 bits of a hash of their words, as they stand, are merged, and those
 that start in two places are the repeated ones. Histories of texts can be kept too, so that a batch is deduplicated against
 all batches before it.
 """
@@ -11,6 +12,7 @@ all batches before it.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,7 @@ class Grams:
 
 
 def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """key, n: each anchor of docs and the places where it is one."""
+    """key, n: anchors of docs and the places where they are one; an anchor may come in several parts."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -122,7 +124,7 @@ def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     size = 0
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "key long, n long")
 
 
 class FingerprintIndex:
@@ -139,6 +141,8 @@ class FingerprintIndex:
         self.runs = [f"{self.folder}/{n}" for n in names if n.startswith("run-")]
         self.texts = [f"{self.folder}/{n}" for n in names if n.startswith("texts-")]
         self._made = max([int(n.split("-")[1]) for n in names], default=0)
+        # All runs of an index have the buckets of its first one, which a run's name tells.
+        self.buckets = int(self.runs[0].rsplit("-of-", 1)[1]) if self.runs else int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _names(self) -> list[str]:
         jvm = self.spark.sparkContext._jvm
@@ -147,15 +151,50 @@ class FingerprintIndex:
         # Only what was written to its end counts.
         return sorted(x.getPath().getName() for x in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))) if fs.exists(at) else []
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key long, n long").parquet(*paths)
+    @staticmethod
+    def _table_name(path: str) -> str:
+        return f"turnlake_run_{hashlib.md5(path.encode()).hexdigest()}"
+
+    def _read(self, path: str) -> DataFrame:
+        """A run as a bucketed table; one that another session made is named again for this one."""
+        name = self._table_name(path)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key BIGINT, n BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
 
     def _write(self, rows: DataFrame) -> str:
+        """rows (key, n), partitioned by key into the buckets, as a run."""
         self._made += 1
-        path = f"{self.folder}/run-{self._made}"
-        rows.repartition("key").sortWithinPartitions("key").write.parquet(path)
+        path = f"{self.folder}/run-{self._made}-of-{self.buckets}"
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet").option("path", path).saveAsTable(self._table_name(path))
         return path
 
+    def _drop(self, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(path)}")
+        drop_folder(self.spark, path)
+
+    def met(self, new: str) -> DataFrame:
+        """key, n of a run's anchors, with those of all older runs. Buckets meet buckets, so nothing is shuffled."""
+        out = self._read(new)
+        for old in self.runs:
+            if old != new:
+                out = self._joined(out, old, "left")
+        return out
+
+    def _joined(self, rows: DataFrame, run: str, how: str) -> DataFrame:
+        other = self._read(run).withColumnRenamed("n", "_n")
+        return rows.hint("merge").join(other, "key", how).select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+
+    def two(self, a: str, b: str) -> DataFrame:
+        """key, n of two runs together, nothing shuffled."""
+        return self._joined(self._read(a), b, "full_outer")
+
+    def drop(self) -> None:
+        """Deletes the runs and texts of the index."""
+        for p in self.runs:
+            self._drop(p)
+        drop_folder(self.spark, self.folder)
+        self.runs, self.texts = [], []
+
     def append(self, docs: DataFrame) -> DataFrame:
         """Adds a batch: its anchors as a run of their own, merge-joined with the older runs, which are compacted if there are too many.
 
@@ -163,14 +202,9 @@ class FingerprintIndex:
         and short texts have none; repeated rows repeat; an empty batch gives an empty run. With keep_texts the texts are
         kept as well.
         """
-        new = self._write(anchor_counts(docs, self.window, self.gram))
-        mine = self._read([new])
-        if self.runs:
-            old = self._read(self.runs).groupBy("key").agg(F.sum("n").alias("_n")) if len(self.runs) > 1 else self._read(self.runs).withColumnRenamed("n", "_n")
-            met = mine.hint("merge").join(old, "key", "left").select("key", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-        else:
-            met = mine
-        repeats = written(met.filter("n > 1"), "repeats")
+        each = anchor_counts(docs, self.window, self.gram).repartition(self.buckets, "key")
+        new = self._write(each.groupBy("key").agg(F.sum("n").alias("n")))
+        repeats = written(self.met(new).filter("n > 1"), "repeats")
         if self.keep_texts:
             self._made += 1
             path = f"{self.folder}/texts-{self._made}"
@@ -182,17 +216,20 @@ class FingerprintIndex:
         return repeats
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        if len(self.runs) > 1:
-            merged = self._write(self._read(self.runs).groupBy("key").agg(F.sum("n").alias("n")))
-            for p in self.runs:
-                drop_folder(self.spark, p)
-            self.runs = [merged]
+        """Merges all runs into one, two at a time."""
+        while len(self.runs) > 1:
+            a, b, *rest = self.runs
+            whole = self._write(self.two(a, b))
+            self._drop(a)
+            self._drop(b)
+            self.runs = [whole, *rest]
 
     def repeated(self) -> DataFrame:
         """The anchors that occur twice or more in all batches (key, n), written."""
-        every = self._read(self.runs) if self.runs else self.spark.createDataFrame([], "key long, n long")
-        return written(every.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1") if len(self.runs) > 1 else every.filter("n > 1"), "repeated")
+        every = self._read(self.runs[0]) if self.runs else self.spark.createDataFrame([], "key long, n long")
+        for run in self.runs[1:]:
+            every = self._joined(every, run, "full_outer")
+        return written(every.filter("n > 1"), "repeated")
 
     def add_batch(self, docs: DataFrame) -> DataFrame:
         """Appends a batch and gives the rows of remove_repeats for it, judged against itself and all batches before it.
@@ -439,11 +476,20 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, keys: DataFrame | N
 
 
 def op2_substrings(spark, sf_dir: str, batches: int = 2) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All documents in batches: an anchor that repeats does so in the batch of its second place, so the merge joins together tell all that do.
+
+    Null texts have no words, repeated rows cover each other, an empty table gives an empty result; see remove_repeats.
+    """
+    docs, found = documents(spark, sf_dir), []
     index = FingerprintIndex(spark)
     for k in range(batches):
-        forget(index.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)))
-    return remove_repeats(docs, index).select("doc_id", "n_words", "n_removed", "kept_sha256")
+        found.append(index.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)))
+    keys = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.max("n").alias("n"))
+    out = remove_repeats(docs, index, keys).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    # The repeated windows are written by now.
+    forget(*found)
+    index.drop()
+    return out
 
 
 OP2_SQL = f"""
