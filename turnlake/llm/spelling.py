@@ -5,19 +5,29 @@ by replacing that place, and a group has no more words than the alphabet has let
 size and its two most frequent words, so it knows how many replacements it has there and which other word is the most
 frequent. A word with one place deleted joins the vocabulary; a hit tells both words of each other. Counts and best words
 of a word are then summed up over its groups and hits.
+
+A word of m letters has m groups and m deletions. Of words of more than LONG letters these are no texts but hashes of 127
+bits, each made from the one of the whole word, so that they take room in proportion to the word, not to its square.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, forget, written
+from .common import bounded_batches, documents, forget, written
 from .url_filters import LOWER, UPPER
 
 #: Fixed by the data's contract: what a run is, and which of them lose a letter.
 RUN_CLASS, DELETED = "A-Za-z\\u00C0-\\u00FF", 31
 LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
+#: Letters of words whose groups are texts at most.
+LONG = 64
+#: Hashes are polynomials of the letters at BASE, modulo a prime.
+PRIME, BASE = (1 << 127) - 1, 0x3C6EF372FE94F82BA54FF53A5F1D36F1
+#: Hashes that are sent on at a time.
+HASHES_AT_ONCE = 20_000
 
 
 def runs_of(text: Column, least: int = LEAST_LENGTH) -> Column:
@@ -56,6 +66,11 @@ def replacements(words: DataFrame) -> DataFrame:
     # One sign that no word has stands for the open place, so the key is place, prefix and suffix in one.
     key = F.concat(F.substring(F.col("word"), F.lit(1), F.col("place")), F.lit("*"), F.substring(F.col("word"), F.col("place") + 2, F.length("word")))
     rows = open_.select(key.alias("key"), "word", "n")
+    return _others(rows)
+
+
+def _others(rows: DataFrame) -> DataFrame:
+    """word, near, best from rows (key, word, n) of groups: for each word how many others its group has, and the most frequent of them."""
     order = Window.partitionBy("key").orderBy(F.desc("n"), "word")
     all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     top = F.struct("n", "word")
@@ -68,18 +83,79 @@ def deletions(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     """word, near, best, for both words of each hit of a word's deletions in the vocabulary."""
     cut = F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda k: without(F.col("word"), k)))
     longer = words.filter(F.length("word") > least_length).select(F.explode(cut).alias("short"), F.col("word").alias("long"), F.col("n").alias("long_n"))
-    hits = longer.join(words.select(F.col("word").alias("short"), F.col("n").alias("short_n")), "short")
+    return _told(longer.join(words.select(F.col("word").alias("short"), F.col("n").alias("short_n")), "short"))
+
+
+def _told(hits: DataFrame) -> DataFrame:
+    """word, near, best for both words of hits (short, short_n, long, long_n)."""
     both = F.array(F.struct(F.col("long").alias("word"), _rank(F.col("short_n"), F.col("short")).alias("best")), F.struct(F.col("short").alias("word"), _rank(F.col("long_n"), F.col("long")).alias("best")))
     return hits.select(F.explode(both).alias("x")).select("x.word", F.lit(1).cast("long").alias("near"), "x.best")
 
 
+def _hashes(word: str, only_whole: bool):
+    """(kind, hash) of a word: w, the whole; g, with each place open; d, with each place deleted (each hash once)."""
+    letters, up = [ord(c) for c in word], [1]
+    for _ in letters:
+        up.append(up[-1] * BASE % PRIME)
+    before = [0]
+    for c, u in zip(letters, up, strict=False):
+        before.append((before[-1] + c * u) % PRIME)
+    whole = before[-1]
+    yield "w", whole
+    if only_whole:
+        return
+    for c, u in zip(letters, up, strict=False):
+        yield "g", (whole - c * u) % PRIME
+    behind, last = 0, None
+    for k in range(len(letters) - 1, -1, -1):
+        # Deleting any letter of a run of equal ones gives the same word.
+        if letters[k] != last:
+            yield "d", (before[k] + behind * up[k]) % PRIME
+        behind, last = (letters[k] + behind * BASE) % PRIME, letters[k]
+
+
+def long_near(words: DataFrame) -> DataFrame:
+    """word, near, best of the pairs whose longer word has more than LONG letters. Words go by numbers in their order, and are named again at the end."""
+    bounded_batches(words.sparkSession)
+    few = words.filter(F.length("word") >= LONG)
+    numbered = written(few.orderBy("word").withColumn("id", F.monotonically_increasing_id()), "long")
+
+    def run(batches):
+        def sent(rows):
+            kind, key, id_, n = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.binary()), pa.array(id_, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "id", "n"])
+
+        rows = []
+        for batch in batches:
+            for word, n, id_ in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "id")), strict=True):
+                for kind, h in _hashes(word, len(word) <= LONG):
+                    rows.append((kind, (len(word) - (kind == "d")).to_bytes(8) + h.to_bytes(16), id_, n))
+                    if len(rows) >= HASHES_AT_ONCE:
+                        yield sent(rows)
+                        rows = []
+        if rows:
+            yield sent(rows)
+
+    keys = written(numbered.mapInArrow(run, "kind string, key binary, id long, n long"), "hashes")
+    groups = _others(keys.filter("kind = 'g'").select("key", F.col("id").alias("word"), "n"))
+    short = keys.filter("kind = 'w'").select("key", F.col("id").alias("short"), F.col("n").alias("short_n"))
+    hits = keys.filter("kind = 'd'").select("key", F.col("id").alias("long"), F.col("n").alias("long_n")).join(short, "key")
+    near = groups.unionByName(_told(hits)).groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
+    named = lambda c: numbered.select(F.col("id").alias(c), F.col("word").alias(f"_{c}"))
+    near = near.select("word", "near", F.col("best.less").alias("less"), F.col("best.word").alias("best")).join(named("word"), "word").join(named("best"), "best")
+    out = written(near.select(F.col("_word").alias("word"), "near", F.struct("less", F.col("_best").alias("word")).alias("best")), "long_near")
+    forget(numbered, keys)
+    return out
+
+
 def forms(words: DataFrame, least_length: int = LEAST_LENGTH, times: int = TIMES) -> DataFrame:
     """word, n, n_near, form and form_n of a vocabulary (word, n) with each word once.
 
     form is the near word of largest n, of equals the least in code-point order, if that n is `times` the word's or more;
     form_n is its n. Words shorter than least_length take part, but lose no letter to become a shorter one.
     """
-    near = replacements(words).unionByName(deletions(words, least_length))
+    short = words.filter(F.length("word") <= LONG)
+    near = replacements(short).unionByName(deletions(short, least_length)).unionByName(long_near(words))
     near = near.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
     out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.word").alias("_form"), (-F.col("best.less")).alias("_n"))
     ok = F.col("_n") >= times * F.col("n")

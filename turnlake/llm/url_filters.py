@@ -134,8 +134,11 @@ def merged(templates: DataFrame) -> DataFrame:
 
 
 def purities(templates: DataFrame, labelled: int, blocked: int) -> DataFrame:
-    """templates with purity: blocked among labelled urls of the merged template, smoothed by its parents up to the host and all urls."""
-    p = F.lit((blocked + 1.0) / (labelled + 2.0))
+    """templates with purity: blocked among labelled urls of the merged template, smoothed by its parents up to the host and all urls.
+
+    All urls count as half blocked at most, so that a host without labels is not rejected for the labels of others.
+    """
+    p = F.lit(min(0.5, (blocked + 1.0) / (labelled + 2.0)))
     keys = ["host", *MERGED, "more"]
     for k in range(1, len(keys) + 1):
         over = Window.partitionBy(*keys[:k])
@@ -202,7 +205,7 @@ l0 AS (SELECT {", ".join(SHAPE)}, count(*) AS n, count(rule) AS labelled, count(
         alike = f"apart * 100 <= {2 * APART_PERCENT} * (nn * nc) AND (lc = 0 OR (bc - lc * q) * (bc - lc * q) <= {ERRORS * ERRORS}::DOUBLE * (lc * (q * (1.0::DOUBLE - q))))"
         parts.append(f"v{k} AS (SELECT v.*, CASE WHEN {t} <> '' AND {alike} THEN '/~' ELSE {t} END AS {m} FROM v{k - 1} v JOIN h{k} USING ({', '.join([*parent, t])}))")
         parent.append(m)
-    p, keys = "(SELECT (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) FROM l0)", ["host", *MERGED, "more"]
+    p, keys = "(SELECT least(0.5::DOUBLE, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE)) FROM l0)", ["host", *MERGED, "more"]
     for k in range(1, len(keys) + 1):
         over = f"OVER (PARTITION BY {', '.join(keys[:k])})"
         parts.append(f"p{k} AS (SELECT *, (sum(blocked) {over} + {PARENT_WEIGHT}::DOUBLE * {p}) / (sum(labelled) {over} + {PARENT_WEIGHT}::DOUBLE) AS q{k} FROM {f'p{k - 1}' if k > 1 else f'v{LEVELS}'})")
