@@ -9,12 +9,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Rounds
+
 UNMATCHED, MOST_SCORE, SLOTS = -2, 1e15, 3
 
 
-def _choices() -> Column:
-    """All ways to give each slot the first, second or third of its best clusters, or none (0)."""
-    return F.array(*(F.struct(*(F.lit(k).alias(f"s{s}") for s, k in enumerate(c))) for c in itertools.product(range(SLOTS + 1), repeat=SLOTS)))
+def _choices(present: list[Column], most: Column) -> Column:
+    """The ways to give slots the first, second or third of their best clusters, or none (0): all slots that are there get one, unless there are fewer clusters."""
+    places = lambda mask: [range(1, SLOTS + 1) if m else (0,) for m in mask]
+    listed = lambda of: F.array(*(F.struct(*(F.lit(k).alias(f"s{s}") for s, k in enumerate(c))) for c in itertools.product(*of)))
+    out = listed([range(SLOTS + 1)] * SLOTS)
+    for mask in itertools.product((True, False), repeat=SLOTS):
+        here = most == sum(mask)
+        for p, m in zip(present, mask, strict=True):
+            here = here & (p if m else ~p)
+        out = F.when(here, listed(places(mask))).otherwise(out)
+    return out
 
 
 def assign_slots(soft: DataFrame) -> DataFrame:
@@ -26,7 +36,7 @@ def assign_slots(soft: DataFrame) -> DataFrame:
     at (see `by_paths`): only chunks with such ties are packed, and solved one by one. A NaN or null counts as the least
     score of its recording. Infinite scores fail with NonFinite, those beyond 1e15 with CostTooLarge, recordings of NaN
     alone with AllNaN. A slot of a chunk must have all clusters, each once, or none. An empty table gives an empty result;
-    other columns are ignored. soft is read twice, the second time for chunks with ties.
+    other columns are ignored. The winners are written, and soft is read again only where there are ties.
     """
     score = F.when(~F.isnan("soft"), F.col("soft").cast("double"))
     score = F.when(F.abs(score) == float("inf"), F.raise_error(F.lit("NonFinite")).cast("double")).when(F.abs(score) > MOST_SCORE, F.raise_error(F.lit("CostTooLarge")).cast("double")).otherwise(score)
@@ -39,8 +49,8 @@ def assign_slots(soft: DataFrame) -> DataFrame:
     cell = F.struct("k", "cluster", "v")
     of = [F.sort_array(F.collect_list(F.when(F.col("slot") == s, cell))).alias(f"b{s}") for s in range(SLOTS)]
     rows = best.groupBy("rec", "chunk").agg(*of, F.max("k").cast("int").alias("clusters"))
-    present = sum((F.when(F.size(f"b{s}") > 0, 1).otherwise(0) for s in range(SLOTS)), F.lit(0))
-    rows = rows.withColumn("most", F.least("clusters", present))
+    present = [F.size(f"b{s}") > 0 for s in range(SLOTS)]
+    rows = rows.withColumn("most", F.least("clusters", sum((p.cast("int") for p in present), F.lit(0))))
 
     def judged(c: Column) -> Column:
         got = [F.get(f"b{s}", c[f"s{s}"] - 1) for s in range(SLOTS)]
@@ -56,12 +66,21 @@ def assign_slots(soft: DataFrame) -> DataFrame:
         choice = F.struct(total.alias("total"), *(F.coalesce(t, F.lit(UNMATCHED)).cast("int").alias(f"c{s}") for s, t in enumerate(taken)))
         return F.when(fits & (matched == F.col("most")), choice)
 
-    judged_ = rows.select("rec", "chunk", F.array_compact(F.transform(_choices(), judged)).alias("choices")).withColumn("won", F.array_max("choices"))
-    won = judged_.select("rec", "chunk", F.coalesce("won", F.raise_error(F.lit("NoAssignment"))).alias("won"), (F.size(F.filter("choices", lambda c: c["total"] == F.col("won.total"))) > 1).alias("tied"))
+    # One pass over the choices, and explode, so that no filter makes them anew.
+    none = F.lit(None).cast("struct<total:double,c0:int,c1:int,c2:int>")
+    step = lambda acc, x: F.when(acc["best"].isNull() | (x["total"] > acc["best"]["total"]), F.struct(x.alias("best"), F.lit(False).alias("tied"))).when(x["total"] == acc["best"]["total"], F.struct(acc["best"].alias("best"), F.lit(True).alias("tied"))).otherwise(acc)
+    start = F.struct(none.alias("best"), F.lit(False).alias("tied"))
+    best = F.aggregate(F.array_compact(F.transform(_choices(present, F.col("most")), judged)), start, step)
+    won = rows.select("rec", F.col("chunk").cast("int").alias("chunk"), F.explode(F.array(best)).alias("w"))
+    won = won.select("rec", "chunk", F.coalesce("w.best", F.raise_error(F.lit("NoAssignment"))).alias("won"), "w.tied")
+    won = Rounds(soft.sparkSession, "assign").write(won)
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"won.c{s}").alias("cluster")) for s in range(SLOTS))))
-    clear = won.filter("NOT tied").select("rec", F.col("chunk").cast("int").alias("chunk"), each.alias("x")).select("rec", "chunk", "x.slot", "x.cluster")
-    tied = cells.join(won.filter("tied").select("rec", "chunk"), ["rec", "chunk"], "left_semi")
-    packed = tied.groupBy("rec", F.col("chunk").cast("int").alias("chunk")).agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), F.col("cluster").cast("int").alias("cluster"), "v")).alias("cells"))
+    clear = won.filter("NOT tied").select("rec", "chunk", each.alias("x")).select("rec", "chunk", "x.slot", "x.cluster")
+    ties = won.filter("tied").select("rec", "chunk")
+    if ties.isEmpty():
+        return clear
+    tied = cells.withColumn("chunk", F.col("chunk").cast("int")).join(ties, ["rec", "chunk"], "left_semi")
+    packed = tied.groupBy("rec", "chunk").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), F.col("cluster").cast("int").alias("cluster"), "v")).alias("cells"))
     return clear.unionByName(packed.mapInPandas(_solve, "rec long, chunk int, slot int, cluster int"))
 
 
