@@ -42,10 +42,11 @@ def same():
     """Asserts that a Spark result and a DuckDB query give the same rows."""
 
     def check(df, sql, duck):
-        want, got = duck.execute(sql).df(), df.toPandas()
-        columns = sorted(want.columns)
-        assert columns == sorted(got.columns)
-        rows = lambda x: sorted(tuple(map(str, r)) for r in x[columns].astype(object).itertuples(index=False))
-        assert rows(got) == rows(want)
+        found = duck.execute(sql)
+        columns = sorted(d[0] for d in found.description)
+        place = [[d[0] for d in found.description].index(c) for c in columns]
+        assert columns == sorted(df.columns)
+        want = sorted(tuple(str(r[k]) for k in place) for r in found.fetchall())
+        assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == want
 
     return check

@@ -87,6 +87,14 @@ class Projection:
         lda = np.linalg.qr(rng.normal(size=(dim, out)))[0]
         return Projection(np.zeros(dim), np.zeros(out), lda, np.zeros(out), np.linalg.qr(rng.normal(size=(out, out)))[0], np.sort(rng.uniform(0.5, 5, out))[::-1].copy())
 
+    @staticmethod
+    def cosines(dim: int, out: int) -> Projection:
+        """Stand-ins made by a rule: orthonormal cosine waves, small means, and variances that fall in equal steps."""
+        wave = lambda n, k: np.sqrt(2 / n) * np.cos(np.pi * (np.arange(n)[:, None] + 0.5) * np.asarray(k)[None] / n)
+        basis = wave(out, np.arange(out))
+        basis[:, 0] /= np.sqrt(2)
+        return Projection(np.cos(np.arange(dim)) / 100, np.sin(np.arange(out)) / 100, wave(dim, np.arange(1, out + 1)), np.cos(np.arange(out)) / 10, basis, 5 - 4.5 * np.arange(out) / out)
+
     @staticmethod
     def derive(tr: np.ndarray, psi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Directions and variances (descending) that make both covariances diagonal: within is whitened, then between is rotated."""

@@ -456,12 +456,22 @@ def spectral_labels(spark, sf_dir):
 
 
 def _weights() -> Projection:
-    return Projection.orthonormal(64, 32)
+    return Projection.cosines(64, 32)
 
 
-@query()
+_PLDA_SQL = VEC_SQL + """, dm AS (SELECT d, cos(d) / 100 AS m1 FROM range(64) t(d)), om AS (SELECT o, sin(o) / 100 AS m2, cos(o) / 10 AS mu FROM range(32) t(o)),
+x0 AS (SELECT rec, i, vec_id, unnest(e) AS x, unnest(range(64)) AS d FROM v), x1 AS (SELECT rec, i, vec_id, d, x - m1 AS x FROM x0 JOIN dm USING (d)), n1 AS (SELECT rec, i, sqrt(sum(x * x)) AS n FROM x1 GROUP BY rec, i),
+la AS (SELECT d, o, sqrt(2 / 64.0::DOUBLE) * cos(pi() * (d + 0.5::DOUBLE) * (o + 1) / 64) AS w FROM range(64) t(d), range(32) s(o)),
+y0 AS (SELECT rec, i, vec_id, o, sqrt(64.0::DOUBLE) * sum(x / n * w) AS y FROM x1 JOIN n1 USING (rec, i) JOIN la USING (d) GROUP BY ALL), y1 AS (SELECT rec, i, vec_id, o, y - m2 AS y, mu FROM y0 JOIN om USING (o)),
+n2 AS (SELECT rec, i, sqrt(sum(y * y)) AS n FROM y1 GROUP BY rec, i), y2 AS (SELECT rec, i, vec_id, o, sqrt(32.0::DOUBLE) * y / n - mu AS y FROM y1 JOIN n2 USING (rec, i)),
+ba AS (SELECT o, k, sqrt(2 / 32.0::DOUBLE) * cos(pi() * (o + 0.5::DOUBLE) * k / 32) / CASE WHEN k = 0 THEN sqrt(2.0::DOUBLE) ELSE 1 END AS w FROM range(32) t(o), range(32) s(k)),
+pj AS (SELECT rec, i, vec_id, k, sum(y * w) AS x FROM y2 JOIN ba USING (o) GROUP BY rec, i, vec_id, k)"""
+
+
+@query(f"WITH {_PLDA_SQL} SELECT rec, i, vec_id, CAST(k AS INTEGER) AS k, round(x, 6) + 0 AS x FROM pj")
 def plda_project(spark, sf_dir):
-    return project(vecs(spark, sf_dir).select("rec", "i", "vec_id", "embedding"), _weights()).select("rec", "i", "vec_id", "x")
+    x = project(vecs(spark, sf_dir).select("rec", "i", "vec_id", "embedding"), _weights())
+    return x.select("rec", "i", "vec_id", F.posexplode("x").alias("k", "x")).withColumn("x", F.round("x", 6) + 0)
 
 
 @query()
@@ -503,16 +513,38 @@ def vbx_rounds(spark, sf_dir):
     return each.select("rec", "i", "cluster", F.round("x.g", 6).alias("gamma"), F.round("x.w", 6).alias("pi"), F.round("bound", 4).alias("bound"))
 
 
-@query()
-def online_assign(spark, sf_dir):
-    return C.online_assign(vecs(spark, sf_dir).withColumn("duration", (F.col("vec_id") % 5).cast("double") / 2), speaker_threshold=0.84, embedding_threshold=0.56)
+_UNIT = "list_transform({0}, lambda y: y * (1 / greatest(sqrt(list_dot_product({0}, {0})), 1e-12::DOUBLE)))"
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC_SQL}, vu AS (SELECT rec, i, vec_id, {_UNIT.format("e")} AS u, (vec_id % 5) / 2.0::DOUBLE AS dur FROM v),
+o AS (SELECT DISTINCT rec, CAST(-1 AS INTEGER) AS i, NULL::BIGINT AS vec_id, []::DOUBLE[][] AS c, []::DOUBLE[][][] AS h, NULL::VARCHAR AS decision, NULL::BIGINT AS speaker FROM v
+  UNION ALL SELECT rec, i, vec_id, CASE WHEN close_ THEN list_transform(c, lambda x, j: CASE WHEN j = k THEN {_UNIT.format("mixed_")} ELSE x END) WHEN decision = 'new' THEN list_append(c, u) ELSE c END,
+    CASE WHEN close_ THEN list_transform(h, lambda x, j: CASE WHEN j = k THEN hk ELSE x END) WHEN decision = 'new' THEN list_append(h, [u]) ELSE h END, decision, CASE decision WHEN 'existing' THEN k WHEN 'new' THEN len(c) + 1 END
+  FROM (SELECT *, list_transform(range(1, 65), lambda d: 0.9::DOUBLE * um[d] + 0.1::DOUBLE * u[d]) AS mixed_ FROM (SELECT *, {_UNIT.format("mean_")} AS um FROM (
+    SELECT *, CASE WHEN close_ THEN list_transform(range(1, 65), lambda d: list_sum(list_transform(hk, lambda w: w[d])) / len(hk)) ELSE u END AS mean_ FROM (
+      SELECT *, CASE WHEN len(h[k]) >= 50 THEN list_append(h[k][2:], u) ELSE list_append(h[k], u) END AS hk, dm < 0.56 AND list_dot_product(u, u) > 0.01 AS close_, CASE WHEN dm < 0.84 THEN 'existing' WHEN dur >= 1 THEN 'new' ELSE 'dropped' END AS decision FROM (
+        SELECT *, coalesce(list_min(ds), 9) AS dm, coalesce(list_position(ds, list_min(ds)), 0) AS k FROM (
+          SELECT o.rec, n.i, n.vec_id, n.u, n.dur, o.c, o.h, list_transform(o.c, lambda x: 1 - greatest(-1, least(1, list_dot_product(x, n.u)))) AS ds FROM o JOIN vu n ON n.rec = o.rec AND n.i = o.i + 1)))))))
+SELECT rec, vec_id, decision, coalesce(speaker, 0) AS speaker FROM o WHERE i >= 0""")
+def online_assign(spark, sf_dir):
+    """Speakers count from 1; a vector that is dropped has 0."""
+    out = C.online_assign(vecs(spark, sf_dir).withColumn("duration", (F.col("vec_id") % 5).cast("double") / 2), speaker_threshold=0.84, embedding_threshold=0.56)
+    return out.withColumn("speaker", F.coalesce("speaker", F.lit(0)).cast("long"))
+
+
+@query(f"""WITH {VEC_SQL}, fr AS (SELECT vec_id, f, k, e[(f * 160 + k) % 64 + 1] * 32768 AS x FROM v, range(2) a(f), range(400) b(k)), mn AS (SELECT vec_id, f, avg(x) AS m FROM fr GROUP BY vec_id, f),
+ce AS (SELECT vec_id, f, k, x - m AS x FROM fr JOIN mn USING (vec_id, f)), pe AS (SELECT vec_id, f, k, (x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY vec_id, f ORDER BY k), x)) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 399)) AS x FROM ce),
+tw AS (SELECT b, k, cos(2 * pi() * (b * k % 512) / 512) AS c, sin(2 * pi() * (b * k % 512) / 512) AS s FROM range(256) t(b), range(400) u(k)),
+pw AS (SELECT vec_id, f, b, pow(sum(x * c), 2) + pow(sum(x * s), 2) AS p FROM pe JOIN tw USING (k) GROUP BY vec_id, f, b),
+ed AS (SELECT j, 1127.0::DOUBLE * ln(1 + 20 / 700.0::DOUBLE) + j * (1127.0::DOUBLE * ln(1 + 8000 / 700.0::DOUBLE) - 1127.0::DOUBLE * ln(1 + 20 / 700.0::DOUBLE)) / 81 AS m FROM range(82) t(j)),
+bk AS (SELECT lo.j AS mel, b, greatest(0, least((at_ - lo.m) / (mi.m - lo.m), (hi.m - at_) / (hi.m - mi.m))) AS w FROM (SELECT b, 1127.0::DOUBLE * ln(1 + b * 31.25::DOUBLE / 700) AS at_ FROM range(256) t(b)), ed lo JOIN ed mi ON mi.j = lo.j + 1 JOIN ed hi ON hi.j = lo.j + 2),
+en AS (SELECT vec_id, f, mel, ln(greatest(sum(p * w), pow(2.0::DOUBLE, -23))) AS l FROM pw JOIN bk USING (b) WHERE w > 0 GROUP BY vec_id, f, mel)
+SELECT vec_id AS clip_id, CAST(f AS INTEGER) AS frame, CAST(mel AS INTEGER) AS mel, round(CAST(CAST(l - avg(l) OVER (PARTITION BY vec_id, mel) AS FLOAT) AS DOUBLE), 4) + 0 AS energy FROM en""")
 def fbank_frames(spark, sf_dir):
     """Vectors as sound: each one ten times over is a clip of 640 samples."""
     clips = vecs(spark, sf_dir).select(F.col("vec_id").alias("clip_id"), F.flatten(F.array_repeat("embedding", 10)).alias("samples"))
-    return filter_banks(clips)
+    each = filter_banks(clips).select("clip_id", "frame", F.posexplode("mels").alias("mel", "energy"))
+    return each.withColumn("energy", F.round(F.col("energy").cast("double"), 4) + 0)
 
 
 @query()
