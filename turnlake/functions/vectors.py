@@ -37,6 +37,11 @@ def axpy(y: Column, alpha: float, x: Column) -> Column:
     return F.zip_with(y, x, lambda p, q: p + F.lit(alpha) * q)
 
 
+def axpy_float(y: Column, alpha: float, x: Column) -> Column:
+    """y + alpha * x in single precision, element by element."""
+    return F.zip_with(y, x, lambda p, q: p.cast("float") + F.lit(alpha).cast("float") * q.cast("float"))
+
+
 def sum_squares(a: Column) -> Column:
     return _sum(F.transform(a, lambda x: x.cast("double") * x.cast("double")))
 
@@ -54,6 +59,12 @@ def normalized(a: Column, n: Column, least: float = NORM_EPSILON) -> Column:
     return F.when(F.isnan(n) | (n == float("inf")) | (n < least), None).otherwise(F.transform(a, lambda x: x / n))
 
 
+def checked_unit(a: Column, n: Column, least: float = NORM_EPSILON) -> Column:
+    """a / n, or an error for an entry that isn't finite (NonFinite) and a norm n below `least` (DegenerateInput)."""
+    fault = F.when(F.isnan(n) | (n == float("inf")), "NonFinite").when(n < least, "DegenerateInput")
+    return F.when(fault.isNotNull(), F.raise_error(fault).cast("array<double>")).otherwise(F.transform(a, lambda x: x / n))
+
+
 def clamped_unit(a: Column, n: Column, least: float = NORM_EPSILON) -> Column:
     """a times the reciprocal of its norm, taken as `least` or more."""
     return F.transform(a, lambda x: x * (1 / F.greatest(n, F.lit(least))))

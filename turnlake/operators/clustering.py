@@ -66,15 +66,18 @@ def agglomerate(x: np.ndarray, threshold: float = 0.5, linkage: str = "average",
 def centroid_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
     """Steps (a, b, height) of centroid linkage over Euclidean distances; step k makes cluster n + k.
 
-    Each row remembers its nearest other row; a merge looks again only for those whose nearest has gone.
+    Each row remembers its nearest other row. Where that has gone, the old distance is a lower bound, and the row is looked
+    at again only when no other row has less.
     """
     n = len(x)
     d2 = np.stack([((x - v) ** 2).sum(axis=1) for v in x])
     np.fill_diagonal(d2, np.inf)
     size, name, out = np.ones(n), np.arange(n), []
-    near, height = d2.argmin(axis=1), d2.min(axis=1)
+    near, height, stale = d2.argmin(axis=1), d2.min(axis=1), np.zeros(n, bool)
     for k in range(n - 1):
-        a = int(height.argmin())
+        while stale[a := int(height.argmin())]:
+            near[a] = int(d2[a].argmin())
+            height[a], stale[a] = d2[a, near[a]], False
         a, b = sorted((a, int(near[a])))
         h2, na, nb = d2[a, b], size[a], size[b]
         row = (na * d2[a] + nb * d2[b]) / (na + nb) - na * nb * h2 / (na + nb) ** 2
@@ -85,10 +88,10 @@ def centroid_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
         size[a], name[a] = na + nb, n + k
         height[b] = np.inf
         closer = row < height
-        near[closer], height[closer] = a, row[closer]
-        for i in np.flatnonzero(((near == a) & ~closer) | (near == b)).tolist() + [a]:
-            near[i] = int(d2[i].argmin())
-            height[i] = d2[i, near[i]]
+        stale |= ((near == a) | (near == b)) & ~closer
+        near[closer], height[closer], stale[closer] = a, row[closer], False
+        near[a] = int(row.argmin())
+        height[a], stale[a] = row[near[a]], False
     return out
 
 

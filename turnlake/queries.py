@@ -150,6 +150,20 @@ def axpy_sum(spark, sf_dir):
     return both.select("vec_id", F.round(F.aggregate(V.axpy(F.col("e"), 2.5, F.col("x")), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+@query(f"WITH {VEC_SQL}, p AS (SELECT a.vec_id, list_transform(list_zip(a.e, b.e), lambda z: CAST(z[1] AS FLOAT) + CAST(2.7 AS FLOAT) * CAST(z[2] AS FLOAT)) AS y FROM v a JOIN v b ON b.vec_id = a.vec_id + 1) SELECT vec_id, CAST(y[1] AS DOUBLE) AS first, CAST(y[64] AS DOUBLE) AS last FROM p")
+def axpy_single(spark, sf_dir):
+    v = vecs(spark, sf_dir).select("vec_id", "embedding")
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("x")), "vec_id").select("vec_id", V.axpy_float(F.col("embedding"), 2.7, F.col("x")).alias("y"))
+    return both.select("vec_id", F.col("y")[0].cast("double").alias("first"), F.col("y")[63].cast("double").alias("last"))
+
+
+@query(f"WITH {VEC_SQL}, n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / n)), 6) + 0 AS total FROM n")
+def vec_checked_unit(spark, sf_dir):
+    n = vecs(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("n", V.norm(F.col("e")))
+    u = n.withColumn("u", V.checked_unit(F.col("e"), F.col("n"), 0.01))
+    return u.select("vec_id", (F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6) + 0).alias("total"))
+
+
 _SOFT = VEC_SQL + ", l AS (SELECT vec_id, list_transform(e[1:7], lambda x: x * 10) AS x FROM v), s AS (SELECT vec_id, x, list_transform(x, lambda y: exp(y) / list_sum(list_transform(x, lambda z: exp(z)))) AS p FROM l)"
 
 
@@ -550,7 +564,7 @@ def fbank_frames(spark, sf_dir):
 @query()
 def diarize_e2e(spark, sf_dir):
     s, emb = seg(spark, sf_dir), _slot_vectors(spark, sf_dir)
-    return D.diarize(s, emb, sizes(spark, sf_dir), SIZE, CHUNK_STEP, FSTEP, FDUR, _weights(), ONSET, GAP, None, threshold=1.05, rounds=3)
+    return D.diarize(s, emb, sizes(spark, sf_dir), SIZE, CHUNK_STEP, FSTEP, FDUR, _weights(), D.DiarizeOptions(onset=ONSET, min_duration_off=GAP, threshold=1.05, rounds=3))
 
 
 #: Scores of windows: a label's vectors, seven values a frame and nine frames a window, every four frames.
