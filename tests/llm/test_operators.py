@@ -129,6 +129,47 @@ def test_recall_on_reparameterised_copies(spark):
     assert {k for k in got if k[0] == k[1]} == {(k, k) for k in range(60)} and len(got) == 60
 
 
+def test_units_names_and_number_words_change_freely(spark):
+    item = "A truck with Maria inside drives 60 kilometers along the river and rests, then Maria drives 4 kilometers back, so how far is she from home?"
+    copies = [
+        item.replace("60 kilometers", "37 miles").replace("4 kilometers", "2 miles"),
+        *(item.replace("Maria", n) for n in ("McDonald", "IBM", "Mary Ann", "Jean-Luc Picard", "O'Neil")),
+        item.replace("60", "twenty").replace("4", "seven"),
+        item.replace("Maria", "Mary Ann").replace("60 kilometers", "thirty furlongs").replace("4 kilometers", "two furlongs"),
+        item,
+    ]
+    got = kinds(spark, [item], copies)
+    assert {k: v[0] for k, v in got.items()} == {(k, 0): "reparameterised" if k < 8 else "exact" for k in range(9)}
+    # The second unit is another one than the first: their windows contradict each other, and no other holds.
+    assert kinds(spark, ["walk 60 miles then 4 miles and then 5 miles"], ["walk 60 miles then 4 feet and then 5 yards"]) == {}
+
+
+def test_a_part_of_an_item_is_not_called_exact(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    got = kinds(spark, [" ".join(words)], [" ".join(words), " ".join(words[:30]), " ".join([*words[:20], "other", *words[20:]])])
+    assert {k[0]: v[0] for k, v in got.items()} == {0: "exact", 1: "partial", 2: "partial"}
+
+
+def test_recall_on_copies_of_every_change(spark):
+    """Numbers as digits and words, units of many kinds, names of many forms, all changed at once: nine of ten are found, and nothing else."""
+    rng = random.Random(12)
+    names = ["Anna", "McAdam", "IBM", "Mary Ann", "DeVito", "Jo Lee Kim", "NATO", "Farid"]
+    numbers = ["12", "3.5", "1,200", "seven", "forty", "nineteen", "88", "dozen"]
+    units = ["miles", "kilometers", "parsecs", "loaves", "zlotys", "acres", "bushels", "pixels"]
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 7)))
+    items, copies = [], []
+    for _ in range(60):
+        body = [word() for _ in range(44)]
+        for at in rng.sample(range(0, 44, 4), 6):
+            body[at] = rng.choice(["{a} {u}", "{b} {v}", "{n}", "{m}"])
+        pick = lambda x: rng.sample(x, 4)
+        (a, b, c, d), (u, v, w, x), (n, m, k, j) = pick(numbers), pick(units), pick(names)
+        items.append(" ".join(body).format(a=a, b=b, u=u, v=v, n=n, m=m))
+        copies.append(" ".join(body).format(a=c, b=d, u=w, v=x, n=k, m=j))
+    got = kinds(spark, items, copies)
+    assert len({k for k in got if k[0] == k[1]}) >= 54 and len({k for k in got if k[0] != k[1]}) == 0
+
+
 def test_rows_of_one_id_are_judged_each(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     b = spark.createDataFrame([(1, item)], "item_id long, text string")

@@ -4,7 +4,7 @@ Numbers, names and units become typed placeholders, so that a question and a re-
 template. Windows of templates are hash-joined with those of the benchmark. Where windows of a document and an item line up,
 their slot values must agree: one value of the item always became the same value of the document, and no two became one;
 windows with a slot that breaks this don't count. All of it is built-in functions: one regular expression takes a text
-apart, and a token's type follows from the token itself (a unit's also from the number before it), not from the text around.
+apart, and a token's type follows from the token itself and its neighbours.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ BROADCAST_WINDOWS = 1_000_000
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: A number with its separators, or a run of letters and other digits.
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|(?:\p{L}|[^\P{N}0-9])+"
-#: Words that are units after a number.
-UNITS = (
-    "km kg cm mm mg ml m g l t lb lbs oz ft feet foot inch inches mile miles yard yards hour hours minute minutes second seconds day days week weeks "
-    "month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees litre litres liter liters meter meters metre metres watt watts volt volts"
+#: Words that are numbers (not "one", which is as often a pronoun).
+NUMBER_WORDS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
 ).split()
-#: A name is a word with a capital first letter and small ones after it; these words are none, as they often start a sentence.
+#: Words that are neither names with a capital letter, as they often start a sentence, nor units after a number.
 NO_NAMES = (
     "a an and are as at but by can did do does each every find for from given had has have he her his how i if in is it its let my no not of on one or our she so some "
     "that the their then there these they this to was we were what when where which who why will with you your"
@@ -41,17 +41,29 @@ def _starts_with_digit(w: Column) -> Column:
     return (w >= F.lit("0")) & (w < F.lit(":"))
 
 
-def _typed(raw: Column) -> Column:
-    """Tokens with their types: those of a slot begin with it, and the rest is its value. raw is a column of its own, as each token reads it."""
-    first = lambda w: F.substring(w, 1, 1)
+def _shape(w: Column) -> Column:
+    """What a token looks like: n for a number, s for a word that is no name and no unit (S in capitals), A for capitals only, a for some, '' for none."""
+    low, high = F.lower(w), F.upper(w) == w
+    stop = F.when(high & (F.length(w) > 1), "S").otherwise("s")
+    return F.when(_starts_with_digit(w) | low.isin(*NUMBER_WORDS), "n").when(low.isin(*NO_NAMES), stop).when(low != w, F.when(high, "A").otherwise("a")).otherwise("")
+
+
+def _typed() -> Column:
+    """The tokens of _raw with their types, from _shape: those of a slot begin with it, and the rest is its value.
+
+    A number is written in digits or as a word; a unit is any word right behind a number; a name has a capital letter (one
+    in capitals only is none if the token before or behind is so too: that is shouting).
+    """
+    at = lambda i: F.coalesce(F.get("_shape", i), F.lit(""))
 
     def typed(w: Column, i: Column) -> Column:
-        low = F.lower(w)
-        after_number = _starts_with_digit(F.coalesce(F.get(raw, i - 1), F.lit("")))
-        word = F.when(low.isin(*UNITS) & after_number, F.concat(F.lit(UNIT), low)).when((F.lower(first(w)) != first(w)) & (F.substring(w, 2, 1 << 30) == F.substring(low, 2, 1 << 30)) & (w != F.upper(w)) & ~low.isin(*NO_NAMES), F.concat(F.lit(NAME), low)).otherwise(low)
-        return F.when(_starts_with_digit(w), F.concat(F.lit(NUMBER), w)).otherwise(word)
+        own, low = F.get("_shape", i), F.lower(w)
+        loud = lambda j: at(j).isin("A", "S")
+        name = (own == "a") | ((own == "A") & ~loud(i - 1) & ~loud(i + 1))
+        kind = F.when(own == "n", NUMBER).when((F.lower(own) != "s") & (at(i - 1) == "n"), UNIT).when(name, NAME).otherwise("")
+        return F.concat(kind, low)
 
-    return F.transform(raw, typed)
+    return F.transform("_raw", typed)
 
 
 def _is_slot(token: Column) -> Column:
@@ -61,7 +73,11 @@ def _is_slot(token: Column) -> Column:
 def _templates(df: DataFrame, *columns: str) -> DataFrame:
     """_tokens; _plain, the hash of each with slots by their type; and _slot_at, the places of slots."""
     out = df.select(*columns, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("_raw"))
-    out = out.select(*columns, _typed(F.col("_raw")).alias("_tokens"))
+    out = out.withColumn("_shape", F.transform("_raw", _shape))
+    out = out.select(*columns, _typed().alias("_typed"))
+    # A name of several parts is one slot, known by the first.
+    first = lambda w, i: ~(w.startswith(NAME) & F.coalesce(F.get("_typed", i - 1).startswith(NAME), F.lit(False)))
+    out = out.select(*columns, F.filter("_typed", first).alias("_tokens"))
     out = out.withColumn("_slot_at", F.array_compact(F.transform("_tokens", lambda w, i: F.when(_is_slot(w), i))))
     return out.withColumn("_plain", F.transform("_tokens", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))))
 
@@ -100,7 +116,8 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """_row, doc_id, item_id, n_windows, item_windows, n_slots, n_changed, longest_run, kind of each leaked item of each row of docs.
 
-    kind is exact if all slot values that line up are equal, else reparameterised. Windows line up if they are equally far
+    kind is exact if one run of windows without a changed value covers the item, reparameterised if a value has changed, else
+    partial. Windows line up if they are equally far
     from each other in both texts; those that hold a contradictory slot value don't count. longest_run is the most
     neighbouring windows without a changed value. Null and empty texts have no window; items without a word and items with
     a null id are ignored, repeated items count once; repeated rows are judged alike; empty tables give an empty result; a
@@ -150,7 +167,7 @@ def _leaks(numbered: DataFrame, benchmark: DataFrame, window: int, broadcast_win
     total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
     out = lines.groupBy("_row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.max("item_windows").alias("item_windows"), total("n_windows"), total("n_slots"), total("n_changed"), F.max("longest_run").alias("longest_run"))
     out = out.filter((100 * F.col("n_windows") >= LEAST_PERCENT * F.col("item_windows")) | (F.col("n_windows") >= LEAST_WINDOWS) | (F.col("longest_run") >= LEAST_RUN))
-    return out.withColumn("kind", F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised"))
+    return out.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").when(F.col("longest_run") >= F.col("item_windows"), "exact").otherwise("partial"))
 
 
 def _with_slots(met: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -189,16 +206,20 @@ for _put, _sep in ((4, "."), (5, ",")) * 2:
     _SQL_CUT = f"regexp_replace({_SQL_CUT}, '([0-9])[{_sep}]([0-9])', '\\1' || chr({_put}) || '\\2', 'g')"
 _SQL_CUT = f"regexp_replace({_SQL_CUT}, '([0-9][0-9\\x04\\x05]*)', ' \\1 ', 'g')"
 _SQL_CUT = f"list_filter(string_split_regex({_SQL_CUT}, '[^\\p{{L}}\\p{{N}}\\x04\\x05]+'), lambda w: w <> '')"
-_SQL_TYPED = f"""list_transform(ws, lambda w, i: CASE WHEN ascii(w) BETWEEN 48 AND 57 THEN chr(2) || replace(replace(w, chr(4), '.'), chr(5), ',')
-  WHEN lower(w) IN {_sql_list(UNITS)} AND i > 1 AND ascii(ws[i - 1]) BETWEEN 48 AND 57 THEN chr(3) || lower(w)
-  WHEN lower(w[1]) <> w[1] AND w[2:] = lower(w[2:]) AND w <> upper(w) AND lower(w) NOT IN {_sql_list(NO_NAMES)} THEN chr(1) || lower(w) ELSE lower(w) END)"""
+_SQL_SHAPE = f"""list_transform(ws, lambda w: CASE WHEN ascii(w) BETWEEN 48 AND 57 OR lower(w) IN {_sql_list(NUMBER_WORDS)} THEN 'n' WHEN lower(w) IN {_sql_list(NO_NAMES)} THEN CASE WHEN upper(w) = w AND length(w) > 1 THEN 'S' ELSE 's' END
+  WHEN lower(w) <> w AND upper(w) = w THEN 'A' WHEN lower(w) <> w THEN 'a' ELSE '' END)"""
+_SQL_TYPED = f"""list_transform(ws, lambda w, i: CASE WHEN sh[i] = 'n' THEN chr(2) || replace(replace(lower(w), chr(4), '.'), chr(5), ',')
+  WHEN lower(sh[i]) <> 's' AND i > 1 AND sh[i - 1] = 'n' THEN chr(3) || lower(w)
+  WHEN sh[i] = 'a' OR (sh[i] = 'A' AND (i = 1 OR sh[i - 1] NOT IN ('A', 'S')) AND (i = len(sh) OR sh[i + 1] NOT IN ('A', 'S'))) THEN chr(1) || lower(w) ELSE lower(w) END)"""
+#: Names right behind names go.
+_SQL_TOKENS = "list_filter(ty, lambda w, i: NOT (w[1] = chr(1) AND i > 1 AND ty[i - 1][1] = chr(1)))"
 #: The text that stands for a window of the tokens x: types for values, if enough tokens are plain.
 _SQL_WIN = f"""md5(array_to_string(CASE WHEN len(list_filter(x, lambda w: w >= chr(4))) >= least(n, {LEAST_PLAIN}) THEN list_transform(x, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) ELSE x END, ' '))"""
 _SQL_TEN = f"list(w) OVER (PARTITION BY {{}} ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)"
 OP5_SQL = f"""
-WITH dc AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_CUT} AS ws FROM documents), dt AS (SELECT r, doc_id, {_SQL_TYPED} AS tok FROM dc),
-bc AS (SELECT DISTINCT item_id, {_SQL_CUT} AS ws FROM benchmark WHERE item_id IS NOT NULL),
-bt AS (SELECT row_number() OVER () AS b, item_id, {_SQL_TYPED} AS tok, least(len(ws), {WINDOW}) AS n FROM bc WHERE len(ws) > 0),
+WITH da AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_CUT} AS ws FROM documents), db AS (SELECT *, {_SQL_SHAPE} AS sh FROM da), dc AS (SELECT r, doc_id, {_SQL_TYPED} AS ty FROM db), dt AS (SELECT r, doc_id, {_SQL_TOKENS} AS tok FROM dc),
+ba AS (SELECT DISTINCT item_id, {_SQL_CUT} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE item_id IS NOT NULL), bb AS (SELECT *, {_SQL_SHAPE} AS sh FROM ba), bc AS (SELECT item_id, {_SQL_TYPED} AS ty FROM bb), bd AS (SELECT item_id, {_SQL_TOKENS} AS tok FROM bc),
+bt AS (SELECT row_number() OVER () AS b, item_id, tok, least(len(tok), {WINDOW}) AS n FROM bd WHERE len(tok) > 0),
 bu AS (SELECT b, item_id, n, len(tok) - n + 1 AS item_windows, unnest(tok) AS w, unnest(range(len(tok))) AS p FROM bt),
 bx AS (SELECT item_id, n, item_windows, p, {_SQL_TEN.format("b")} AS x FROM bu),
 b AS (SELECT item_id, n, p, item_windows, {_SQL_WIN} AS win, list_filter(x, lambda w: w < chr(4)) AS bs FROM bx WHERE len(x) = n),
@@ -215,6 +236,6 @@ sl AS (SELECT r, item_id, off, count(*) AS n_slots, count(*) FILTER (v <> u) AS
 ln AS (SELECT r, item_id, off, max(item_windows) AS item_windows, count(*) AS n_windows FROM gd GROUP BY ALL),
 o AS (SELECT r, item_id, CAST(sum(n_windows) AS BIGINT) AS n_windows, CAST(max(item_windows) AS BIGINT) AS item_windows, CAST(sum(coalesce(n_slots, 0)) AS BIGINT) AS n_slots,
   CAST(sum(coalesce(n_changed, 0)) AS BIGINT) AS n_changed, CAST(max(coalesce(longest, 0)) AS BIGINT) AS longest_run FROM ln LEFT JOIN sl USING (r, item_id, off) LEFT JOIN ru USING (r, item_id, off) GROUP BY r, item_id)
-SELECT doc_id, item_id, n_windows, item_windows, n_slots, n_changed, longest_run, CASE WHEN n_changed = 0 THEN 'exact' ELSE 'reparameterised' END AS kind
+SELECT doc_id, item_id, n_windows, item_windows, n_slots, n_changed, longest_run, CASE WHEN n_changed > 0 THEN 'reparameterised' WHEN longest_run >= item_windows THEN 'exact' ELSE 'partial' END AS kind
 FROM o JOIN dt USING (r) WHERE 100 * n_windows >= {LEAST_PERCENT} * item_windows OR n_windows >= {LEAST_WINDOWS} OR longest_run >= {LEAST_RUN}
 """
