@@ -318,4 +318,5 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """All whole texts of documents, encoded and decoded. Null and empty texts have no tokens, a word may be of any length, repeated rows give repeated rows, an empty table an empty result; ids are long or null."""
     return bpe_digests(documents(spark, sf_dir))

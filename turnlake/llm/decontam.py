@@ -191,6 +191,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:
+    """Each document and item of benchmark that leaks into it, by whole texts. Null and empty texts and items have no window, repeated rows are judged alike, empty tables give an empty result; see leaks."""
     found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed", "longest_run")), "kind")
 

@@ -152,6 +152,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:
+    """A language for each document. A null text and one without letters is `und` with score 0, repeated rows are judged alike, texts may be of any length, an empty table gives an empty result."""
     docs = documents(spark, sf_dir)
     held_out = id_remainder(F.col("doc_id"), 4) == 2
     unit = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)

@@ -15,7 +15,7 @@ groups are looked for in all lists, so a group of many copies never makes all it
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ BLOCK = 2000
 BROADCAST_PAIRS = 1_000_000
 #: The marks of so many dropped rows are broadcast at most (8 bytes each); beyond, the rows are joined to the kept marks by a shuffle.
 BROADCAST_MARKS = 2_000_000
+#: Shares into which the pairs of two parts are dealt; the best of each is verified before the others.
+PARTS_OF_PAIRS = 64
 #: Pairs that are sent on at a time.
 PAIRS_AT_ONCE = 20_000
 #: Texts, and positions, that are multiplied at a time.
@@ -292,20 +294,27 @@ def similar_parts(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE, lea
     placed = written(placed, "placed")
     far = written(far_pairs(placed, least_percent), "far")
     forget(placed)
-    # One link joins two parts, so of each two parts the pair that shares most is verified first, and the others only if
-    # the parts are still apart after that.
-    first = far.groupBy("pa", "pb").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("x")).select("x.*")
-    links = verified(first, texts, shingle, least_percent)
-    now = components(near.unionByName(links))
-    apart = far.select("pa", "pb").distinct()
-    for side in ("pa", "pb"):
-        apart = apart.join(now.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
-    apart = written(apart.filter("coalesce(_pa, pa) <> coalesce(_pb, pb)").select("pa", "pb"), "apart")
-    rest = far.join(apart, ["pa", "pb"], "left_semi").join(first, ["a", "b"], "left_anti").select("a", "b")
-    more = verified(rest, texts, shingle, least_percent) if not apart.isEmpty() else links
-    out = components(near.unionByName(links).unionByName(more)) if more is not links else now
-    forget(near, far, links, apart, *([more] if more is not links else []))
-    return out
+    # One link joins two parts, so of each two parts the pair that shares most is verified first, then the best of each
+    # PARTS_OF_PAIRS shares of their pairs, and all others only if the parts are still apart after that.
+    best = F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("x")
+    first = far.groupBy("pa", "pb").agg(best).select("pa", "pb", "x.*")
+    some = far.groupBy("pa", "pb", F.pmod(F.xxhash64("a", "b"), F.lit(PARTS_OF_PAIRS)).alias("_part")).agg(best).select("pa", "pb", "x.*")
+    links = [near, verified(first.select("a", "b"), texts, shingle, least_percent)]
+    now, done = components(reduce(DataFrame.unionByName, links)), first
+    for step in (some, far):
+        apart = step.select("pa", "pb").distinct()
+        for side in ("pa", "pb"):
+            apart = apart.join(now.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+        apart = written(apart.filter("coalesce(_pa, pa) <> coalesce(_pb, pb)").select("pa", "pb"), "apart")
+        if apart.isEmpty():
+            forget(apart)
+            break
+        rest = step.join(apart, ["pa", "pb"], "left_semi").join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+        links.append(verified(rest, texts, shingle, least_percent))
+        forget(apart)
+        now, done = components(reduce(DataFrame.unionByName, links)), some
+    forget(far, *links)
+    return now
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:

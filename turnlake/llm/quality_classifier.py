@@ -237,5 +237,6 @@ def classify(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """A verdict for each document, trained on a bounded sample. Null texts are rejected, repeated rows judged alike, texts may be of any length, empty tables give an empty result."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("text")

@@ -91,6 +91,7 @@ def quality_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each whole text of documents. A null text has no words and fails, repeated rows are judged alike, an empty table gives an empty result."""
     from .common import documents
 
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))

@@ -130,6 +130,7 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "<secret>")
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
+    """Spans of each whole text of documents. A null text has none, repeated rows are scanned each, texts may be of any length, an empty table gives an empty result."""
     out = scan_secrets(documents(spark, sf_dir))
     name = F.array(*(F.lit(k[0]) for k in KINDS))
     base = F.filter("spans", lambda s: s["kind"] < 3)

@@ -101,6 +101,7 @@ SHARDS = 8
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
+    """All documents in eight shards, and in nine. Null ids and texts, repeated rows and empty tables: see shard_rows."""
     tree = shard_tree(SHARDS)
     return shard_rows(documents(spark, sf_dir), tree, grown(tree, SHARDS))
 

@@ -243,5 +243,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. Null and blank texts have the fingerprint zero, repeated rows are linked, texts may be of any length, an empty table gives an empty result."""
     out = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
