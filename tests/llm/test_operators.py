@@ -615,3 +615,36 @@ def test_any_number_of_batches_gives_the_same_rows(spark, tmp_path, batches):
     docs(spark, texts).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = removed(substrings.op2_substrings(spark, str(tmp_path), batches))
     assert [got[k] for k in range(len(texts))] == plain_removed(texts)
+
+
+def test_a_changed_weight_moves_rows_of_its_subtree_only(spark):
+    """One shard of region 1 gets three times its weight: rows come into its path at each level, and between others none moves."""
+    from dataclasses import replace
+
+    tree = sharding.shard_tree(8)
+    region = tree.children[1]
+    rack = region.children[0]
+    heavy = replace(rack.children[0], own_weight=3.0)
+    rack2 = replace(rack, children=(heavy, *rack.children[1:]))
+    region2 = replace(region, children=(rack2, *region.children[1:]))
+    tree2 = replace(tree, children=(tree.children[0], region2))
+    keys = spark.range(6000).select(F.col("id").cast("string").alias("k"))
+    rows = keys.select(sharding.place(F.col("k"), tree).alias("a"), sharding.place(F.col("k"), tree2).alias("b")).collect()
+    moved = {(r["a"], r["b"]) for r in rows if r["a"] != r["b"]}
+    inside, its_rack, new = {c.shard for r in region.children for c in r.children}, {c.shard for c in rack.children}, heavy.shard
+    assert sum(r["b"] == new for r in rows) > 2 * sum(r["a"] == new for r in rows)
+    # Into the region from outside, into the rack from its region, into the shard from its rack; never the other way.
+    assert all(b in inside and (a not in inside or b in its_rack) and (a not in its_rack or b == new) for a, b in moved)
+
+
+def test_hot_keys_are_joined_as_the_others(spark, monkeypatch):
+    from turnlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    rows = spark.createDataFrame([(k % 7 if k < 700 else k, k) for k in range(1000)], "key long, v long")
+    of = rows.filter("key <> 3 AND key <> 800").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
+    assert of.filter("n > 20").count() == 6
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.join_hot(rows, of, "key", "n", 1000, how).select("key", "v", "m").na.fill(-1).collect()))
+        assert got == sorted(map(tuple, rows.join(of, "key", how).select("key", "v", "m").na.fill(-1).collect()))
+        assert len(got) == (1000 if how == "left" else 899)
