@@ -44,8 +44,10 @@ def _starts_with_digit(w: Column) -> Column:
 def _shape(w: Column) -> Column:
     """What a token looks like: n for a number, s for a word that is no name and no unit (S in capitals), A for capitals only, a for some, '' for none."""
     low, high = F.lower(w), F.upper(w) == w
+    # Most tokens have no capital letter: they are told first.
+    small = F.when(_starts_with_digit(w) | w.isin(*NUMBER_WORDS), "n").when(w.isin(*NO_NAMES), "s").otherwise("")
     stop = F.when(high & (F.length(w) > 1), "S").otherwise("s")
-    return F.when(_starts_with_digit(w) | low.isin(*NUMBER_WORDS), "n").when(low.isin(*NO_NAMES), stop).when(low != w, F.when(high, "A").otherwise("a")).otherwise("")
+    return F.when(low == w, small).when(low.isin(*NUMBER_WORDS), "n").when(low.isin(*NO_NAMES), stop).otherwise(F.when(high, "A").otherwise("a"))
 
 
 def _typed() -> Column:
@@ -57,11 +59,12 @@ def _typed() -> Column:
     at = lambda i: F.coalesce(F.get("_shape", i), F.lit(""))
 
     def typed(w: Column, i: Column) -> Column:
-        own, low = F.get("_shape", i), F.lower(w)
+        own, low, number = F.get("_shape", i), F.lower(w), at(i - 1) == "n"
         loud = lambda j: at(j).isin("A", "S")
         name = (own == "a") | ((own == "A") & ~loud(i - 1) & ~loud(i + 1))
-        kind = F.when(own == "n", NUMBER).when((F.lower(own) != "s") & (at(i - 1) == "n"), UNIT).when(name, NAME).otherwise("")
-        return F.concat(kind, low)
+        # Plain tokens, which most are, go as they are.
+        slot = F.when(own == "n", F.concat(F.lit(NUMBER), low)).when(number, F.concat(F.lit(UNIT), low)).when(name, F.concat(F.lit(NAME), low)).otherwise(low)
+        return F.when((own == "") & ~number, w).when(own.isin("s", "S"), low).otherwise(slot)
 
     return F.transform("_raw", typed)
 
