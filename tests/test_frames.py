@@ -168,3 +168,10 @@ def test_gaps(spark):
     spans = spark.createDataFrame([(1, 0, 5), (1, 6, 8), (1, 12, 13), (1, 1, 3)], "rec long, first long, stop long")
     assert sorted((r["first"], r["stop"]) for r in O.merge_gaps(spans, 1).collect()) == [(0, 8), (12, 13)]
     assert O.long_enough(spans, 3).count() == 1
+
+
+def test_frames_beyond_an_int(spark):
+    """Frame numbers may be ints: their products with the window's samples are longs (speaker_activities)."""
+    df = spark.createDataFrame([(k,) for k in (13421, 13422, 41024)], "f int")
+    got = [tuple(r) for r in df.select("f", FR.frame_to_sample(F.col("f")), FR.total_frames(F.col("f") * 1000)).collect()]
+    assert got == [(f, (f * 160000 + 294) // 589, -(-f * 1000 * 589 // 160000)) for f in (13421, 13422, 41024)]

@@ -14,16 +14,16 @@ CLASS_SPEAKERS = ((), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2))
 
 
 def frame_to_sample(frame: Column) -> Column:
-    """The sample at a frame, rounded."""
-    return F.floor((frame * WINDOW_SAMPLES + WINDOW_FRAMES // 2) / WINDOW_FRAMES)
+    """The sample at a frame, rounded. As long: of an int, frame 13,422 would overflow."""
+    return F.floor((frame.cast("long") * WINDOW_SAMPLES + WINDOW_FRAMES // 2) / WINDOW_FRAMES)
 
 
 def sample_to_frame(sample: Column) -> Column:
-    return F.floor(sample * WINDOW_FRAMES / WINDOW_SAMPLES)
+    return F.floor(sample.cast("long") * WINDOW_FRAMES / WINDOW_SAMPLES)
 
 
 def total_frames(samples: Column) -> Column:
-    return F.ceil(samples * WINDOW_FRAMES / WINDOW_SAMPLES)
+    return F.ceil(samples.cast("long") * WINDOW_FRAMES / WINDOW_SAMPLES)
 
 
 def output_frames(chunks: Column, chunk_duration: float, chunk_step: float, frame_step: float) -> Column:
