@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import frames as FR
 from turnlake.operators import frames as O
+from turnlake.operators import segmentation as G
 
 
 def table(spark, values, name="p"):
@@ -175,3 +176,15 @@ def test_frames_beyond_an_int(spark):
     df = spark.createDataFrame([(k,) for k in (13421, 13422, 41024)], "f int")
     got = [tuple(r) for r in df.select("f", FR.frame_to_sample(F.col("f")), FR.total_frames(F.col("f") * 1000)).collect()]
     assert got == [(f, (f * 160000 + 294) // 589, -(-f * 1000 * 589 // 160000)) for f in (13421, 13422, 41024)]
+
+
+def test_voice_spans_of_late_windows(spark):
+    """A window that begins at an int frame whose sample is past 2^31 / 589 (voice_spans)."""
+    f = 20000
+    logits = [[0.0, 9.0, 0.0, 0.0, 0.0, 0.0, 0.0]] * 9
+    rows = spark.createDataFrame([(1, f, logits)], "rec long, f int, logits array<array<double>>").withColumn("start", FR.frame_to_sample(F.col("f")))
+    totals = rows.select("rec", FR.frame_to_sample(F.col("f") + 9).alias("total"))
+    got = G.voice_spans(G.frame_scores(G.checked(rows.select("rec", "start", "logits"), 9)), totals).collect()
+    at = lambda k: (k * 160000 + 294) // 589
+    first = at(f) * 589 // 160000
+    assert [tuple(r) for r in got] == [(1, at(first), min(at(first + 9), at(f + 9)))]
