@@ -118,3 +118,19 @@ def test_checked_unit(spark, v, code):
     df = spark.createDataFrame([(v,)], "a array<double>").withColumn("n", V.norm(F.col("a")))
     with pytest.raises(Exception, match=code):
         df.select(V.checked_unit(F.col("a"), F.col("n"), 0.01)).collect()
+
+
+def test_sums_at_the_limit_go_by_frames(spark):
+    """Slots whose activities, added frame by frame, just reach the limit, and in the other order just don't, and the other way round."""
+    rng, limit, seg, want = np.random.default_rng(1), 0.2 * 12, [], []
+    chunk = 0
+    while chunk < 40:
+        v = rng.integers(1, 8000, 6) / 10000
+        v[5] = round(2.4 - sum(v[:5]), 4)
+        forth, back = np.cumsum(v)[-1], np.cumsum(v[::-1])[-1]  # not sum(), which compensates
+        if 0 < v[5] < 1 and (forth >= limit) != (back >= limit):
+            seg += [(1, chunk, t, 0, float(a)) for t, a in enumerate(v)]
+            want += [chunk] if forth >= limit else []
+            chunk += 1
+    rows = spark.createDataFrame(seg, "rec long, chunk int, at int, slot int, activity double").repartition(8, "at")
+    assert sorted(r["chunk"] for r in D.active_pairs(rows, 12).collect()) == want

@@ -52,10 +52,14 @@ class DiarizeOptions:
 
 
 def active_pairs(seg: DataFrame, frames: int, least: float = LEAST_ACTIVE) -> DataFrame:
-    """rec, chunk, slot, clean of slots that are alone in at least `least` of a chunk's frames; seg (rec, chunk, at, slot, activity) may leave out zeros."""
+    """rec, chunk, slot, clean of slots that are alone in at least `least` of a chunk's frames; seg (rec, chunk, at, slot, activity) may leave out zeros.
+
+    Activities are added in the order of their frames, as a sum at the limit itself hangs on its last bit.
+    """
     on = seg.filter("activity > 0")
     alone = on.groupBy("rec", "chunk", "at").agg(F.count(F.lit(1)).alias("n"), F.first("slot").alias("slot"), F.first("activity").alias("activity")).filter("n = 1")
-    return alone.groupBy("rec", "chunk", "slot").agg(F.sum("activity").alias("clean")).filter(F.col("clean") >= least * frames)
+    each = F.sort_array(F.collect_list(F.struct("at", "activity")))
+    return alone.groupBy("rec", "chunk", "slot").agg(F.aggregate(each, F.lit(0.0), lambda s, x: s + x["activity"]).alias("clean")).filter(F.col("clean") >= least * frames)
 
 
 def mask_inactive(soft: DataFrame, seg: DataFrame) -> DataFrame:
