@@ -189,7 +189,7 @@ _AFF = PAIR_SQL + ", h AS (SELECT rec, i, j, greatest(0, list_dot_product(a, b))
 
 @query(f"WITH {_AFF} SELECT rec, i, round(degree, 6) AS degree FROM dg")
 def affinity_degrees(spark, sf_dir):
-    return S.degrees(S.affinities(vecs(spark, sf_dir))).withColumn("degree", F.round("degree", 6))
+    return S.affinity_degrees(vecs(spark, sf_dir)).withColumn("degree", F.round("degree", 6))
 
 
 @query(f"WITH {_AFF} SELECT af.rec, af.i, af.j, round(-w / (sqrt(d.degree) * sqrt(e.degree)), 6) + 0 AS l FROM af JOIN dg d ON d.rec = af.rec AND d.i = af.i JOIN dg e ON e.rec = af.rec AND e.i = af.j WHERE w > 0")
