@@ -227,7 +227,7 @@ def eigengap_k(spark, sf_dir):
 def _linked(how: str, sql: str):
     def run(spark, sf_dir):
         v = vecs(spark, sf_dir)
-        return S.linkage(S.condensed_distances(v), v.select("rec", "i", (F.col("i") % 4).alias("label")), how).withColumn("distance", F.round("distance", 6))
+        return S.linkage(v.withColumn("label", F.col("i") % 4), how).withColumn("distance", F.round("distance", 6))
 
     run.__name__ = f"linkage_{how}"
     return query(f"WITH {PAIR_SQL} SELECT rec, least(i % 4, j % 4) AS a, greatest(i % 4, j % 4) AS b, round({sql}(list_distance(a, b)), 6) AS distance FROM pr WHERE i % 4 <> j % 4 GROUP BY ALL")(run)
