@@ -182,3 +182,13 @@ def test_projection():
     tr, psi = rng.normal(size=(6, 6)), rng.uniform(1, 3, 6)
     basis, values = Projection.derive(tr, psi)
     assert np.allclose(basis.T @ np.linalg.inv(tr.T @ tr) @ basis, np.eye(6)) and (np.diff(values) <= 1e-9).all()
+
+
+def test_tree_cut_of_many_vectors():
+    """More vectors than a table of their pairs would allow; three of them are far from all others."""
+    rng = np.random.default_rng(5)
+    x = np.eye(3)[rng.integers(0, 3, 8200)] + 0.02 * rng.normal(size=(8200, 3))
+    x[[5, 700, 8100]] = -np.eye(3)
+    labels = C.ahc(x, 0.6)
+    want = np.where((x < -0.5).any(axis=1), 3 + np.abs(x).argmax(axis=1), x.argmax(axis=1))
+    assert len(set(zip(labels, want, strict=True))) == len(set(labels)) == 6

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .seeding import Draws
 
-MOST_VECTORS = {"offline": 1000, "ahc": 8000}
+MOST_VECTORS = {"offline": 1000, "ahc": 1_000_000}
 
 
 class EngineError(ValueError):
@@ -66,32 +66,60 @@ def agglomerate(x: np.ndarray, threshold: float = 0.5, linkage: str = "average",
 def centroid_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
     """Steps (a, b, height) of centroid linkage over Euclidean distances; step k makes cluster n + k.
 
-    Each row remembers its nearest other row. Where that has gone, the old distance is a lower bound, and the row is looked
-    at again only when no other row has less.
+    Clusters are kept as centroids, so the room grows with the vectors and not with their pairs. Each row remembers its
+    nearest other row. Where that has gone, the old distance is a lower bound, and the row is looked at again only when no
+    other row has less. Rows that have gone are left out when they are half of all.
     """
     n = len(x)
-    d2 = np.stack([((x - v) ** 2).sum(axis=1) for v in x])
-    np.fill_diagonal(d2, np.inf)
+    c, norm = np.array(x, np.float64), (x * x).sum(axis=1).astype(np.float64)
     size, name, out = np.ones(n), np.arange(n), []
-    near, height, stale = d2.argmin(axis=1), d2.min(axis=1), np.zeros(n, bool)
+
+    def apart(v: np.ndarray, v_norm: np.ndarray) -> np.ndarray:
+        """Squared distances of some centroids to all; where products would lose digits, from the differences."""
+        both = v_norm[:, None] + norm[None]
+        d2 = both - 2 * (v @ c.T)
+        k, m = np.nonzero(d2 < 1e-6 * both)
+        for s in range(0, len(k), 1 << 14):
+            at = k[s : s + (1 << 14)], m[s : s + (1 << 14)]
+            d2[at] = np.where(np.isinf(norm[at[1]]), np.inf, ((v[at[0]] - c[at[1]]) ** 2).sum(axis=1))
+        return d2
+
+    def row_of(a: int) -> np.ndarray:
+        d2 = apart(c[a : a + 1], norm[a : a + 1])[0]
+        d2[a] = np.inf
+        return d2
+
+    near, height, stale = np.zeros(n, int), np.full(n, np.inf), np.zeros(n, bool)
+    for s in range(0, n, 256):
+        d2 = apart(c[s : s + 256], norm[s : s + 256])
+        rows = np.arange(len(d2))
+        d2[rows, s + rows] = np.inf
+        near[s : s + 256], height[s : s + 256] = d2.argmin(axis=1), d2.min(axis=1)
     for k in range(n - 1):
         while stale[a := int(height.argmin())]:
-            near[a] = int(d2[a].argmin())
-            height[a], stale[a] = d2[a, near[a]], False
+            row = row_of(a)
+            near[a] = int(row.argmin())
+            height[a], stale[a] = row[near[a]], False
+        h2 = height[a]
         a, b = sorted((a, int(near[a])))
-        h2, na, nb = d2[a, b], size[a], size[b]
-        row = (na * d2[a] + nb * d2[b]) / (na + nb) - na * nb * h2 / (na + nb) ** 2
-        row[a] = row[b] = np.inf
-        d2[a] = d2[:, a] = row
-        d2[b] = d2[:, b] = np.inf
+        na, nb = size[a], size[b]
+        c[a] = (na * c[a] + nb * c[b]) / (na + nb)
+        norm[a], norm[b], c[b] = c[a] @ c[a], np.inf, 0.0
+        row = row_of(a)
         out.append((min(name[a], name[b]), max(name[a], name[b]), float(np.sqrt(max(0.0, h2)))))
         size[a], name[a] = na + nb, n + k
-        height[b] = np.inf
+        height[b], stale[b] = np.inf, False
         closer = row < height
-        stale |= ((near == a) | (near == b)) & ~closer
+        stale |= ((near == a) | (near == b)) & ~closer & np.isfinite(height)
         near[closer], height[closer], stale[closer] = a, row[closer], False
         near[a] = int(row.argmin())
         height[a], stale[a] = row[near[a]], False
+        if len(c) > 64 and 2 * (n - 1 - k) < len(c):
+            live = np.flatnonzero(np.isfinite(norm))
+            # What a stale row points at may have gone; it is looked at again before it is used.
+            place = np.zeros(len(c), int)
+            place[live] = np.arange(len(live))
+            c, norm, size, name, near, height, stale = c[live], norm[live], size[live], name[live], place[near[live]], height[live], stale[live]
     return out
 
 
