@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from turnlake.operators import clustering as C
 from turnlake.operators.assignment import assign_slots
 from turnlake.operators.features import Projection, clip_bank, full_bank, mel_bank
@@ -192,3 +194,15 @@ def test_tree_cut_of_many_vectors():
     labels = C.ahc(x, 0.6)
     want = np.where((x < -0.5).any(axis=1), 3 + np.abs(x).argmax(axis=1), x.argmax(axis=1))
     assert len(set(zip(labels, want, strict=True))) == len(set(labels)) == 6
+
+
+def test_posteriors_of_many_vectors(spark):
+    """A recording beyond the former limit of 8000 vectors."""
+    from turnlake.operators.variational import posteriors
+
+    rng = np.random.default_rng(5)
+    x = np.eye(3)[np.arange(8200) % 2] + 0.02 * rng.normal(size=(8200, 3))
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "rec long, i int, embedding array<double>").withColumn("x", F.col("embedding"))
+    best = posteriors(rows, [3.0, 2.0, 1.0], 0.6, rounds=3).groupBy("i").agg(F.max_by("cluster", "gamma").alias("k"), F.count("*").alias("n"))
+    got = {(r["i"] % 2, r["k"], r["n"]) for r in best.collect()}
+    assert len(got) == 2 and {g[2] for g in got} == {2}
