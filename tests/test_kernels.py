@@ -206,3 +206,14 @@ def test_posteriors_of_many_vectors(spark):
     best = posteriors(rows, [3.0, 2.0, 1.0], 0.6, rounds=3).groupBy("i").agg(F.max_by("cluster", "gamma").alias("k"), F.count("*").alias("n"))
     got = {(r["i"] % 2, r["k"], r["n"]) for r in best.collect()}
     assert len(got) == 2 and {g[2] for g in got} == {2}
+
+
+def test_spectral_of_many_vectors(spark, monkeypatch):
+    """Beyond 1000 vectors the labels are those of all eigenvectors of the whole Laplacian."""
+    rng = np.random.default_rng(8)
+    x = np.eye(6)[rng.integers(0, 3, 1100)] + 0.2 * rng.normal(size=(1100, 6))
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "rec long, i int, embedding array<double>")
+    got = [r["label"] for r in C.cluster(rows, "spectral", target=3).orderBy("i").collect()]
+    by_gap = C.spectral_any(x).tolist()
+    monkeypatch.setitem(C.MOST_VECTORS, "offline", 2000)
+    assert got == C.spectral(x, 3).tolist() and by_gap == C.spectral(x).tolist() and len(set(got)) == 3

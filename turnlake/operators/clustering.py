@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .seeding import Draws
 
-MOST_VECTORS = {"offline": 1000, "ahc": 1_000_000}
+MOST_VECTORS = {"offline": 1000, "ahc": 1_000_000, "spectral": 1_000_000}
 
 
 class EngineError(ValueError):
@@ -153,7 +153,20 @@ def ahc(x: np.ndarray, threshold: float = 0.6) -> np.ndarray:
 def spectral(x: np.ndarray, target: int | None = None, seed: int = 0, most: int = 15, threshold: float = 0.5) -> np.ndarray:
     """Eigenvectors of the normalised Laplacian, K by the widest gap unless given, then k-means; all-dissimilar input is agglomerated."""
     check_vectors(x, MOST_VECTORS["offline"], target)
+    return spectral_any(x, target, seed, most, threshold)
+
+
+def spectral_any(x: np.ndarray, target: int | None = None, seed: int = 0, most: int = 15, threshold: float = 0.5) -> np.ndarray:
+    """As spectral, for more vectors too: beyond MOST_VECTORS no matrix of all pairs is held, and a vector without any similar one is refused."""
+    check_vectors(x, MOST_VECTORS["spectral"], target)
     n = len(x)
+    if n > MOST_VECTORS["offline"]:
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        degree = np.concatenate([np.maximum(0, unit[s : s + 512] @ unit.T).sum(axis=1) for s in range(0, n, 512)]) - (unit * unit).sum(axis=1)
+        if (degree < 1e-12).any():
+            raise EngineError("InputTooLarge", f"{n} vectors, some without a similar one")
+        values, vectors = top_vectors(unit, degree, target or most + 1)
+        return _spectral_labels(values, vectors, target, seed, most)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     if n == 1:
         return np.zeros(1, int)
@@ -166,7 +179,11 @@ def spectral(x: np.ndarray, target: int | None = None, seed: int = 0, most: int
     if (degree < 1e-12).any():
         return agglomerate(x, threshold, "average", target)
     values, vectors = np.linalg.eigh(np.eye(n) - a / np.sqrt(degree[:, None] * degree[None]))
-    gaps = np.diff(values[: min(n - 1, most) + 1])
+    return _spectral_labels(values, vectors, target, seed, most)
+
+
+def _spectral_labels(values: np.ndarray, vectors: np.ndarray, target: int | None, seed: int, most: int) -> np.ndarray:
+    gaps = np.diff(values[: min(len(vectors) - 1, most) + 1])
     k = target or int(len(gaps) - np.argmax(gaps[::-1]))
     u = vectors[:, :k].copy()
     length = np.linalg.norm(u, axis=1, keepdims=True)
@@ -174,6 +191,43 @@ def spectral(x: np.ndarray, target: int | None = None, seed: int = 0, most: int
     return kmeans(u, k, seed)
 
 
+def top_vectors(unit: np.ndarray, degree: np.ndarray, k: int, tolerance: float = 1e-9, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """The k least eigenvalues of the normalised Laplacian and their vectors, by a block method that never holds its matrix.
+
+    The affinities are made anew, strip by strip, for each block of vectors that is multiplied. Of a basis that has grown
+    the best part is kept. Fails with NotConverged if the residuals are not below tolerance after so many steps.
+    """
+    n, width, root = len(unit), k + 4, np.sqrt(degree)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out, scaled = np.empty_like(v), v / root[:, None]
+        for s in range(0, n, 512):
+            w = np.maximum(0, unit[s : s + 512] @ unit.T)
+            w[np.arange(len(w)), s + np.arange(len(w))] = 0
+            out[s : s + 512] = w @ scaled
+        return out / root[:, None]
+
+    start = np.random.default_rng(0).standard_normal((n, width))
+    start[:, 0] = root
+    basis = np.linalg.qr(start)[0]
+    image = times(basis)
+    for _ in range(steps):
+        h = basis.T @ image
+        values, mix = np.linalg.eigh((h + h.T) / 2)
+        values, mix = values[::-1], mix[:, ::-1]
+        found, over = basis @ mix[:, :width], image @ mix[:, :width]
+        rest = over - found * values[:width]
+        if np.linalg.norm(rest[:, :k], axis=0).max() < tolerance:
+            return 1 - values[:k], found[:, :k]
+        if basis.shape[1] + width > max(40 * width, 240):
+            keep = mix[:, : 4 * width]
+            basis, image = basis @ keep, image @ keep
+        for _ in range(2):
+            rest = np.linalg.qr(rest - basis @ (basis.T @ rest))[0]
+        basis, image = np.hstack([basis, rest]), np.hstack([image, times(rest)])
+    raise EngineError("NotConverged", f"{steps} steps")
+
+
 def kmeans(u: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarray:
     """Lloyd's steps from k-means++ seeds of the specified key stream (see seeding); of equally near centroids the lowest."""
     draws = Draws(seed)
@@ -222,7 +276,8 @@ def cluster(vecs: DataFrame, method: str = "spectral", **options) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        labels = ahc(x, **options) if method == "ahc" else offline(x, method, **options)
+        large = method == "spectral" and len(x) > MOST_VECTORS["offline"]
+        labels = ahc(x, **options) if method == "ahc" else spectral_any(x, **options) if large else offline(x, method, **options)
         return pd.DataFrame({"rec": pdf["rec"], "i": pdf["i"], "label": labels})
 
     return vecs.select("rec", "i", "embedding").groupBy("rec").applyInPandas(one, "rec long, i int, label int")
