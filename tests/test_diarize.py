@@ -134,3 +134,24 @@ def test_sums_at_the_limit_go_by_frames(spark):
             chunk += 1
     rows = spark.createDataFrame(seg, "rec long, chunk int, at int, slot int, activity double").repartition(8, "at")
     assert sorted(r["chunk"] for r in D.active_pairs(rows, 12).collect()) == want
+
+
+def test_centroids_without_rows_of_vectors_and_clusters(spark, monkeypatch):
+    """The plan's centroids are the weighted means of the posteriors, and no dimension of a vector is a row of its own."""
+    from turnlake.operators import similarity as S
+    from turnlake.operators.features import Projection, project
+    from turnlake.operators.variational import posterior_centroids, posteriors
+
+    rng, w = np.random.default_rng(6), Projection.cosines(64, 32)
+    rows = [(rec, i, [float(v) for v in rng.normal(size=64)]) for rec, n in enumerate((1, 2, 30)) for i in range(n)]
+    x = project(spark.createDataFrame(rows, "rec long, i int, embedding array<double>"), w)
+    labels = posteriors(x, w.phi.tolist(), 1.05).withColumnRenamed("gamma", "weight")
+    want = {(r["rec"], r["cluster"]): r["centroid"] for r in S.weighted_centroids(labels.join(x.select("rec", "i", "embedding"), ["rec", "i"])).collect()}
+    made = posterior_centroids(x, w.phi.tolist(), 1.05)
+    got = {(r["rec"], r["cluster"]): r["centroid"] for r in made.collect()}
+    assert got.keys() == want.keys() and len(got) > 3
+    assert all(np.abs(np.array(got[k]) - want[k]).max() < 1e-12 for k in want)
+    seg = spark.createDataFrame([(1, 0, 0, 0, 1.0)], "rec long, chunk int, at int, slot int, activity double")
+    vecs = spark.createDataFrame([(1, 0, s, r[2]) for s, r in enumerate(rows[:3])], "rec long, chunk int, slot int, embedding array<double>")
+    plan = D.assign_embeddings(vecs, seg, 1, w)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(embedding" not in plan

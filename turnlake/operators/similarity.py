@@ -146,11 +146,11 @@ def weighted_centroids(members: DataFrame, alive: float = ALIVE) -> DataFrame:
     return each.groupBy("rec", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def centroid_scores(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """rec, i, cluster, soft: 2 - cosine distance of each vector to each centroid of its recording (some tens at most)."""
+def centroid_scores(vecs: DataFrame, centroids: DataFrame, names: tuple[str, ...] = ("i",)) -> DataFrame:
+    """rec, i, cluster, soft: 2 - cosine distance of each vector to each centroid of its recording (some tens at most); names tell vectors apart."""
     both = vecs.join(centroids, "rec")
     ab = V.dot(F.col("embedding"), F.col("centroid"))
-    return both.select("rec", "i", "cluster", (2 - V.cosine_distance_with_norms(ab, V.sum_squares(F.col("embedding")), V.sum_squares(F.col("centroid")))).alias("soft"))
+    return both.select("rec", *names, "cluster", (2 - V.cosine_distance_with_norms(ab, V.sum_squares(F.col("embedding")), V.sum_squares(F.col("centroid")))).alias("soft"))
 
 
 def nearest(queries: DataFrame, vecs: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .clustering import EngineError, ahc
+from .similarity import ALIVE, UNSURE
 
 SMOOTHING, MOST_ROUNDS = 7.0, 1000
 
@@ -51,15 +52,36 @@ def refine(x: np.ndarray, phi: np.ndarray, gamma: np.ndarray, fa: float = 0.07,
 
 def posteriors(vecs: DataFrame, phi: list[float], threshold: float = 0.6, fa: float = 0.07, fb: float = 0.8, rounds: int = 20) -> DataFrame:
     """rec, i, cluster, gamma, pi, bound, stop of the vectors (rec, i, embedding, x): a tree cut of embedding, refined on x."""
-    phi = np.asarray(phi, np.float64)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        raw = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        if len(pdf) < 2:
-            return pd.DataFrame({"rec": pdf["rec"], "i": pdf["i"], "cluster": 0, "gamma": 1.0, "pi": 1.0, "bound": 0.0, "stop": "single"})
-        gamma, pi, bounds, stop = refine(np.stack(pdf["x"].to_numpy()).astype(np.float64), phi, soft_labels(ahc(raw, threshold)), fa, fb, rounds)
+        _, gamma, pi, bound, stop = _refined(pdf, phi, threshold, fa, fb, rounds)
         t, s = gamma.shape
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "i": np.repeat(pdf["i"].to_numpy(), s), "cluster": np.tile(np.arange(s), t), "gamma": gamma.ravel(), "pi": np.tile(pi, t), "bound": bounds[-1], "stop": stop})
+        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "i": np.repeat(pdf["i"].to_numpy(), s), "cluster": np.tile(np.arange(s), t), "gamma": gamma.ravel(), "pi": np.tile(pi, t), "bound": bound, "stop": stop})
 
     return vecs.select("rec", "i", "embedding", "x").groupBy("rec").applyInPandas(one, "rec long, i int, cluster int, gamma double, pi double, bound double, stop string")
+
+
+def posterior_centroids(vecs: DataFrame, phi: list[float], threshold: float = 0.6, fa: float = 0.07, fb: float = 0.8, rounds: int = 20) -> DataFrame:
+    """rec, cluster, centroid: what similarity.weighted_centroids gives of the posteriors of vecs, without a row for each vector and cluster."""
+    low, high = UNSURE
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        raw, gamma, pi, _, _ = _refined(pdf, phi, threshold, fa, fb, rounds)
+        if ((pi > low) & (pi < high)).any():
+            raise EngineError("AmbiguousAlive")
+        live = np.flatnonzero(pi > ALIVE)
+        centroids = (gamma[:, live].T @ raw) / gamma[:, live].sum(axis=0)[:, None]
+        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "cluster": live, "centroid": list(centroids)})
+
+    return vecs.select("rec", "i", "embedding", "x").groupBy("rec").applyInPandas(one, "rec long, cluster int, centroid array<double>")
+
+
+def _refined(pdf: pd.DataFrame, phi: list[float], threshold: float, fa: float, fb: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, str]:
+    """The raw vectors of a recording, gamma, pi, the last bound and why it ended."""
+    raw = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+    if len(pdf) < 2:
+        return raw, np.ones((1, 1)), np.ones(1), 0.0, "single"
+    gamma, pi, bounds, stop = refine(np.stack(pdf["x"].to_numpy()).astype(np.float64), np.asarray(phi, np.float64), soft_labels(ahc(raw, threshold)), fa, fb, rounds)
+    return raw, gamma, pi, bounds[-1], stop

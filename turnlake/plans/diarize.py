@@ -12,7 +12,7 @@ from ..operators import frames as O
 from ..operators import similarity as S
 from ..operators.assignment import SLOTS, UNMATCHED, assign_slots
 from ..operators.features import Projection, project
-from ..operators.variational import posteriors
+from ..operators.variational import posterior_centroids
 from ..tables import Rounds
 
 LEAST_ACTIVE = 0.2
@@ -77,10 +77,9 @@ def assign_embeddings(vecs: DataFrame, seg: DataFrame, frames: int, weights: Pro
     active = vecs.join(active_pairs(seg, frames, options.least_active).select("rec", "chunk", "slot"), ["rec", "chunk", "slot"], "left_semi")
     enough = active.groupBy("rec").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("rec")
     train = project(active.join(enough, "rec", "left_semi").select("rec", "i", "embedding"), weights)
-    soft_labels = posteriors(train, weights.phi.tolist(), options.threshold, options.fa, options.fb, options.rounds)
-    members = soft_labels.select("rec", "i", "cluster", "pi", F.col("gamma").alias("weight")).join(train.select("rec", "i", "embedding"), ["rec", "i"])
-    scores = S.centroid_scores(vecs.select("rec", "i", "embedding"), S.weighted_centroids(members))
-    soft = scores.join(vecs.select("rec", "i", "chunk", "slot"), ["rec", "i"]).select("rec", "chunk", "slot", "cluster", "soft")
+    # Centroids leave the tasks that refine: a row for each vector, cluster and dimension would be many times the input.
+    centroids = posterior_centroids(train, weights.phi.tolist(), options.threshold, options.fa, options.fb, options.rounds)
+    soft = S.centroid_scores(vecs.select("rec", "chunk", "slot", "embedding"), centroids, ("chunk", "slot"))
     few = vecs.join(enough, "rec", "left_anti").select("rec", F.col("chunk").cast("int"), F.col("slot").cast("int"), F.lit(0).alias("cluster"))
     return assign_slots(mask_inactive(soft, seg)).unionByName(few)
 
