@@ -138,3 +138,28 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 0), (False, 3), (False, 8), (True, None)]
     with pytest.raises(ValueError):
         near_copies.keep_one(docs, least_percent=70)
+
+
+def test_nearly_similar_texts_move_no_pairs(spark, monkeypatch):
+    """Of a group whose pairs are all just too far apart, no pair is left to be joined to its sets; the similar ones stay."""
+    from turnlake.llm import near_copies as N
+
+    monkeypatch.setattr(N, "MARKS", 7)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for k in rng.choice(120, 4, replace=False):
+            words[k] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base), " ".join([*base, "end"]), "", None]
+    sets = [set(N.shingle_set(t).tolist()) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(pairs, "a long, b long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "mark long, text string")
+    some = {(r["a"], r["b"]) for r in N.possible(df, rows, N.SHINGLE, 80).collect()}
+    assert want <= some and len(some) < len(pairs) // 10
+    assert {(r["a"], r["b"]) for r in N.verified(df, rows, N.SHINGLE, 80).collect()} == want
+    assert N.possible(df.limit(0), rows, N.SHINGLE, 80).count() == 0

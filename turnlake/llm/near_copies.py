@@ -42,6 +42,8 @@ BROADCAST_PAIRS = 1_000_000
 BROADCAST_MARKS = 2_000_000
 #: Shares into which the pairs of two parts are dealt; the best of each is verified before the others.
 PARTS_OF_PAIRS = 64
+#: Marks of a block, two of which meet in a task to rule out pairs.
+MARKS = 1024
 #: Pairs that are sent on at a time.
 PAIRS_AT_ONCE = 20_000
 #: Texts, and positions, that are multiplied at a time.
@@ -256,9 +258,58 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
     return near.unionByName(more).distinct()
 
 
+def possible(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
+    """The pairs (a, b; written) without those that 16 bits of each shingle's hash rule out: sets share at most what they share there.
+
+    Marks are dealt into blocks. A set goes to each pair of blocks in which it has a pair, once, and not along with each
+    pair, so a group of texts that are nearly similar moves its sets a few times however many pairs it has. A task holds
+    two blocks of short hashes.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("mark")).agg(F.approx_count_distinct("mark")).first()[0]
+    blocks = max(1, -(-asked // MARKS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    unit = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
+    dealt = pairs.select("a", "b", unit.alias("unit"))
+    # No more units than blocks for a mark.
+    needed = dealt.select(F.explode(F.array("a", "b")).alias("mark"), "unit").groupBy("mark").agg(F.collect_set("unit").alias("units"))
+    needed = F.broadcast(needed) if pairs.count() <= BROADCAST_PAIRS else needed
+
+    def short(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            made = [np.sort(x.astype(np.uint16)).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("units"), pa.array(made, pa.binary())], names=["mark", "units", "hashes"])
+
+    of = texts.select("mark", "text").join(needed, "mark").mapInArrow(released(short), "mark long, units array<long>, hashes binary")
+    rows = of.select(F.explode("units").alias("unit"), F.col("mark").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    rows = rows.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary")))
+
+    def check(batches):
+        now, sets = None, {}
+        for batch in batches:
+            found = []
+            for unit, a, b, hashes in zip(*(batch.column(c).to_pylist() for c in ("unit", "a", "b", "hashes")), strict=True):
+                if unit != now:
+                    now, sets = unit, {}
+                if b is None:
+                    sets[a] = np.frombuffer(hashes, np.uint16)
+                    continue
+                x, y = sets[a], sets[b]
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+                if 100 * shared >= least_percent * (len(x) + len(y) - shared):
+                    found.append((a, b))
+            got = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(2)], names=["a", "b"])
+
+    # Sets come before the pairs of their unit.
+    return rows.repartition("unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first()).select("unit", "a", "b", "hashes").mapInArrow(released(check), "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, written; texts has mark and text."""
-    pairs = written(pairs, "pairs")
+    every = written(pairs, "pairs")
+    pairs = written(possible(every, texts, shingle, least_percent), "possible")
+    forget(every)
 
     def sets(batches):
         for batch in batches:
