@@ -163,3 +163,50 @@ def test_nearly_similar_texts_move_no_pairs(spark, monkeypatch):
     assert want <= some and len(some) < len(pairs) // 10
     assert {(r["a"], r["b"]) for r in N.verified(df, rows, N.SHINGLE, 80).collect()} == want
     assert N.possible(df.limit(0), rows, N.SHINGLE, 80).count() == 0
+
+
+def nearly_similar(n, changed, rng):
+    """Sets of n copies of one text, each with words of its own at some places."""
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(n):
+        words = list(base)
+        for k in rng.choice(150, changed, replace=False):
+            words[k] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    """The bits in which bitmaps differ bound the difference of sets of all sizes, so no pair of the similarity is lost."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (4, 5, 17, 63, 65, 128, 130, 500, 620, 3000):
+        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        sets += [base, *(np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 62, k, dtype=np.uint64)])) for k in {1, size // 12, size // 9, size // 5, size // 2})]
+    m = np.zeros(len(sets), near_copies.FULL_MEMBER)
+    m["mark"], m["part"], m["size"], m["bits"] = np.arange(len(sets)), np.arange(len(sets)), [len(s) for s in sets], np.array([near_copies.bitmap(s) for s in sets] + [None], object)[:-1]
+    got = {(min(a, b), max(a, b)) for x in near_copies.pairs_of(m, 80) for a, b in x[:, :2].tolist()}
+    want, sized = set(), 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        shared, both = len(np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b])
+        sized += 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))
+        if 100 * shared >= 80 * (both - shared):
+            want.add((a, b))
+    assert want <= got and len(want) > 10 and len(got) < sized
+
+
+def test_a_group_of_nearly_similar_texts_makes_few_pairs(spark):
+    """Pairs grow with the group, not with its square, where all its texts are just too far apart; links among them stay."""
+    rng = np.random.default_rng(9)
+    texts = nearly_similar(600, 4, rng)
+    texts += [f"{t} end{k}" for k, t in enumerate(texts[:60])]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "mark long, id long, text string")
+    made = near_copies.prints(rows, near_copies.SHINGLE)
+    reps = made.selectExpr("mark", "mark AS part", "true AS alone", "size", "tally", "lists", "bits").cache()
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in near_copies.far_pairs(reps, 80).collect()}
+    plain = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in near_copies.far_pairs(reps.drop("bits"), 80).collect()}
+    sets = [shingles(t) for t in texts]
+    similar = {(a, b) for a, b in plain if similarity(sets[a], sets[b]) >= 0.8}
+    reps.unpersist()
+    assert similar == got & similar and {(k, 600 + k) for k in range(60)} <= got
+    assert len(plain) > 30_000 and len(got) < len(plain) // 4

@@ -9,7 +9,10 @@ that meets, pairs that reach LEAST_SHARED are retained, and verified exactly. At
 and the tally miss about one pair in a thousand, and fewer above.
 
 Copies are contracted first: neighbours in a few lists are verified and joined into groups. Then only pairs of different
-groups are looked for in all lists, so a group of many copies never makes all its pairs.
+groups are looked for in all lists, so a group of many copies never makes all its pairs. In lists with copies, and in long
+ones, members bring a bitmap of their set: the bits in which two bitmaps differ are at most the shingles in which the sets
+do, so pairs that are too far apart for sure are left out where they meet, and a group of texts that are only nearly
+similar doesn't make its pairs either.
 """
 
 from __future__ import annotations
@@ -36,6 +39,12 @@ LINK_BANDS = 4
 LEAST_SET = 4
 #: Members of a list that one task holds at a time; the members of a longer one are dealt into blocks of pairs of parts.
 BLOCK = 2000
+#: Members of a list that are compared without their bitmaps, at most.
+SHORT_LIST = 8
+#: Bits of a bitmap for each shingle, at least; the number of bits is a power of two.
+BITS_EACH, LEAST_BITS = 4, 64
+#: Bytes of bitmaps that are compared at a time.
+BITMAPS_AT_ONCE = 16 << 20
 #: The marks of so many pairs are broadcast at most (16 bytes each); those of more pairs are joined to the texts by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 #: The marks of so many dropped rows are broadcast at most (8 bytes each); beyond, the rows are joined to the kept marks by a shuffle.
@@ -65,6 +74,21 @@ def signed_sums(hashes: np.ndarray) -> np.ndarray:
     return (counts[:SUMS] - counts[SUMS:]).astype(np.float32)
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """For each place, whether an odd number of a set's hashes falls on it: two bitmaps differ in no more bits than their sets in elements."""
+    bits = max(LEAST_BITS, 1 << (BITS_EACH * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, length: int) -> bytes:
+    """The bitmap of the same set with fewer places."""
+    if len(bits) == length:
+        return bits
+    x = np.frombuffer(bits, np.uint8).reshape(-1, length)
+    return np.bitwise_xor.reduce(x, axis=0).tobytes()
+
+
 def positional_bytes(sums: np.ndarray) -> np.ndarray:
     """From rows of signed sums: a byte for each row and position, the strongest of the turned sums and its sign."""
     out = np.empty((len(sums), POSITIONS), np.uint8)
@@ -84,33 +108,41 @@ def list_keys(bytes_: np.ndarray) -> np.ndarray:
 
 
 def prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """mark, id, same (equal for equal sets), size, tally (bytes) and lists of each row (mark, id, text)."""
+    """mark, id, same (equal for equal sets), size, tally (bytes), lists and bits (a bitmap; null with the lists of small sets) of each row (mark, id, text)."""
     bounded_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
-            same, sizes, sums = [], [], []
+            same, sizes, sums, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, shingle)
                 same.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 sizes.append(len(hashes))
                 sums.append(signed_sums(hashes))
+                bits.append(bitmap(hashes) if len(hashes) >= LEAST_SET else None)
             made = positional_bytes(np.array(sums, np.float32).reshape(-1, SUMS))
             listed = np.array(sizes, np.int64) >= LEAST_SET
             ends = np.concatenate([[0], np.cumsum(listed * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(list_keys(made[listed]).ravel()))
             tally = [t.tobytes() for t in made[:, BANDS * ROWS :]]
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tally, pa.binary()), lists], names=["mark", "id", "same", "size", "tally", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tally, pa.binary()), lists, pa.array(bits, pa.binary())], names=["mark", "id", "same", "size", "tally", "lists", "bits"])
 
-    return rows.select("mark", "id", "text").mapInArrow(released(run), f"mark long, id {dict(rows.dtypes)['id']}, same binary, size long, tally binary, lists array<int>")
+    return rows.select("mark", "id", "text").mapInArrow(released(run), f"mark long, id {dict(rows.dtypes)['id']}, same binary, size long, tally binary, lists array<int>, bits binary")
 
 
 MEMBER = np.dtype([("mark", "<i8"), ("part", "<i8"), ("size", "<i8"), ("chunk", "<i8"), ("tally", "u1", TALLY)])
+#: With its bitmap, or None.
+FULL_MEMBER = np.dtype([*MEMBER.descr, ("bits", "O")])
 MEMBERS = "mark long, part long, size long, chunk long, tally binary"
 
 
 def _members(batch: pa.RecordBatch) -> np.ndarray:
-    out = np.zeros(batch.num_rows, MEMBER)
+    full = "bits" in batch.schema.names
+    out = np.zeros(batch.num_rows, FULL_MEMBER if full else MEMBER)
+    if full:
+        bits = np.empty(batch.num_rows, object)
+        bits[:] = batch.column("bits").to_pylist()
+        out["bits"] = bits
     for name in ("mark", "part", "size", "chunk"):
         out[name] = batch.column(name).to_numpy()
     if batch.num_rows:
@@ -133,14 +165,34 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def not_apart(m: np.ndarray, k: int, others: np.ndarray, least_percent: int) -> np.ndarray:
+    """Which of the members at `others` the bitmaps leave as possible partners of member k: those whose sets may differ in few enough elements."""
+    own, bits = m["bits"][k], m["bits"][others]
+    length = np.minimum(len(own), np.array([len(x) for x in bits], np.int64))
+    both, ok = m["size"][k] + m["size"][others], np.zeros(len(others), bool)
+    for n in np.unique(length).tolist():
+        some, mine = np.flatnonzero(length == n), np.frombuffer(folded(own, n), np.uint64)
+        for at in range(0, len(some), max(1, BITMAPS_AT_ONCE // n)):
+            part = some[at : at + max(1, BITMAPS_AT_ONCE // n)]
+            theirs = np.frombuffer(b"".join([folded(bits[i], n) for i in part]), np.uint64).reshape(len(part), -1)
+            apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+            # They share (both - apart) / 2 at most, and have (both + apart) / 2 at least in all.
+            ok[part] = 100 * (both[part] - apart) >= least_percent * (both[part] + apart)
+    return ok
+
+
 def pairs_of(m: np.ndarray, least_percent: int) -> list[np.ndarray]:
-    """Retained pairs of one list; where members have chunks of two numbers, only pairs of both."""
+    """Retained pairs of one list, without those that bitmaps rule out if members have them; where members have chunks of two numbers, only pairs of both."""
     found, crossed = [], len(m) > 0 and m["chunk"].min() != m["chunk"].max()
+    full = "bits" in m.dtype.names
     for k in range(len(m) - 1):
         rest = m[k + 1 :]
         ok = retained(m[k : k + 1], rest, least_percent)
         if crossed:
             ok &= rest["chunk"] != m["chunk"][k]
+        if full and ok.any():
+            some = np.flatnonzero(ok)
+            ok[some] = not_apart(m, k, k + 1 + some, least_percent)
         if ok.any():
             found.append(_pairs(np.repeat(m[k : k + 1], int(ok.sum())), rest[ok]))
     return found
@@ -190,11 +242,12 @@ def _out(kind: int, n: int, **columns) -> pa.RecordBatch:
 
 
 def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFrame:
-    """a, b, their parts pa < pb, and the shared bytes of retained pairs of different parts that meet in any list; reps has mark, part, alone, size, tally and lists.
+    """a, b, their parts pa < pb, and the shared bytes of retained pairs of different parts that meet in any list; reps has mark, part, alone, size, tally and lists, and bits or not.
 
     Members that are alone in their part come with all their lists; of the others each list gets one row a part. Where such
-    a part meets another one, or a list is longer than a block, the list is opened: all its members are dealt into blocks
-    of pairs of parts that one task can hold, and compared there.
+    a part meets another one, or a list is long, the list is opened: all its members are dealt into blocks of pairs of parts
+    that one task can hold, and compared there, by their bitmaps too if reps has bits. So lists that aren't opened give a
+    member no more than SHORT_LIST pairs each, and the others only pairs that may well be similar.
     """
     listed = reps.select(F.explode(F.col("lists").cast("array<long>")).alias("key"), "mark", "part", "size", F.lit(0).cast("long").alias("chunk"), "tally", "alone")
     grouped = listed.filter("NOT alone").drop("alone")
@@ -221,7 +274,7 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
             rest = [(s, 2) for s in two[~some].tolist()] + list(zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True))
             for s, n in rest:
                 x = m[s : s + n]
-                if (x["mark"] < 0).any() or n > block:
+                if (x["mark"] < 0).any() or n > min(block, SHORT_LIST):
                     if (x["part"] != x["part"][0]).any():
                         yield from opened(key[s : s + n], x)
                 else:
@@ -243,6 +296,10 @@ def far_pairs(reps: DataFrame, least_percent: int, block: int = BLOCK) -> DataFr
     members = written(met.filter("kind = 1").select(names).unionByName(grouped.join(opens, "key", "left_semi").select(names)), "open")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     each = join_hot(members, sizes, "key", "n", members.count()).withColumn("chunk", F.pmod(F.xxhash64("mark"), F.col("parts")))
+    if "bits" in reps.columns:
+        asked = members.select("mark").distinct()
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_PAIRS else asked
+        each, names = each.join(reps.select("mark", "bits").join(asked, "mark", "left_semi"), "mark"), [*names, "bits"]
     each = each.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     each = each.withColumn("key", F.col("key") * (1 << 32) + F.least("chunk", "other") * 65536 + F.greatest("chunk", "other"))
 
@@ -337,11 +394,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least_percent: in
 
 
 def similar_parts(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
-    """node, component of the marks that links join; reps (mark, size, tally, lists) has one mark of each set."""
+    """node, component of the marks that links join; reps (mark, size, tally, lists, bits) has one mark of each set."""
     near = verified(neighbour_pairs(reps, least_percent), texts, shingle, least_percent)
     parts = components(near)
     placed = reps.join(parts, reps["mark"] == parts["node"], "left")
-    placed = placed.select("mark", F.coalesce("component", "mark").alias("part"), F.isnull("component").alias("alone"), "size", "tally", "lists")
+    placed = placed.select("mark", F.coalesce("component", "mark").alias("part"), F.isnull("component").alias("alone"), "size", "tally", "lists", "bits")
     placed = written(placed, "placed")
     far = written(far_pairs(placed, least_percent), "far")
     forget(placed)
